@@ -51,22 +51,51 @@ def opening(text: Column, words: int = DEFAULT.opening_words) -> Column:
     return F.regexp_replace(head, WS + "+", " ")
 
 
-def _has_run(ordered: Column, run: Column) -> Column:
-    """Does a sorted array hold some value at least ``run`` times?
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
 
-    A run that long covers a position that is a multiple of ``run``, so only
-    those few positions need a look.
+    A column used inside a lambda is evaluated again for every element; a
+    lambda variable is not.
     """
-    ends = F.sequence(run, F.size(ordered), run)
-    return F.exists(
-        ends,
-        lambda at: F.try_element_at(
-            ordered,
-            (F.array_position(ordered, F.element_at(ordered, at)) + run - 1).cast("int"),
-        ).eqNullSafe(F.element_at(ordered, at)),
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _has_run(values: Column, run: Column) -> Column:
+    """Does an array hold some value at least ``run`` times?
+
+    In the sorted array a run that long covers a position that is a multiple of
+    ``run``, so only those few positions need a look.
+    """
+
+    def covers(ordered: Column, at: Column) -> Column:
+        value = F.element_at(ordered, at)
+        last = F.array_position(ordered, value) + run - 1
+        return F.try_element_at(ordered, last.cast("int")).eqNullSafe(value)
+
+    return bind(
+        F.sort_array(values),
+        lambda ordered: F.exists(
+            F.sequence(run, F.size(ordered), run), lambda at: covers(ordered, at)
+        ),
     )
 
 
+def _repeats_itself(words: Column, cfg: AuditConfig) -> Column:
+    n_grams = F.size(words) - (cfg.ngram - 1)
+    needed = (F.floor(F.lit(Decimal(cfg.ngram_share)) * n_grams) + 1).cast("int")
+
+    def gram(word: Column, at: Column) -> Column:
+        following = [F.get(words, at + F.lit(k)) for k in range(1, cfg.ngram)]
+        return F.concat_ws(" ", word, *following)
+
+    grams = F.transform(F.slice(words, F.lit(1), n_grams), gram)
+    long_enough = F.size(words) >= cfg.ngram * 3
+    return F.when(
+        long_enough,
+        F.when(_has_run(words, needed), _has_run(grams, needed)).otherwise(F.lit(False)),
+    ).otherwise(F.lit(False))
+
+
 def is_repetitive(text: Column, cfg: AuditConfig = DEFAULT) -> Column:
     """Does one n-gram make up more than its share of the row's n-grams?
 
@@ -74,21 +103,8 @@ def is_repetitive(text: Column, cfg: AuditConfig = DEFAULT) -> Column:
     times starts k times with the same token, so n-grams are only built for
     rows where some single token is that frequent.
     """
-    words = tokens(text)
-    n_grams = F.size(words) - (cfg.ngram - 1)
-    needed = (F.floor(F.lit(Decimal(cfg.ngram_share)) * n_grams) + 1).cast("int")
-    grams = F.transform(
-        F.sequence(F.lit(1), n_grams),
-        lambda at: F.concat_ws(
-            " ", *[F.element_at(words, at + F.lit(k)) for k in range(cfg.ngram)]
-        ),
-    )
-    long_enough = F.size(words) >= cfg.ngram * 3
-    return F.when(text.isNull(), F.lit(None)).otherwise(
-        F.when(
-            long_enough & _has_run(F.sort_array(words), needed),
-            _has_run(F.sort_array(grams), needed),
-        ).otherwise(F.lit(False))
+    return F.when(
+        text.isNotNull(), bind(tokens(text), lambda words: _repeats_itself(words, cfg))
     )
 
 

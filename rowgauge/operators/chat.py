@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import column, type_of
-from ..functions.text import is_blank
+from ..functions.text import bind, is_blank
 
 # --- Fixed values: column-name layouts, in order of precedence ---------------
 NAMED_LAYOUTS = (
@@ -131,13 +131,16 @@ def chat_flags(df: DataFrame, name: str) -> dict[str, Column]:
     roles = F.filter(
         F.transform(c, lambda t: F.lower(part(t, role_key))), lambda r: r != SYSTEM_ROLE
     )
-    repeats = F.exists(
-        F.sequence(F.lit(2), F.size(roles)),
-        lambda i: (F.element_at(roles, i) == F.element_at(roles, i - 1))
-        & F.element_at(roles, i).isin(*ALTERNATING_ROLES),
-    )
+    def repeats(spoken: Column) -> Column:
+        return F.exists(
+            F.transform(spoken, lambda r, i: F.struct(r.alias("role"), i.alias("at"))),
+            lambda x: (x["at"] > 0)
+            & (x["role"] == F.get(spoken, x["at"] - 1))
+            & x["role"].isin(*ALTERNATING_ROLES),
+        )
+
     broken = (F.size(c) == 0) | F.exists(c, lambda t: t.isNull())
-    broken = broken | F.when(F.size(roles) >= 2, repeats).otherwise(no)
+    broken = broken | bind(roles, repeats)
     empty = F.exists(c, lambda t: t.isNotNull() & is_blank(part(t, text_key)))
     return {
         "broken_ordering": F.when(c.isNull(), no).otherwise(broken),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, WORD, AuditConfig
 from ..functions import text
 from ..functions.canonical import column
+from ..functions.numbers import interpolated, rounded
 from .shape import rows_from_wide
 
 PERCENTS = (5, 25, 50, 75, 95, 99)
@@ -40,22 +41,49 @@ def token_distribution(
     df: DataFrame, text_cols: Sequence[str], cfg: AuditConfig = DEFAULT
 ) -> DataFrame:
     """One row per text column: count, range, mean, exact percentiles, total."""
-    quantiles = F.percentile("tokens", [p / 100 for p in PERCENTS], F.col("n"))
-    per_column = length_counts(df, text_cols, cfg).groupBy("column").agg(
+    lengths = length_counts(df, text_cols, cfg)
+    return length_summary(lengths, cfg)
+
+
+def length_summary(lengths: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+    """Token distribution from counts per length; the windows see lengths, not rows."""
+    every = W.partitionBy("column")
+    ranked = lengths.withColumn("cum", F.sum("n").over(every.orderBy("tokens"))).withColumn(
+        "total", F.sum("n").over(every)
+    )
+
+    def at_rank(rank):
+        return F.min(F.when(F.col("cum") > rank, F.col("tokens"))).cast("double")
+
+    last = (F.col("total") - 1).cast("double")
+    ends = []
+    for p in PERCENTS:
+        place = F.lit(p / 100) * last
+        ends += [
+            at_rank(F.floor(place)).alias(f"low{p}"),
+            at_rank(F.ceil(place)).alias(f"high{p}"),
+        ]
+    per_column = ranked.groupBy("column").agg(
         F.sum("n").alias("count"),
         F.min("tokens").alias("min"),
         F.max("tokens").alias("max"),
         F.sum(F.col("tokens") * F.col("n")).alias("total_tokens"),
-        quantiles.alias("q"),
+        *ends,
     )
+    last = (F.col("count") - 1).cast("double")
+    quantiles = []
+    for p in PERCENTS:
+        place = F.lit(p / 100) * last
+        value = interpolated(F.col(f"low{p}"), F.col(f"high{p}"), place - F.floor(place))
+        quantiles.append(rounded(value, 1).alias(f"p{p}"))
     return per_column.select(
         "column",
         F.lit(cfg.tokenizer_name).alias("tokenizer"),
         "count",
         "min",
         "max",
-        F.round(F.col("total_tokens") / F.col("count"), 1).alias("mean"),
-        *[F.round(F.col("q")[i], 1).alias(f"p{p}") for i, p in enumerate(PERCENTS)],
+        rounded(F.col("total_tokens") / F.col("count"), 1).alias("mean"),
+        *quantiles,
         "total_tokens",
     )
 
@@ -78,47 +106,46 @@ def length_histogram(
     )
     flat = F.col("low") == F.col("high")
     pad = F.col("low") * F.lit(0.001)
-    lengths = lengths.select(
-        "tokens",
-        "n",
-        "bins",
-        F.when(flat, F.col("low") - pad).otherwise(F.col("low")).alias("first"),
-        F.when(flat, F.col("high") + pad).otherwise(F.col("high")).alias("last"),
-        flat.alias("flat"),
+    lengths = (
+        lengths.withColumn("first", F.when(flat, F.col("low") - pad).otherwise(F.col("low")))
+        .withColumn("last", F.when(flat, F.col("high") + pad).otherwise(F.col("high")))
+        .withColumn("step", (F.col("last") - F.col("first")) / F.col("bins"))
+    )
+    inner = F.when(F.col("bins") > 1, F.sequence(F.lit(1), F.col("bins") - 1)).otherwise(
+        F.array().cast("array<bigint>")
     )
-    edge_0 = F.when(F.col("flat"), F.col("first")).otherwise(
-        F.col("first") - (F.col("last") - F.col("first")) * F.lit(0.001)
+    passed = F.filter(inner, lambda i: F.col("tokens") > F.col("first") + i * F.col("step"))
+    counted = (
+        lengths.withColumn("bin", (F.size(passed) + 1).cast("bigint"))
+        .groupBy("bins", "low", "high", "first", "last", "step", "bin")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("bins", "low", "high", "first", "last", "step")
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
     )
 
-    def edge(i: int):
-        step = (F.col("last") - F.col("first")) / F.col("bins")
-        return F.when(F.col("bins") == i, F.col("last")).otherwise(F.col("first") + i * step)
+    def label(edge):
+        near = rounded(edge, 3)
+        return F.when(near < 0, F.ceil(near)).otherwise(F.floor(near)).cast("string")
 
-    def label(e):
-        rounded = F.round(e, 3)
-        return F.when(rounded < 0, F.ceil(rounded)).otherwise(F.floor(rounded)).cast("string")
+    def edge(i):
+        lowest = F.when(flat, F.col("first")).otherwise(
+            F.col("first") - (F.col("last") - F.col("first")) * F.lit(0.001)
+        )
+        return (
+            F.when(i == 0, lowest)
+            .when(i == F.col("bins"), F.col("last"))
+            .otherwise(F.col("first") + i * F.col("step"))
+        )
 
-    placed = F.lit(1)
-    for i in range(1, most):
-        beyond = (F.col("bins") > i) & (F.col("tokens") > edge(i))
-        placed = placed + F.when(beyond, 1).otherwise(0)
-    counted = (
-        lengths.withColumn("bin", placed)
-        .groupBy("bins", "first", "last", "flat")
-        .agg(*[F.sum(F.when(F.col("bin") == i, F.col("n"))).alias(f"c{i}") for i in range(1, most + 1)])
+    rows = F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.col("bins")),
+        lambda i: F.struct(
+            i.alias("bin"),
+            F.concat(label(edge(i - 1)), F.lit("-"), label(edge(i))).alias("range"),
+            F.coalesce(F.try_element_at(F.col("counts"), i), F.lit(0)).alias("count"),
+        ),
     )
-    rows = [
-        {
-            "bin": F.lit(i).cast("bigint"),
-            "bins": F.col("bins"),
-            "range": F.concat(
-                label(edge_0 if i == 1 else edge(i - 1)), F.lit("-"), label(edge(i))
-            ),
-            "count": F.coalesce(F.col(f"c{i}"), F.lit(0)),
-        }
-        for i in range(1, most + 1)
-    ]
-    return rows_from_wide(counted, rows).filter(F.col("bin") <= F.col("bins")).drop("bins")
+    return counted.select(F.inline(rows))
 
 
 def vocabulary(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
@@ -151,7 +178,7 @@ def vocabulary(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
         F.count("word").alias("unique_tokens"),
     )
     ttr = F.try_divide(F.col("unique_tokens").cast("double"), F.col("total_tokens"))
-    return totals.withColumn("ttr", F.coalesce(F.round(ttr, 4), F.lit(0.0)))
+    return totals.withColumn("ttr", F.coalesce(rounded(ttr, 4), F.lit(0.0)))
 
 
 def noise(df: DataFrame, text_cols: Sequence[str], cfg: AuditConfig = DEFAULT) -> DataFrame:

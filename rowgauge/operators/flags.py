@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, AuditConfig
 from ..functions import safety, text
 from ..functions.canonical import column
+from ..functions.numbers import rounded
 from .shape import rows_from_wide
 
 
@@ -70,7 +71,7 @@ def text_quality(
             "count": F.count(c),
             "min_chars": F.min(F.length(c)).cast("bigint"),
             "max_chars": F.max(F.length(c)).cast("bigint"),
-            "mean_chars": F.round(F.avg(F.length(c)), 1),
+            "mean_chars": rounded(F.avg(F.length(c)), 1),
             **{k: F.count_if(v) for k, v in text.quality_flags(c, cfg).items()},
         }
         aggs += [v.alias(f"{i}_{k}") for k, v in measures.items()]

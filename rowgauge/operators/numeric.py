@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
 from ..functions.canonical import clean, numeric_columns
+from ..functions.numbers import rounded
 from ..functions.order_stats import order_statistics
 from .flags import evidence, example_lists
 from .shape import rows_from_wide
@@ -51,7 +52,8 @@ def quartiles(
         for p in (0.25, 0.75):
             at = (n - 1) * p
             lower, upper = values[c, math.floor(at)], values[c, math.ceil(at)]
-            q.append(lower + (upper - lower) * (at - math.floor(at)))
+            share, gap = at - math.floor(at), upper - lower
+            q.append(upper - gap * (1 - share) if share >= 0.5 else lower + gap * share)
         out[c] = {"n": n, "mean": mean, "std": std, "q1": q[0], "q3": q[1]}
     return out
 
@@ -123,5 +125,5 @@ def numeric_correlation(
                 rows.append({"col_a": F.lit(a), "col_b": F.lit(b), "r": F.col(f"r{k}")})
             out = out.unionAll(rows_from_wide(df.agg(*aggs), rows))
     return out.filter(F.abs("r") >= cfg.correlation_from).select(
-        "col_a", "col_b", F.round("r", 3).alias("correlation")
+        "col_a", "col_b", rounded(F.col("r"), 3).alias("correlation")
     )

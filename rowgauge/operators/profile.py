@@ -21,6 +21,7 @@ from ..functions.canonical import (
     type_of,
     value_key,
 )
+from ..functions.numbers import rounded
 from .shape import pct, rows_from_wide
 
 PAIRS_PER_SCAN = 400
@@ -111,7 +112,7 @@ def correlated_missingness(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFra
         part = rows_from_wide(both, rows)
         out = part if out is None else out.unionAll(part)
     return out.filter(F.abs("r") >= cfg.co_missing_from).select(
-        "col_a", "col_b", F.round("r", 2).alias("corr")
+        "col_a", "col_b", rounded(F.col("r"), 2).alias("corr")
     )
 
 
@@ -166,7 +167,7 @@ def cardinality(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
         .select(
             "column",
             "unique",
-            F.round(ratio, 4).alias("unique_ratio"),
+            rounded(ratio, 4).alias("unique_ratio"),
             ((ratio >= cfg.high_cardinality_from) & (F.col("n") > 1)).alias("high_cardinality"),
             (F.col("unique") <= 1).alias("constant"),
         )
@@ -292,7 +293,7 @@ def class_balance(
         "minority_label",
         "minority_count",
         pct(F.col("minority_count"), F.col("rows")).alias("minority_pct"),
-        F.round(ratio, 2).alias("imbalance_ratio"),
+        rounded(ratio, 2).alias("imbalance_ratio"),
         by_ratio(0).alias("verdict"),
         by_ratio(1).alias("recommended_strategy"),
     )

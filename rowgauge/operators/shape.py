@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
+
 
 def rows_from_wide(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
     """One output row per mapping, for each (few, wide) input row."""
@@ -19,6 +21,4 @@ def rows_from_wide(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataF
 
 def pct(part: Column, whole: Column) -> Column:
     """Percentage with two decimals; 0.0 of nothing."""
-    return F.coalesce(
-        F.round(F.try_divide(F.lit(100.0) * part, whole), 2), F.lit(0.0)
-    )
+    return F.coalesce(rounded(F.try_divide(F.lit(100.0) * part, whole), 2), F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import column
+
 
 def _kind(v: Column) -> Column:
     """Value kind by its plain name; null for a JSON null."""
@@ -27,11 +29,14 @@ def dtype_consistency(df: DataFrame, variant: str = "v") -> DataFrame:
     Nested objects are opened one level (``a.b``). Whole and fractional
     numbers together are one numeric column, not a mix.
     """
-    top = df.selectExpr(f"variant_explode(`{variant}`) AS (pos, key, value)")
-    inner = top.filter(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT"))).selectExpr(
-        "key AS parent", "variant_explode(value) AS (pos, key, value)"
+    spark = df.sparkSession
+    top = df.select(column(variant).alias("record")).lateralJoin(
+        spark.tvf.variant_explode(F.col("record").outer())
     )
-    cells = top.filter(~F.startswith(F.schema_of_variant("value"), F.lit("OBJECT"))).select(
+    top = top.select("key", "value", F.schema_of_variant("value").startswith("OBJECT").alias("opens"))
+    inner = top.filter("opens").select(F.col("key").alias("parent"), F.col("value").alias("record"))
+    inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("record").outer()))
+    cells = top.filter(~F.col("opens")).select(
         F.col("key").alias("column"), _kind(F.col("value")).alias("kind")
     ).unionAll(
         inner.select(

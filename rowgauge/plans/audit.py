@@ -99,18 +99,18 @@ def _flag_table(df, row_id, text_cols, fmt, pair, cfg):
     return df.select(*ids, *lengths.values(), *named), list(flags)
 
 
-def _lengths(slim: DataFrame, i: int):
+def _lengths(slim: DataFrame, text_cols) -> dict:
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(f"`tokens/{i}`").alias("tokens"))
+        for i, c in enumerate(text_cols)
+    ]
     per_length = (
-        slim.select(F.col(f"`tokens/{i}`").alias("tokens"))
+        slim.select(F.inline(F.array(*cells)))
         .filter(F.col("tokens").isNotNull())
-        .groupBy("tokens")
+        .groupBy("column", "tokens")
         .agg(F.count("*").alias("n"))
     )
-    return per_length.agg(
-        F.coalesce(F.sum("n"), F.lit(0)),
-        F.max("tokens"),
-        F.round(F.percentile("tokens", F.lit(0.99), F.col("n")), 1),
-    ).first()
+    return {r["column"]: r for r in corpus.length_summary(per_length).collect()}
 
 
 def table_stats(
@@ -133,7 +133,7 @@ def table_stats(
         named = [F.count_if(column(k)).alias(k) for k in flags]
         row = slim.agg(F.count("*").alias("n"), *named).first()
         hits = {k: row[i + 1] for i, k in enumerate(flags)}
-        lengths = [_lengths(slim, i) for i in range(len(text_cols))]
+        lengths = _lengths(slim, text_cols) if text_cols else {}
         schema = "check string, row_id string, position bigint"
         proof, examples = df.sparkSession.createDataFrame([], schema), {}
         hit = [k for k in flags if hits[k]]
@@ -160,17 +160,17 @@ def table_stats(
     mixed = _mixed(body, variants)
 
     per_text = []
-    for i, c in enumerate(text_cols):
-        near, words = dup.get(("near", c)), vocab.get(c)
+    for c in text_cols:
+        near, words, size = dup.get(("near", c)), vocab.get(c), lengths.get(c)
         per_text.append(
             TextStats(
                 column=c,
                 flags={k.split("/", 1)[1]: n for k, n in hits.items() if k.startswith(c + "/")},
                 near_rows=near["duplicate_rows"] if near else 0,
                 near_pct=near["duplicate_pct"] if near else 0.0,
-                texts=lengths[i][0],
-                max_tokens=lengths[i][1],
-                p99=lengths[i][2],
+                texts=size["count"] if size else 0,
+                max_tokens=size["max"] if size else None,
+                p99=size["p99"] if size else None,
                 ttr=words["ttr"] if words else 0,
                 total_tokens=words["total_tokens"] if words else 0,
             )

@@ -26,7 +26,8 @@ MAX_ROUNDS = 8
 @dataclass
 class _Bracket:
     name: str
-    rank: int      # 0-based, among the non-null values
+    first: int     # 0-based ranks among the non-null values,
+    last: int      # both wanted (equal or neighbours)
     low: Any       # both ends belong to the interval
     high: Any
     below: int     # values < low
@@ -34,6 +35,10 @@ class _Bracket:
     strict: int    # values strictly between the ends
     stuck: bool = False
 
+    @property
+    def interval(self):
+        return (self.name, self.low, self.high)
+
 
 def _bounds(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, tuple[int, Any, Any]]:
     exprs = []
@@ -43,70 +48,90 @@ def _bounds(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, tuple[int
     return {name: tuple(row[3 * i : 3 * i + 3]) for i, name in enumerate(columns)}
 
 
-def _narrow(df, columns, brackets, accuracy) -> None:
+def _guesses(df, columns, brackets, accuracy) -> list[tuple[Any, Any]]:
+    """A narrower interval for each bracket; one sketch per current interval."""
+    places: dict[tuple, list[float]] = {}
+    at = []
+    for b in brackets:
+        span = max(b.upto - b.below - 1, 1)
+        ends = places.setdefault(b.interval, [])
+        at.append(len(ends))
+        ends.append(max((b.first - b.below) / span - 2 / accuracy, 0.0))
+        ends.append(min((b.last - b.below) / span + 2 / accuracy, 1.0))
     sketches = []
-    for i, b in enumerate(brackets):
-        c = columns[b.name]
-        at = (b.rank - b.below) / max(b.upto - b.below - 1, 1)
-        ends = [max(at - 2 / accuracy, 0.0), min(at + 2 / accuracy, 1.0)]
-        inside = F.when((c >= F.lit(b.low)) & (c <= F.lit(b.high)), c)
+    for i, ((name, low, high), ends) in enumerate(places.items()):
+        c = columns[name]
+        inside = F.when((c >= F.lit(low)) & (c <= F.lit(high)), c)
         sketches.append(F.percentile_approx(inside, ends, accuracy).alias(f"x{i}"))
-    guesses = df.agg(*sketches).first()
+    row = df.agg(*sketches).first()
+    values = dict(zip(places, row))
+    return [(values[b.interval][k], values[b.interval][k + 1]) for b, k in zip(brackets, at)]
 
+
+def _narrow(df, columns, brackets, accuracy) -> None:
+    guesses = _guesses(df, columns, brackets, accuracy)
     counts = []
-    for i, b in enumerate(brackets):
-        c, (low, high) = columns[b.name], guesses[i]
+    for i, (b, (low, high)) in enumerate(zip(brackets, guesses)):
+        c = columns[b.name]
         counts += [
             F.count_if(c < F.lit(low)).alias(f"b{i}"),
             F.count_if(c <= F.lit(high)).alias(f"u{i}"),
             F.count_if((c > F.lit(low)) & (c < F.lit(high))).alias(f"s{i}"),
         ]
     seen = df.agg(*counts).first()
-    for i, b in enumerate(brackets):
+    for i, (b, (low, high)) in enumerate(zip(brackets, guesses)):
         below, upto, strict = seen[3 * i : 3 * i + 3]
-        if below <= b.rank < upto:
-            b.stuck = strict > b.strict / 2
-            b.low, b.high = guesses[i]
-            b.below, b.upto, b.strict = below, upto, strict
-        else:
-            b.stuck = True
+        proven = below <= b.first and b.last < upto
+        b.stuck = not proven or strict > b.strict / 2
+        if proven:
+            b.low, b.high, b.below, b.upto, b.strict = low, high, below, upto, strict
+
 
+def _rank_inside(df, columns, brackets) -> dict[tuple[str, int], Any]:
+    """Group the values inside each interval and walk up to the ranks.
 
-def _rank_inside(df, columns, brackets) -> dict[int, Any]:
-    """Group the values inside each interval and walk up to the rank."""
+    Columns of one type share a job.
+    """
+    types = df.select(*[columns[b.name].alias(f"x{i}") for i, b in enumerate(brackets)]).dtypes
     found = {}
-    by_name: dict[str, list[int]] = {}
-    for i, b in enumerate(brackets):
-        by_name.setdefault(b.name, []).append(i)
-    # One DataFrame per column type keeps the values uncast.
-    for name, indexes in by_name.items():
+    for dtype in dict.fromkeys(t for _, t in types):
+        found.update(
+            _ranks_of_one_type(df, columns, [b for b, (_, t) in zip(brackets, types) if t == dtype])
+        )
+    return found
+
+
+def _ranks_of_one_type(df, columns, brackets) -> dict[tuple[str, int], Any]:
+    intervals: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        intervals.setdefault(b.interval, []).append(b)
+    some, cells = F.lit(False), []
+    for i, (name, low, high) in enumerate(intervals):
         c = columns[name]
-        candidates = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        (c >= F.lit(brackets[i].low)) & (c <= F.lit(brackets[i].high)),
-                        F.struct(
-                            F.lit(i).alias("bracket"),
-                            F.lit(brackets[i].rank - brackets[i].below).alias("rank"),
-                            c.alias("value"),
-                        ),
-                    )
-                    for i in indexes
-                ]
+        inside = (c >= F.lit(low)) & (c <= F.lit(high))
+        some = some | inside
+        cells.append(F.when(inside, F.struct(F.lit(i).alias("at"), c.alias("value"))))
+    cum = F.sum("n").over(W.partitionBy("at").orderBy("value"))
+    ranked = (
+        df.filter(some)
+        .select(F.inline(F.array_compact(F.array(*cells))))
+        .groupBy("at", "value")
+        .agg(F.count("*").alias("n"))
+        .withColumn("cum", cum)
+    )
+    wanted = F.lit(False)
+    for i, group in enumerate(intervals.values()):
+        for b in group:
+            reached = (F.col("cum") > b.first - b.below) & (
+                F.col("cum") - F.col("n") <= b.last - b.below
             )
-        )
-        upto = W.partitionBy("bracket").orderBy("value")
-        rows = (
-            df.select(F.inline(candidates))
-            .groupBy("bracket", "rank", "value")
-            .agg(F.count("*").alias("n"))
-            .withColumn("cum", F.sum("n").over(upto))
-            .filter((F.col("rank") < F.col("cum")) & (F.col("rank") >= F.col("cum") - F.col("n")))
-            .select("bracket", "value")
-            .collect()
-        )
-        found.update({r["bracket"]: r["value"] for r in rows})
+            wanted = wanted | ((F.col("at") == i) & reached)
+    found, groups = {}, list(intervals.values())
+    for r in ranked.filter(wanted).collect():
+        for b in groups[r["at"]]:
+            for rank in (b.first, b.last):
+                if r["cum"] - r["n"] <= rank - b.below < r["cum"]:
+                    found[b.name, rank] = r["value"]
     return found
 
 
@@ -123,21 +148,26 @@ def order_statistics(
     ``bounds`` may hold (count, min, max) per column where the caller has them.
     """
     known = bounds or _bounds(df, columns)
-    brackets = []
+    brackets: list[_Bracket] = []
     for name, wanted in ranks.items():
         n, low, high = known[name]
-        brackets += [
-            _Bracket(name, rank, low, high, 0, n, n) for rank in sorted(set(wanted)) if rank < n
-        ]
+        for rank in sorted({r for r in wanted if r < n}):
+            last = brackets[-1] if brackets else None
+            if last and last.name == name and last.first == last.last == rank - 1:
+                last.last = rank
+            else:
+                brackets.append(_Bracket(name, rank, rank, low, high, 0, n, n))
     for _ in range(MAX_ROUNDS):
         wide = [b for b in brackets if b.strict > small and not b.stuck and b.low != b.high]
         if not wide:
             break
         _narrow(df, columns, wide, accuracy)
 
-    values = {(b.name, b.rank): b.low for b in brackets if b.low == b.high}
+    values = {}
+    for b in brackets:
+        if b.low == b.high:
+            values[b.name, b.first] = values[b.name, b.last] = b.low
     open_ = [b for b in brackets if b.low != b.high]
     if open_:
-        found = _rank_inside(df, columns, open_)
-        values.update({(b.name, b.rank): found[i] for i, b in enumerate(open_)})
+        values.update(_rank_inside(df, columns, open_))
     return values

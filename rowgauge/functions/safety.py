@@ -39,18 +39,29 @@ def _escape(word: str) -> str:
     return "".join(ch if ch.isalnum() or ch in "_ " else "\\" + ch for ch in word)
 
 
-def _whole(word: str) -> str:
-    """The word with a boundary on both sides, in the explicit classes."""
-    inside, outside = f"[{WORD_SET}]", f"[^{WORD_SET}]"
-    def is_word(ch):
-        return ch.isalnum() or ch == "_"
-    left = rf"(?:\A|{outside})" if is_word(word[0]) else inside
-    right = rf"(?:{outside}|\z)" if is_word(word[-1]) else inside
-    return left + _escape(word) + right
+def _is_word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
 
 
-def keyword_pattern(words: Sequence[str]) -> str:
-    return "|".join(_whole(word) for word in words)
+def whole_word(word: str) -> str:
+    """Pattern of the word with a word boundary on both sides.
+
+    The literal comes first and the look-behind after it, so the engine can
+    skip ahead to the literal.
+    """
+    inside, body = f"[{WORD_SET}]", _escape(word)
+    before = f"(?<!{inside}{body})" if _is_word(word[0]) else f"(?<={inside}{body})"
+    after = f"(?!{inside})" if _is_word(word[-1]) else f"(?={inside})"
+    return body + before + after
+
+
+def has_keyword(lowered: Column, words: Sequence[str]) -> Column:
+    """Some listed word occurs as a whole word; the regex runs only on texts
+    that hold its letters at all."""
+    found = F.lit(False)
+    for word in words:
+        found = found | (lowered.contains(word) & lowered.rlike(whole_word(word)))
+    return F.when(lowered.isNotNull(), found)
 
 
 def keyword_flags(
@@ -60,5 +71,5 @@ def keyword_flags(
     lowered = F.lower(text)
     words_of = DEFAULT.keywords if keywords is None else keywords
     return {
-        category: lowered.rlike(keyword_pattern(words)) for category, words in words_of.items()
+        category: has_keyword(lowered, words) for category, words in words_of.items()
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -25,6 +26,14 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(NOT_WS)
 
 
+def contains_any(text: Column, parts: Sequence[str]) -> Column:
+    """Plain substring search, several times faster than a regex of alternatives."""
+    found = text.contains(parts[0])
+    for part in parts[1:]:
+        found = found | text.contains(part)
+    return found
+
+
 def has_odd_whitespace(text: Column, cfg: AuditConfig = DEFAULT) -> Column:
     first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
     return text.rlike(cfg.multi_ws) | first.rlike(WS) | last.rlike(WS)
@@ -112,6 +121,6 @@ def quality_flags(text: Column, cfg: AuditConfig = DEFAULT) -> dict[str, Column]
     return {
         "empty_or_whitespace": is_blank(text),
         "html_bleed": text.rlike(cfg.html_tag),
-        "encoding_artifacts": text.rlike(cfg.mojibake),
+        "encoding_artifacts": contains_any(text, cfg.mojibake),
         "whitespace_anomalies": has_odd_whitespace(text, cfg),
     }

@@ -95,6 +95,60 @@ def numeric_outliers(
     return result.join(examples.withColumnRenamed("check", "column"), "column", "left")
 
 
+def _moments(df, names) -> dict[str, tuple[int, float]]:
+    """(missing values, mean) of every column that varies, from one pass."""
+    aggs = [F.count("*")]
+    for c in names:
+        v = _as_double(df, c)
+        aggs += [F.count(v), F.avg(v), F.min(v), F.max(v)]
+    row = df.agg(*[a.alias(f"x{i}") for i, a in enumerate(aggs)]).first()
+    out = {}
+    for i, c in enumerate(names):
+        n, mean, low, high = row[4 * i + 1 : 4 * i + 5]
+        if n > 1 and low != high:
+            out[c] = (row[0] - n, mean)
+    return out
+
+
+def _correlations(df, pairs, moments) -> DataFrame:
+    """(col_a, col_b, r) of the pairs from sums of centred values.
+
+    Sums that do not depend on the partner (no gaps there) are the same
+    expression for every pair, and Spark computes equal aggregates once.
+    """
+    names = dict.fromkeys(c for pair in pairs for c in pair)
+    at = {c: i for i, c in enumerate(names)}
+    centred = df.select(
+        *[(_as_double(df, c) - F.lit(moments[c][1])).alias(f"c{i}") for c, i in at.items()]
+    )
+
+    def value(c):
+        return f"c{at[c]}" if moments[c][0] == 0 else f"coalesce(c{at[c]}, 0D)"
+
+    def where_present(expr, c):
+        return expr if moments[c][0] == 0 else f"if(c{at[c]} IS NOT NULL, {expr}, 0D)"
+
+    aggs, rows = [], []
+    for k, (a, b) in enumerate(pairs):
+        x, y = value(a), value(b)
+        sums = {
+            "n": where_present(where_present("1D", a), b),
+            "x": where_present(x, b),
+            "y": where_present(y, a),
+            "xx": where_present(f"{x} * {x}", b),
+            "yy": where_present(f"{y} * {y}", a),
+            "xy": f"{x} * {y}",
+        }
+        aggs += [F.expr(f"sum({v}) AS {name}{k}") for name, v in sums.items()]
+        spread = (
+            f"(xx{k} - try_divide(x{k} * x{k}, n{k})) * (yy{k} - try_divide(y{k} * y{k}, n{k}))"
+        )
+        shared = f"xy{k} - try_divide(x{k} * y{k}, n{k})"
+        r = f"CASE WHEN {spread} > 0 THEN try_divide({shared}, sqrt({spread})) END"
+        rows.append({"col_a": F.lit(a), "col_b": F.lit(b), "r": F.expr(r)})
+    return rows_from_wide(centred.agg(*aggs), rows)
+
+
 def numeric_correlation(
     df: DataFrame, columns: Sequence[str] | None = None, cfg: AuditConfig = DEFAULT
 ) -> DataFrame:
@@ -104,26 +158,19 @@ def numeric_correlation(
     grows with the square of the table width and each scan reads two blocks.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
+    moments = _moments(df, names) if names else {}
+    names = [c for c in names if c in moments]
     blocks = [names[i : i + COLUMNS_PER_BLOCK] for i in range(0, len(names), COLUMNS_PER_BLOCK)]
-    schema = "col_a string, col_b string, r double"
-    out = df.sparkSession.createDataFrame([], schema)
+    out = df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     for i, left in enumerate(blocks):
         for right in blocks[i:]:
             if left is right:
                 pairs = [(a, b) for k, a in enumerate(left) for b in left[k + 1 :]]
             else:
                 pairs = [(a, b) for a in left for b in right]
-            if not pairs:
-                continue
-            aggs, rows = [], []
-            for k, (a, b) in enumerate(pairs):
-                x, y = _as_double(df, a), _as_double(df, b)
-                both = x.isNotNull() & y.isNotNull()
-                x, y = F.when(both, x), F.when(both, y)
-                spread = F.stddev_samp(x) * F.stddev_samp(y)
-                aggs.append(F.try_divide(F.covar_samp(x, y), spread).alias(f"r{k}"))
-                rows.append({"col_a": F.lit(a), "col_b": F.lit(b), "r": F.col(f"r{k}")})
-            out = out.unionAll(rows_from_wide(df.agg(*aggs), rows))
+            if pairs:
+                part = _correlations(df, pairs, moments)
+                out = part if i == 0 and right is blocks[0] else out.unionAll(part)
     return out.filter(F.abs("r") >= cfg.correlation_from).select(
         "col_a", "col_b", rounded(F.col("r"), 3).alias("correlation")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,6 @@ class AuditReport:
     splits: DataFrame
     primary_split: str
     checks: DataFrame
-    dimensions: DataFrame
-    overall: DataFrame
     evidence: DataFrame
     leakage: DataFrame | None
     leakage_reason: str
@@ -39,6 +38,15 @@ class AuditReport:
     text_columns: list[str]
     link: str = ""
     analysis: Mapping[str, DataFrame] = field(default_factory=dict)
+    cfg: AuditConfig = DEFAULT
+
+    @cached_property
+    def dimensions(self) -> DataFrame:
+        return score_dimensions(self.checks, self.cfg)
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return score_overall(self.checks, self.cfg)
 
 
 def _analysis(df, row_id, text_cols, cfg) -> Mapping[str, DataFrame]:
@@ -270,8 +278,6 @@ def audit(
         splits=split_metadata(whole.drop(row_id) if row_id else whole, split_col),
         primary_split=primary,
         checks=checks,
-        dimensions=score_dimensions(checks, cfg),
-        overall=score_overall(checks, cfg),
         evidence=proof,
         leakage=leakage,
         leakage_reason=reason,
@@ -279,4 +285,5 @@ def audit(
         text_columns=text_cols,
         link=link,
         analysis=_analysis(df, row_id, text_cols, cfg),
+        cfg=cfg,
     )

@@ -17,23 +17,21 @@ def _rating(score: Column) -> Column:
     return expr
 
 
-def _penalty(cfg: AuditConfig) -> Column:
-    points = F.lit(0)
-    for severity, value in cfg.penalties.items():
-        points = F.when(F.col("severity") == severity, value).otherwise(points)
-    share = F.when(F.col("status") == FAIL, F.lit("1.0").cast("decimal(2,1)")).when(
-        F.col("status") == WARN, F.lit("0.5").cast("decimal(2,1)")
-    )
-    return points * F.coalesce(share, F.lit("0.0").cast("decimal(2,1)"))
-
-
 def _dimension_scores(cfg: AuditConfig) -> list[Column]:
-    """One aggregate per dimension; a dimension without checks has 100."""
+    """One aggregate per dimension; a dimension without checks has 100.
+
+    Decimals throughout: halves of whole penalties stay exact.
+    """
+    points = "CASE severity " + " ".join(
+        f"WHEN '{severity}' THEN {value}" for severity, value in cfg.penalties.items()
+    ) + " ELSE 0 END"
+    share = f"CASE status WHEN '{FAIL}' THEN 1.0 WHEN '{WARN}' THEN 0.5 ELSE 0.0 END"
     scores = []
     for i, (_name, _weight, categories) in enumerate(cfg.dimensions):
-        lost = F.sum(F.when(F.col("category").isin(*categories), _penalty(cfg)))
-        left = F.lit(100) - F.coalesce(lost, F.lit(0))
-        scores.append(F.greatest(F.bround(left, 1), F.lit(0)).cast("decimal(10,1)").alias(f"d{i}"))
+        listed = ", ".join(f"'{c}'" for c in categories)
+        lost = f"sum(CASE WHEN category IN ({listed}) THEN ({points}) * ({share}) END)"
+        left = f"greatest(bround(100 - coalesce({lost}, 0), 1), 0)"
+        scores.append(F.expr(f"CAST({left} AS DECIMAL(10, 1)) AS d{i}"))
     return scores
 
 

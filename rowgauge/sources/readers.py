@@ -30,6 +30,16 @@ def flatten_once(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with too few tasks (small or unsplittable files) over all cores.
+
+    A scan with at least two tasks per core is left as it is. Meant for a plain
+    scan; filters and column pruning still reach it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def _typed(df: DataFrame) -> DataFrame:
     """Whole, fractional and boolean columns told from text in one aggregate."""
     checks = []

@@ -25,7 +25,7 @@ from rowgauge.sources import sinks
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return readers.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def scratch(spark: SparkSession) -> str:

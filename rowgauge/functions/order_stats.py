@@ -147,7 +147,7 @@ def order_statistics(
 
     ``bounds`` may hold (count, min, max) per column where the caller has them.
     """
-    known = bounds or _bounds(df, columns)
+    known = bounds if bounds is not None else _bounds(df, columns)
     brackets: list[_Bracket] = []
     for name, wanted in ranks.items():
         n, low, high = known[name]

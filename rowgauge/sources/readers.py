@@ -16,6 +16,8 @@ from .manifest import file_format
 WRAPPERS = ("data", "rows", "examples", "instances")
 INTEGER = r"\A[+-]?[0-9]+\z"
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+# Named outright, bytes that are no UTF-8 are replaced; otherwise they fail the scan.
+ENCODING = "UTF-8"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -97,10 +99,11 @@ def read_jsonl(
     spark: SparkSession, path: str, schema=None, mode: str = "FAILFAST", flatten: bool = True
 ) -> DataFrame:
     """JSON lines. Columns keep the order of the first record."""
+    reader = spark.read.option("mode", mode).option("encoding", ENCODING)
     if schema is not None:
-        df = spark.read.schema(schema).option("mode", mode).json(path)
+        df = reader.schema(schema).json(path)
     else:
-        df = spark.read.option("mode", mode).json(path)
+        df = reader.json(path)
         first = (
             spark.read.text(path)
             .filter(F.trim("value") != "")
@@ -119,7 +122,7 @@ def read_json_document(
 
     A document cannot be split, so each file is one task.
     """
-    reader = spark.read.option("multiLine", True).option("mode", mode)
+    reader = spark.read.options(multiLine=True, mode=mode, encoding=ENCODING)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     types = {f.name: f.dataType for f in df.schema}
     wrapper = next((w for w in WRAPPERS if isinstance(types.get(w), T.ArrayType)), None)
@@ -131,7 +134,9 @@ def read_json_document(
 def read_variants(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """JSON records as one variant column ``v``, value kinds left as they are."""
     return (
-        spark.read.option("singleVariantColumn", "v").option("multiLine", multi_line).json(path)
+        spark.read.options(singleVariantColumn="v", multiLine=multi_line, encoding=ENCODING).json(
+            path
+        )
     )
 
 

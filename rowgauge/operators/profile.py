@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from ..config import DEFAULT, AuditConfig
 from ..functions import text
 from ..functions.canonical import (
+    FLOATING,
     NESTED,
     canonical,
+    clean,
     column,
     missing,
     row_hash,
@@ -121,6 +123,26 @@ def _long_keys(df: DataFrame, key, names: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
+def _typed_cell(df: DataFrame, name: str) -> Column:
+    """The cell as whole number, fraction or text key; numbers are not formatted."""
+    dtype, c = type_of(df, name), clean(df, name)
+    whole, real, key = F.lit(None), F.lit(None), F.lit(None)
+    if isinstance(dtype, T.TimestampType):
+        whole = F.unix_micros(c)
+    elif isinstance(dtype, T.IntegralType):
+        whole = c
+    elif isinstance(dtype, FLOATING):
+        real = c
+    else:
+        key = value_key(df, name)
+    return F.struct(
+        F.lit(name).alias("column"),
+        whole.cast("bigint").alias("whole"),
+        real.cast("double").alias("real"),
+        key.cast("string").alias("key"),
+    )
+
+
 def distinct_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """(column, n, unique): exact, missing values not counted as a value.
 
@@ -128,13 +150,15 @@ def distinct_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
     are merged in each task first, so a value that fills a third of the rows
     crosses the network once per task.
     """
+    cells = [_typed_cell(df, c) for c in (df.columns if names is None else names)]
     counted = (
-        _long_keys(df, value_key, df.columns if names is None else names)
-        .groupBy("column", "key")
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("column", "whole", "real", "key")
         .agg(F.count("*").alias("n"))
     )
+    present = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("key").isNotNull()
     return counted.groupBy("column").agg(
-        F.sum("n").alias("n"), F.count("key").alias("unique")
+        F.sum("n").alias("n"), F.count_if(present).alias("unique")
     )
 
 
@@ -232,7 +256,7 @@ def _at_most(names, df: DataFrame, max_classes: int) -> list[str]:
     ceiling = registers * math.log(registers / (registers - max_classes)) + 1
     row = df.agg(
         *[
-            F.approx_count_distinct(value_key(df, c), 0.05).alias(f"x{i}")
+            F.approx_count_distinct(clean(df, c), 0.05).alias(f"x{i}")
             for i, c in enumerate(names)
         ]
     ).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,13 @@ from pyspark.sql import types as T
 
 from ..config import NA_VALUES
 from ..functions.canonical import column
+from ..functions.text import is_blank
 from .manifest import file_format
 
 # --- Fixed values: wrapper keys of a JSON document, first match wins ---------
 WRAPPERS = ("data", "rows", "examples", "instances")
 INTEGER = r"\A[+-]?[0-9]+\z"
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
-# Named outright, bytes that are no UTF-8 are replaced; otherwise they fail the scan.
-ENCODING = "UTF-8"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -95,23 +95,41 @@ def read_delimited(
     )
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines; bytes that are no UTF-8 become replacement characters."""
+    lines = spark.read.text(path).select(F.make_valid_utf8("value").alias("value"))
+    return lines.filter(~is_blank(F.col("value")))
+
+
+def _record_schema(lines: DataFrame) -> T.StructType:
+    """The merged schema of all records, from one aggregate.
+
+    Keys with several kinds of values become strings, as do keys without any.
+    """
+    found = lines.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0]
+    if not found or not found.startswith("OBJECT"):
+        return T.StructType([])
+    parts = re.split(r"(`(?:[^`]|``)*`)", found)  # quoted names stay as they are
+    for k in range(0, len(parts), 2):
+        part = re.sub(r"\b(VOID|VARIANT)\b(?!:)", "STRING", parts[k])
+        part = re.sub(r"\b(DECIMAL\(\d+,\s*\d+\)|FLOAT\b(?!:))", "DOUBLE", part)
+        parts[k] = re.sub(r"\bOBJECT(?=<)", "STRUCT", part)
+    ddl = "".join(parts)
+    return T.StructType.fromDDL("r " + ddl)["r"].dataType
+
+
 def read_jsonl(
     spark: SparkSession, path: str, schema=None, mode: str = "FAILFAST", flatten: bool = True
 ) -> DataFrame:
     """JSON lines. Columns keep the order of the first record."""
-    reader = spark.read.option("mode", mode).option("encoding", ENCODING)
-    if schema is not None:
-        df = reader.schema(schema).json(path)
-    else:
-        df = reader.json(path)
-        first = (
-            spark.read.text(path)
-            .filter(F.trim("value") != "")
-            .select(F.json_object_keys("value").alias("keys"))
-            .first()
-        )
-        lead = [k for k in dict.fromkeys((first and first["keys"]) or []) if k in df.columns]
-        df = df.select(*[column(c) for c in lead + [c for c in df.columns if c not in lead]])
+    lines = _lines(spark, path)
+    if schema is None:
+        schema = _record_schema(lines)
+        first = lines.select(F.json_object_keys("value").alias("keys")).first()
+        lead = [k for k in dict.fromkeys((first and first["keys"]) or []) if k in schema.names]
+        names = lead + [c for c in schema.names if c not in lead]
+        schema = T.StructType([schema[c] for c in names])
+    df = lines.select(F.from_json("value", schema, {"mode": mode}).alias("r")).select("r.*")
     return flatten_once(df) if flatten else df
 
 
@@ -122,7 +140,7 @@ def read_json_document(
 
     A document cannot be split, so each file is one task.
     """
-    reader = spark.read.options(multiLine=True, mode=mode, encoding=ENCODING)
+    reader = spark.read.options(multiLine=True, mode=mode)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     types = {f.name: f.dataType for f in df.schema}
     wrapper = next((w for w in WRAPPERS if isinstance(types.get(w), T.ArrayType)), None)
@@ -131,13 +149,9 @@ def read_json_document(
     return flatten_once(df) if flatten else df
 
 
-def read_variants(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """JSON records as one variant column ``v``, value kinds left as they are."""
-    return (
-        spark.read.options(singleVariantColumn="v", multiLine=multi_line, encoding=ENCODING).json(
-            path
-        )
-    )
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as one variant column ``v``, value kinds left as they are."""
+    return _lines(spark, path).select(F.parse_json("value").alias("v"))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:

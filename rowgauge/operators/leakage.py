@@ -22,24 +22,30 @@ def split_leakage(
 ) -> DataFrame:
     """(split, leaked_rows, leaked_pct) of every split but the training one.
 
-    One grouping by the hash of the normalised text answers for all splits at
-    once: no join, and a text copied into a third of the rows is merged in each
-    task before anything is shuffled. Percentages are of all rows of a split.
+    Percentages are of all rows of a split, with text or without.
+    """
+    keys = df.select(
+        column(split_col).alias("split"), text.normal_hash(column(text_col)).alias("key")
+    )
+    return leaked_keys(keys, splits)
+
+
+def leaked_keys(keys: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """The same from (split, key) rows.
+
+    One grouping by key answers for all splits at once: no join, and a text
+    copied into a third of the rows is merged in each task before anything is
+    shuffled.
     """
     train = training_split(splits)
     others = [s for s in splits if s != train]
     if train is None or not others:
-        return df.sparkSession.createDataFrame(
+        return keys.sparkSession.createDataFrame(
             [], "split string, leaked_rows bigint, leaked_pct double"
         )
-    split = F.col(split_col)
-    per_text = (
-        df.select(split.alias("split"), text.normal_hash(column(text_col)).alias("key"))
-        .groupBy("key")
-        .agg(
-            F.bool_or(F.col("split") == train).alias("in_train"),
-            *[F.count_if(F.col("split") == s).alias(f"n{i}") for i, s in enumerate(others)],
-        )
+    per_text = keys.groupBy("key").agg(
+        F.bool_or(F.col("split") == train).alias("in_train"),
+        *[F.count_if(F.col("split") == s).alias(f"n{i}") for i, s in enumerate(others)],
     )
     leaks = F.col("in_train") & F.col("key").isNotNull()
     totals = per_text.agg(

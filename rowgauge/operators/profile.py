@@ -4,7 +4,7 @@ class balance."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +37,36 @@ def text_columns(df: DataFrame, cfg: AuditConfig = DEFAULT, sample_rows: int | N
     """
     if cfg.text_columns is not None:
         return list(cfg.text_columns)
-    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    if not names:
-        return []
-    base = df.limit(sample_rows) if sample_rows else df
-    row = base.agg(*[F.avg(F.length(column(c))).alias(f"x{i}") for i, c in enumerate(names)]).first()
-    return [c for i, c in enumerate(names) if row[i] is not None and row[i] >= cfg.min_avg_length]
+    return _roles(df.limit(sample_rows) if sample_rows else df, cfg, texts=True, labels=False)[0]
+
+
+def column_roles(df: DataFrame, cfg: AuditConfig = DEFAULT) -> tuple[list[str], list[str]]:
+    """(text columns, columns that may be labels), both from the same pass."""
+    texts, labels = _roles(df, cfg, texts=cfg.text_columns is None, labels=True)
+    return (list(cfg.text_columns) if cfg.text_columns is not None else texts), labels
+
+
+def _roles(df: DataFrame, cfg: AuditConfig, texts: bool, labels: bool):
+    """One aggregate: average lengths of strings, distinct sketches of flat columns.
+
+    The sketch uses 512 registers. k values can fill at most k of them, so its
+    small-range estimate 512*ln(512/empty) has a known ceiling for k values: a
+    column above that ceiling is certain to have more, and none is lost.
+    """
+    registers, most = 512, cfg.max_classes
+    strings = [f.name for f in df.schema if texts and isinstance(f.dataType, T.StringType)]
+    flat = [f.name for f in df.schema if labels and not isinstance(f.dataType, NESTED)]
+    sketched = flat if most <= 200 else []
+    aggs = [F.avg(F.length(column(c))) for c in strings]
+    aggs += [F.approx_count_distinct(clean(df, c), 0.05) for c in sketched]
+    if not aggs:
+        return [], flat
+    row = df.agg(*[a.alias(f"x{i}") for i, a in enumerate(aggs)]).first()
+    found = [c for c, v in zip(strings, row) if v is not None and v >= cfg.min_avg_length]
+    if sketched:
+        ceiling = registers * math.log(registers / (registers - most)) + 1
+        flat = [c for c, v in zip(sketched, row[len(strings) :]) if 1 < v <= ceiling]
+    return found, flat
 
 
 def _missing_agg(df: DataFrame) -> DataFrame:
@@ -208,14 +232,16 @@ def duplicates(
     one pass; percentages are of all rows.
     """
     whole = row_hash(df, [c for c in df.columns if c not in exclude])
+    near = {c: text.normal_hash(column(c)) for c in text_cols}
+    return repeated_keys(df, whole, near)
+
+
+def repeated_keys(df: DataFrame, whole: Column, near: Mapping[str, Column]) -> DataFrame:
+    """Duplicate counts from a key per row and keys per text column."""
     keys = [F.struct(F.lit("exact").alias("kind"), F.lit("").alias("column"), whole.alias("key"))]
     keys += [
-        F.struct(
-            F.lit("near").alias("kind"),
-            F.lit(c).alias("column"),
-            text.normal_hash(column(c)).alias("key"),
-        )
-        for c in text_cols
+        F.struct(F.lit("near").alias("kind"), F.lit(c).alias("column"), key.alias("key"))
+        for c, key in near.items()
     ]
     per_kind = (
         df.select(F.inline(F.array(*keys)))
@@ -243,41 +269,16 @@ VERDICTS = (
 )
 
 
-def _at_most(names, df: DataFrame, max_classes: int) -> list[str]:
-    """Columns that may have at most ``max_classes`` values, none left out.
-
-    The sketch uses 512 registers. k values can fill at most k of them, so its
-    small-range estimate 512*ln(512/empty) has a known ceiling for k values: a
-    column above that ceiling is certain to have more.
-    """
-    registers = 512
-    if max_classes > 200:
-        return list(names)
-    ceiling = registers * math.log(registers / (registers - max_classes)) + 1
-    row = df.agg(
-        *[
-            F.approx_count_distinct(clean(df, c), 0.05).alias(f"x{i}")
-            for i, c in enumerate(names)
-        ]
-    ).first()
-    return [c for i, c in enumerate(names) if 1 < row[i] <= ceiling]
-
-
 def class_balance(
     df: DataFrame, cfg: AuditConfig = DEFAULT, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per label-like column with its largest and smallest class.
 
-    A column counts as label-like with 2 to ``max_classes`` values. Label texts
-    are only shuffled for columns that passed the pre-screen, already counted
-    per task.
+    A column counts as label-like with 2 to ``max_classes`` values. Only
+    ``columns`` are looked at, by default those that may have so few; their
+    label texts are counted per task before they are shuffled.
     """
-    names = [
-        f.name
-        for f in df.schema
-        if not isinstance(f.dataType, NESTED) and (columns is None or f.name in columns)
-    ]
-    names = _at_most(names, df, cfg.max_classes) if names else []
+    names = list(columns) if columns is not None else column_roles(df, cfg)[1]
     if not names:
         cells = df.limit(0).select(
             F.lit("").alias("column"), F.lit("").alias("label"), F.lit(0).cast("bigint").alias("n")

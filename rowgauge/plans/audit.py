@@ -13,10 +13,10 @@ from pyspark.storagelevel import StorageLevel
 
 from ..config import DEFAULT, AuditConfig
 from ..functions import text
-from ..functions.canonical import column
+from ..functions.canonical import column, row_hash
 from ..operators import chat, corpus, numeric, profile, responses
 from ..operators.flags import evidence, example_lists, text_flags
-from ..operators.leakage import split_leakage, training_split
+from ..operators.leakage import leaked_keys, training_split
 from ..operators.types import dtype_consistency
 from ..sources.ranges import primary_split, split_metadata
 from ..sources.readers import union_splits
@@ -92,19 +92,30 @@ class _OnDemand(Mapping):
         return len(self._builders)
 
 
-def _flag_table(df, row_id, text_cols, fmt, pair, cfg):
-    """Ids, flags and token counts of every row: one scan, no texts kept."""
-    flags, lengths = {}, {}
+def _slim_table(df, row_id, text_cols, fmt, pair, cfg):
+    """Id, flags, token counts and keys of every row: one scan, no texts kept."""
+    flags, extra = {}, []
     for i, c in enumerate(text_cols):
         flags.update({f"{c}/{k}": v for k, v in text_flags(column(c), cfg).items()})
-        lengths[c] = text.token_estimate(column(c), cfg).alias(f"tokens/{i}")
+        extra.append(text.token_estimate(column(c), cfg).alias(f"tokens/{i}"))
+        extra.append(text.normal_hash(column(c)).alias(f"near/{i}"))
     if fmt.chat_column:
         flags.update(chat.chat_flags(df, fmt.chat_column))
     if pair:
         flags.update(responses.response_flags(df, *pair, cfg))
     ids = [column(row_id)] if row_id else []
+    whole = row_hash(df, [c for c in df.columns if c != row_id]).alias("whole/")
     named = [F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()]
-    return df.select(*ids, *lengths.values(), *named), list(flags)
+    return df.select(*ids, whole, *extra, *named), list(flags)
+
+
+def _leaked(slim, primary, others, text_col):
+    """Leaked rows per split; the training split's keys are in the slim table."""
+    keys = slim.select(F.lit(primary).alias("split"), column("near/0").alias("key"))
+    for name, df in others.items():
+        part = df.select(F.lit(name).alias("split"), text.normal_hash(column(text_col)).alias("key"))
+        keys = keys.unionAll(part)
+    return leaked_keys(keys, [primary, *others])
 
 
 def _lengths(slim: DataFrame, text_cols) -> dict:
@@ -121,50 +132,65 @@ def _lengths(slim: DataFrame, text_cols) -> dict:
     return {r["column"]: r for r in corpus.length_summary(per_length).collect()}
 
 
+def _proof(slim, row_id, hit, cfg):
+    """Evidence rows, and their ids per flag: a few for each."""
+    spark = slim.sparkSession
+    if not row_id or not hit:
+        return spark.createDataFrame([], "check string, row_id string, position bigint"), {}
+    found = evidence(slim, row_id, hit, cfg.max_examples)
+    rows = sorted(found.collect(), key=lambda r: (r["check"], r["position"]))
+    examples = {}
+    for r in rows:
+        examples.setdefault(r["check"], []).append(str(r["row_id"]))
+    return spark.createDataFrame(rows, found.schema), examples
+
+
 def table_stats(
     df: DataFrame,
     row_id: str | None = None,
     cfg: AuditConfig = DEFAULT,
     variants: DataFrame | None = None,
-) -> tuple[TableStats, DataFrame, chat.FormatInfo, list[str]]:
-    """The numbers behind the checks of one split, its evidence and layout."""
+    primary: str = "data",
+    others: Mapping[str, DataFrame] | None = None,
+):
+    """The numbers behind the checks of one split.
+
+    The texts are scanned three times: for column roles, for the slim table
+    that flags, lengths, duplicates and leakage share, and for the vocabulary.
+    Returns the numbers, the evidence, the layout, the text columns and the
+    leakage rows (None where it was not checked).
+    """
+    others = others or {}
     body_cols = [c for c in df.columns if c != row_id]
     body = df.select(*[column(c) for c in body_cols])
-    found = profile.text_columns(body, cfg)
+    found, labels = profile.column_roles(body, cfg)
     text_cols = found if cfg.all_text_columns else found[:1]
     fmt = chat.detect_format(body)
     pair = responses.instruction_columns(body)
+    leaks = None
 
-    slim, flags = _flag_table(df, row_id, text_cols, fmt, pair, cfg)
+    slim, flags = _slim_table(df, row_id, text_cols, fmt, pair, cfg)
     slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         named = [F.count_if(column(k)).alias(k) for k in flags]
         row = slim.agg(F.count("*").alias("n"), *named).first()
         hits = {k: row[i + 1] for i, k in enumerate(flags)}
         lengths = _lengths(slim, text_cols) if text_cols else {}
-        schema = "check string, row_id string, position bigint"
-        proof, examples = df.sparkSession.createDataFrame([], schema), {}
-        hit = [k for k in flags if hits[k]]
-        if row_id and hit:
-            # A few ids per flag: small enough to hold.
-            found_ids = evidence(slim, row_id, hit, cfg.max_examples)
-            rows = found_ids.collect()
-            id_type = found_ids.schema["row_id"].dataType.simpleString()
-            proof = df.sparkSession.createDataFrame(
-                rows, f"check string, row_id {id_type}, position bigint"
-            )
-            for r in sorted(rows, key=lambda r: r["position"]):
-                examples.setdefault(r["check"], []).append(str(r["row_id"]))
+        proof, examples = _proof(slim, row_id, [k for k in flags if hits[k]], cfg)
+        near = {c: column(f"near/{i}") for i, c in enumerate(text_cols)}
+        repeated = profile.repeated_keys(slim, column("whole/"), near).collect()
+        dup = {(r["kind"], r["column"]): r for r in repeated}
+        if others and text_cols and training_split([primary]):
+            having = {s: d for s, d in others.items() if text_cols[0] in d.columns}
+            leaks = _leaked(slim, primary, having, text_cols[0]).collect()
     finally:
         slim.unpersist()
 
-    dup = {(r["kind"], r["column"]): r for r in profile.duplicates(body, text_cols).collect()}
     vocab = {}
     if text_cols:
         vocab = {r["column"]: r for r in corpus.vocabulary(df, text_cols).collect()}
-    balance = profile.class_balance(body, cfg).orderBy("column").collect()
-    order = {c: i for i, c in enumerate(body_cols)}
-    balance.sort(key=lambda r: order[r["column"]])
+    balance = profile.class_balance(body, cfg, labels).collect()
+    balance.sort(key=lambda r: body_cols.index(r["column"]))
     mixed = _mixed(body, variants)
 
     per_text = []
@@ -206,7 +232,9 @@ def table_stats(
         ),
         examples=examples,
     )
-    return stats, proof, fmt, found
+    if leaks is not None:
+        stats.leaked, stats.train = sum(r["leaked_rows"] for r in leaks), primary
+    return stats, proof, fmt, found, leaks
 
 
 def _mixed(df: DataFrame, variants: DataFrame | None) -> list[str]:
@@ -254,22 +282,18 @@ def audit(
     primary = primary_split(names)
     df = parts[primary]
 
-    stats, proof, fmt, text_cols = table_stats(df, row_id, cfg, variants)
+    others = {s: d for s, d in parts.items() if s != primary}
+    stats, proof, fmt, text_cols, leaks = table_stats(df, row_id, cfg, variants, primary, others)
 
     leakage, reason = None, ""
-    train = training_split(names)
     if len(names) < 2 or not text_cols:
         reason = "Need >=2 splits and a text column."
-    elif train is None:
+    elif leaks is None:
         reason = "No split named like 'train'."
     else:
-        having = [s for s in names if text_cols[0] in parts[s].columns]
-        slim = whole.select(split_col, column(text_cols[0]))
-        rows = split_leakage(slim, text_cols[0], having, split_col).collect()
         leakage = df.sparkSession.createDataFrame(
-            rows, "split string, leaked_rows bigint, leaked_pct double"
+            leaks, "split string, leaked_rows bigint, leaked_pct double"
         )
-        stats.leaked, stats.train = sum(r["leaked_rows"] for r in rows), train
 
     checks = checks_table(df.sparkSession, stats, cfg)
     for extra in cfg.extra_checks:

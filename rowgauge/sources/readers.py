@@ -21,6 +21,9 @@ NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
+FEW_TASKS = 8
+
+
 def flatten_once(df: DataFrame) -> DataFrame:
     """Top-level structs become ``a.b`` columns, one level deep."""
     out = []
@@ -33,13 +36,17 @@ def flatten_once(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with too few tasks (small or unsplittable files) over all cores.
+    """Spread a scan of very few tasks over more cores.
 
-    A scan with at least two tasks per core is left as it is. Meant for a plain
-    scan; filters and column pruning still reach it.
+    For small tables in one row group and for files that cannot be split. Scans
+    of more than ``FEW_TASKS`` tasks (about a gigabyte) are left as they are.
+    Meant for a plain scan; filters and column pruning still reach it.
     """
+    tasks = df.rdd.getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    if tasks > FEW_TASKS or cores < 2:
+        return df
+    return df.repartition(min(cores, 8 * tasks))
 
 
 def _typed(df: DataFrame) -> DataFrame:

@@ -68,6 +68,12 @@ def _guesses(df, columns, brackets, accuracy) -> list[tuple[Any, Any]]:
     return [(values[b.interval][k], values[b.interval][k + 1]) for b, k in zip(brackets, at)]
 
 
+def _enough(brackets, small, accuracy) -> int:
+    """No finer a sketch than it takes to get under ``small`` in one round."""
+    widest = max(b.strict for b in brackets)
+    return int(min(accuracy, max(40 * widest / small, 100)))
+
+
 def _narrow(df, columns, brackets, accuracy) -> None:
     guesses = _guesses(df, columns, brackets, accuracy)
     counts = []
@@ -161,7 +167,7 @@ def order_statistics(
         wide = [b for b in brackets if b.strict > small and not b.stuck and b.low != b.high]
         if not wide:
             break
-        _narrow(df, columns, wide, accuracy)
+        _narrow(df, columns, wide, _enough(wide, small, accuracy))
 
     values = {}
     for b in brackets:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, WORD_SET, AuditConfig
+from ..config import DEFAULT, PII_PATTERNS, WORD_SET, AuditConfig
 
 
 def has_luhn_number(text: Column, pattern: str) -> Column:
@@ -26,9 +26,9 @@ def pii_flags(text: Column, cfg: AuditConfig = DEFAULT) -> dict[str, Column]:
     for label, pattern in cfg.pii_patterns.items():
         if label in cfg.luhn_labels:
             flags[label] = has_luhn_number(text, pattern)
-        elif "@" in pattern:
-            # A literal search is far cheaper than the regex and rules out
-            # most texts.
+        elif pattern == PII_PATTERNS["email"]:
+            # It needs an @; looking for that alone is far cheaper than the
+            # regex and rules out most texts.
             flags[label] = text.contains("@") & text.rlike(pattern)
         else:
             flags[label] = text.rlike(pattern)

@@ -7,6 +7,7 @@ import pytest
 from rowgauge import audit
 from rowgauge.sources.readers import read_jsonl
 
+# --- Fixed values: the example rows and the results stated for them ----------
 ROWS = [
     ("Explain dataset splitting.", "", "Keep training and evaluation examples in separate splits to reduce leakage."),
     ("Explain dataset splitting.", "", "Keep training and evaluation examples in separate splits to reduce leakage."),

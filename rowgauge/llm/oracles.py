@@ -2,4 +2,195 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from rowgauge.llm import decontaminate, quality, secret_scan
+
+SPACE = r"[\x20\x09-\x0D]"
+#: The code points of the same set, for trim().
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quality() -> str:
+    rules = range(len(quality.RULES))
+    votes = ", ".join(
+        f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{j}" for j, r in enumerate(quality.RULES)
+    )
+    keys = ", ".join(f"v{j}" for j in rules)
+    weight = "ln(pi / (1 - pi)) + " + " + ".join(f"v{j} * ln(a{j} / (1 - a{j}))" for j in rules)
+    clamp = f"least({quality.MOST}, greatest({quality.LEAST}, {{}}))"
+    steps = [f"m0 AS (SELECT {quality.START}::DOUBLE AS pi, " + ", ".join(f"{quality.START}::DOUBLE AS a{j}" for j in rules) + ")"]
+    for k in range(1, quality.ROUNDS + 1):
+        prior = clamp.format("sum(n * q) / sum(n)") + " AS pi"
+        each = ", ".join(
+            clamp.format(
+                f"(coalesce(sum(CASE WHEN v{j} > 0 THEN n * q WHEN v{j} < 0 THEN n * (1 - q) END), 0) + {quality.START})"
+                f" / (coalesce(sum(CASE WHEN v{j} <> 0 THEN n END), 0) + 1)"
+            )
+            + f" AS a{j}"
+            for j in rules
+        )
+        steps.append(f"q{k} AS (SELECT p.*, 1 / (1 + exp(-({weight}))) AS q FROM patterns p, m{k - 1})")
+        steps.append(f"m{k} AS (SELECT {prior}, {each} FROM q{k})")
+    last = quality.ROUNDS
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, t, list_filter(string_split_regex(t, '{SPACE}+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: trim(x, {BLANKS}) <> '') AS ls
+  FROM d
+), places AS (
+  SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5
+), wins AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(list_slice(ws, i, i + 4), ' ')) AS c FROM places
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM wins, range(0, 5) x(k) WHERE c > 1 GROUP BY r
+), counts AS (
+  SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
+  FROM w LEFT JOIN covered ON covered.r = w.r
+), voted AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {votes} FROM counts
+), patterns AS (
+  SELECT {keys}, count(*) AS n FROM voted GROUP BY {keys}
+), {", ".join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 1 / (1 + exp(-({weight}))) >= 0.5 AS kept,
+  round(1 / (1 + exp(-({weight}))), 4) AS quality
+FROM voted, m{last}"""
+
+
+def _decontamination() -> str:
+    span, flank = len(decontaminate.MASKS[0]), decontaminate.FLANK
+
+    def seeds(name: str, source: str, masks: tuple[str, ...], where: str) -> str:
+        parts = []
+        for m, mask in enumerate(masks):
+            picked = " || ' ' || ".join(f"ws[i + {k}]" for k in range(len(mask)) if mask[k] == "1")
+            parts.append(
+                f"SELECT r, id, i, '{mask}' AS mask, {picked} AS seed FROM"
+                f" (SELECT *, unnest(range(1, len(ws) - {len(mask) - 2})) AS i FROM {source} WHERE {where} AND len(ws) >= {len(mask)})"
+            )
+        return f"{name} AS (" + " UNION ALL ".join(parts) + ")"
+
+    short = ("1" * decontaminate.SHORT,)
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id AS id, {words} AS ws FROM documents
+), b AS (
+  SELECT row_number() OVER () AS r, item_id AS id, {words} AS ws FROM benchmark
+),
+{seeds("ds", "d", decontaminate.MASKS + short, "true")},
+{seeds("bl", "b", decontaminate.MASKS, f"len(ws) >= {span}")},
+{seeds("bs", "b", short, f"len(ws) < {span}")},
+hits AS (
+  SELECT DISTINCT ds.r AS dr, bb.r AS br, ds.i AS di, bb.i AS bi, length(ds.mask) AS span
+  FROM ds JOIN (SELECT * FROM bl UNION ALL SELECT * FROM bs) bb ON ds.mask = bb.mask AND ds.seed = bb.seed
+), sized AS (
+  SELECT hits.*, d.id AS doc_id, b.id AS item_id, d.ws AS dw, b.ws AS bw,
+    least({flank}, di - 1, bi - 1) AS before,
+    least(span + {flank}, len(d.ws) - di + 1, len(b.ws) - bi + 1) AS after
+  FROM hits JOIN d ON d.r = hits.dr JOIN b ON b.r = hits.br
+), judged AS (
+  SELECT *, len(list_filter(range(-before, after), lambda k: dw[(di + k)::BIGINT] = bw[(bi + k)::BIGINT])) AS same, before + after AS aligned
+  FROM sized
+), pairs AS (
+  SELECT doc_id, item_id, di, bi, max(round(same / aligned, 4)) AS share FROM judged
+  WHERE 10 * same >= {decontaminate.AGREE} * aligned GROUP BY ALL
+)
+SELECT doc_id, item_id, count(*) AS n_windows, (min(di) - 1)::BIGINT AS first_word, max(share) AS best_match
+FROM pairs GROUP BY doc_id, item_id"""
+
+
+def _secrets() -> str:
+    quote = lambda p: p.replace("'", "''")
+    patterns = (secret_scan.ASSIGN + secret_scan.VALUE, secret_scan.ACCESS, secret_scan.HEX, secret_scan.FREE)
+    spans = " UNION ALL ".join(
+        f"""SELECT r, doc_id, source, {k} AS k, i,
+    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s,
+    hits[i] AS hit
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT r, doc_id, source, regexp_extract_all(t, '{quote(p)}') AS hits, string_split_regex(t, '{quote(p)}') AS gaps FROM d))"""
+        for k, p in enumerate(patterns)
+    )
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), found AS ({spans}), valued AS (
+  SELECT r, doc_id, source, k, s::BIGINT AS s, (s + length(hit))::BIGINT AS e,
+    CASE WHEN k = 0 THEN regexp_replace(hit, '^{quote(secret_scan.ASSIGN)}', '') ELSE hit END AS v
+  FROM found
+), fixed AS (
+  SELECT * FROM valued WHERE (k = 0 AND length(v) >= 8) OR k IN (1, 2)
+), free AS (
+  SELECT * FROM valued f WHERE k = 3 AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM fixed x WHERE x.r = f.r AND x.s < f.e AND f.s < x.e)
+), everything AS (SELECT * FROM fixed UNION ALL SELECT * FROM free),
+owned AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM everything GROUP BY v
+), told AS (
+  SELECT e.*, owners <= 2 AS live, CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'free' END || ':' || s || ':' || e.e AS name
+  FROM everything e JOIN owned o ON o.v = e.v WHERE k < 3 OR owners <= 2
+), per AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(name, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(name, ',' ORDER BY s, k) AS spans,
+    count(*) FILTER (live) AS n_live
+  FROM told GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN per ON per.r = d.r"""
+
+
+def _near_duplicates(percent: int) -> str:
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex({LOWERED.format("coalesce(text, '')")}, '{SPACE}+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS x
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), links AS (
+  SELECT a, b FROM (SELECT p.r AS a, q.r AS b, count(*) AS i FROM s p JOIN s q ON p.x = q.x AND p.r <> q.r GROUP BY 1, 2)
+  JOIN n na ON na.r = a JOIN n nb ON nb.r = b
+  WHERE 100 * i >= {percent} * (na.n + nb.n - i)
+), reach(r, o) AS (
+  SELECT r, r FROM d
+  UNION
+  SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.o
+), least_id AS (
+  SELECT reach.r, min(o.doc_id) AS c FROM reach JOIN d o ON o.r = reach.o GROUP BY 1
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM d JOIN least_id ON least_id.r = d.r LEFT JOIN n ON n.r = d.r"""
+
+
+LINES = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), k AS (
+  SELECT *, {LOWERED.format(f"trim(line, {BLANKS})")} AS key FROM d
+), o AS (
+  SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN o USING (key)
+GROUP BY r, doc_id"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": _quality(),
+    "op4_decontamination": _decontamination(),
+    "op5_secret_scan": _secrets(),
+    "op7_near_dup": _near_duplicates(85),
+    "op9_line_dedup": LINES,
+}

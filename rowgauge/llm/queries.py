@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgauge.llm import decontaminate, line_dedup, quality, secret_scan
+from rowgauge.llm import decontaminate, line_dedup, near_dup, quality, secret_scan
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,11 +38,15 @@ def op5_secret_scan(spark, sf):
     )
 
 
+def op7_near_dup(spark, sf):
+    return near_dup.near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
 def op9_line_dedup(spark, sf):
     cut = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op4_decontamination, op5_secret_scan, op9_line_dedup,
+    op1_quality_rules, op4_decontamination, op5_secret_scan, op7_near_dup, op9_line_dedup,
 )}

@@ -30,7 +30,7 @@ def _quality() -> str:
             for j in rules
         )
         steps.append(f"q{k} AS (SELECT p.*, 1 / (1 + exp(-({weight}))) AS q FROM patterns p, m{k - 1})")
-        steps.append(f"m{k} AS (SELECT {prior}, {each} FROM q{k})")
+        steps.append(f"m{k} AS MATERIALIZED (SELECT {prior}, {each} FROM q{k})")
     last = quality.ROUNDS
     return f"""
 WITH d AS (
@@ -52,9 +52,9 @@ WITH d AS (
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
     length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
   FROM w LEFT JOIN covered ON covered.r = w.r
-), voted AS (
+), voted AS MATERIALIZED (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {votes} FROM counts
-), patterns AS (
+), patterns AS MATERIALIZED (
   SELECT {keys}, count(*) AS n FROM voted GROUP BY {keys}
 ), {", ".join(steps)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

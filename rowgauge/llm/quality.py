@@ -144,17 +144,19 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: tuple[Rule, ...]) ->
 
 
 def judge(
-    df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5
+    df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Every row of df with its counts, base_failed, quality (the posterior) and kept.
 
     df with its counts is written once to the shared folder; the votes are
     counted there and the verdicts added on reading, so texts are read and
-    measured once. Columns not asked for later are not written back.
+    measured once. `carry` names the columns of df to keep, all by default.
     """
     own = (*COUNTS, "base_failed", "quality", "kept")
     df = df.select(*[c for c in df.columns if c not in own])
-    counted = common.written(with_counts(df, text_col))
+    keep = [c for c in df.columns if carry is None or c in carry]
+    counted = common.written(with_counts(df, text_col).select(*keep, *COUNTS))
     votes = [vote(r).alias(f"v{j}") for j, r in enumerate(rules)]
     rows = counted.select(*votes).groupBy(*[f"v{j}" for j in range(len(rules))]).count().collect()
     model = fit(sorted((tuple(r[: len(rules)]), r["count"]) for r in rows), rules)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgauge.llm import decontaminate, line_dedup, near_dup, quality, secret_scan
+import public_tokenizers
+
+from rowgauge.llm import common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_file
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -13,13 +15,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf):
-    judged = quality.judge(table(spark, sf, "documents").select("doc_id", "text"))
+    judged = quality.judge(table(spark, sf, "documents"), carry=["doc_id"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("quality", 4).alias("quality"),
     )
 
 
+def op2_token_file(spark, sf):
+    path = common.shared_folder(spark)
+    token_file.write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_file.read_tokens(spark, path)
+
+
 def op4_decontamination(spark, sf):
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -42,11 +50,15 @@ def op7_near_dup(spark, sf):
     return near_dup.near_duplicates(table(spark, sf, "documents"), percent=85)
 
 
+def op8_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_line_dedup(spark, sf):
     cut = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op4_decontamination, op5_secret_scan, op7_near_dup, op9_line_dedup,
+    op1_quality_rules, op2_token_file, op4_decontamination, op5_secret_scan, op7_near_dup, op8_packing, op9_line_dedup,
 )}

@@ -106,16 +106,17 @@ def scan_secrets(
     found = candidates(df, id_col, text_col, repo_col, owner_col)
     fixed = F.concat(*[F.coalesce(F.col(k), F.array()) for k in KINDS[:3]])
     free = F.filter("free", lambda s: ~F.exists(fixed, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-    tagged = [
-        F.transform(
+
+    def tag(kind: str) -> Column:
+        return F.transform(
             F.coalesce(free if kind == "free" else F.col(kind), F.array()),
-            lambda s, order=order: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), F.lit(order).alias("order"),
+            lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("order"),
                 F.sha2(s["value"], 256).alias("value_sha256"),
             ),
         )
-        for order, kind in enumerate(KINDS)
-    ]
+
+    tagged = [tag(kind) for kind in KINDS]
     each = common.written(
         found.select("_row", "_repo", "_owner", F.explode(F.concat(*tagged)).alias("s")).select(
             "_row", "_repo", "_owner", "s.*"

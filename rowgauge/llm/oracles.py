@@ -187,10 +187,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropp
 FROM k LEFT JOIN o USING (key)
 GROUP BY r, doc_id"""
 
+URLS = f"""
+WITH u AS (
+  SELECT page_id, {LOWERED.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), j AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule
+  FROM u
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host, 'spam|pills|casino|porn|viagra') THEN 'block' ELSE 'allow' END AS verdict
+FROM j"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _quality(),
     "op4_decontamination": _decontamination(),
     "op5_secret_scan": _secrets(),
+    "op6_url_filter": URLS,
     "op7_near_dup": _near_duplicates(85),
     "op9_line_dedup": LINES,
 }

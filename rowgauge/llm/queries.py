@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rowgauge.llm import common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_file
+from rowgauge.llm import common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_counts, token_file, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_token_file(spark, sf):
     return token_file.read_tokens(spark, path)
 
 
+def op3_token_counts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_decontamination(spark, sf):
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -46,6 +51,20 @@ def op5_secret_scan(spark, sf):
     )
 
 
+#: Host and path rules, fixed.
+URL_RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+    ("block", "net/es/"), ("block", "net/fr/"),
+)
+#: Words that block a host no rule decides on.
+URL_WORDS = ("spam", "pills", "casino", "porn", "viagra")
+
+
+def op6_url_filter(spark, sf):
+    judged = url_filter.judge_urls(table(spark, sf, "pages").select("page_id", "url"), URL_RULES, URL_WORDS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_near_dup(spark, sf):
     return near_dup.near_duplicates(table(spark, sf, "documents"), percent=85)
 
@@ -59,6 +78,14 @@ def op9_line_dedup(spark, sf):
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_token_file, op4_decontamination, op5_secret_scan, op7_near_dup, op8_packing, op9_line_dedup,
+    op1_quality_rules, op2_token_file, op3_token_counts, op4_decontamination, op5_secret_scan,
+    op6_url_filter, op7_near_dup, op8_packing, op9_line_dedup, op10_toxicity,
 )}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowgauge.llm import decontaminate, line_dedup, quality
+from rowgauge.llm import decontaminate, line_dedup, near_dup, packing, quality
 from rowgauge.llm.common import written
 
 
@@ -13,24 +14,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).filter("kept").select(*docs.columns)
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one holds; n_chars follows."""
     cut = line_dedup.dedup_lines(docs)
     return cut.selectExpr(*["CAST(length(text) AS BIGINT) AS n_chars" if c == "n_chars" else c for c in docs.columns])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup.drop_near_duplicates(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup_stage),
+    ("line_dedup", repeated_lines),
+    ("near_dedup", near_duplicates),
     ("decontamination", decontamination),
+    ("packing", packed),
 ]
 
-#: Near-duplicate groups and token ids are beyond SQL.
+#: Token ids are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -34,7 +34,7 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = shared_folder(df.sparkSession)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -32,6 +33,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="rowgauge-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

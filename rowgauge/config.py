@@ -25,23 +25,39 @@ BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 # --- Fixed values: text patterns -------------------------------------------
 HTML_TAG = r"</?[a-zA-Z][^>]{0,200}>"
-MOJIBAKE = (
-    "Ã©", "Ã¨", "Ã¶", "Ã¼", "â€™", "â€\u0153", "â€\u009d", "â€\u201c", "Â ", "\ufffd",
-)
-MULTI_WS = r"[ \t]{3}|\n{4}"
+STRIPPED_TAG = r"</?[^>]+>"
+MOJIBAKE = ("Ã©", "Ã¨", "Ã¶", "Ã¼", "â€™", "â€œ", "â€\x9d", "â€“", "Â ", "\ufffd")
+MULTI_WS = r"[ \t]{3,}|\n{4,}"
+
+# What was meant by the sequences above; the replacement character means nothing.
+MOJIBAKE_REPAIRS = tuple(zip(MOJIBAKE, ("é", "è", "ö", "ü", "’", "“", "”", "–", " ", ""), strict=True))
 
 # --- Fixed values: personal-data patterns, most specific label order --------
-# Only "is there a match" is asked, so optional heads and tails of the phone
-# pattern (country code, area code in brackets, last digits) are left out:
-# they cannot change the answer.
 PII_PATTERNS = {
     "email": BOUNDARY + r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}" + BOUNDARY,
-    "phone": DIGIT + "{3}[" + WS_SET + r".\-]" + DIGIT + "{3}",
+    "phone": (
+        r"(?:\+?" + DIGIT + "{1,3}[" + WS_SET + r".\-]?)?(?:\(" + DIGIT + r"{2,4}\)[" + WS_SET + r".\-]?)?"
+        + DIGIT + "{3}[" + WS_SET + r".\-]" + DIGIT + "{3,4}[" + WS_SET + r".\-]?" + DIGIT + "{0,4}"
+    ),
     "ssn": NUMBER_START + DIGIT + "{3}-" + DIGIT + "{2}-" + DIGIT + "{4}" + NOT_BEFORE_WORD,
     "ipv4": NUMBER_START + "(?:" + DIGIT + r"{1,3}\.){3}" + DIGIT + "{1,3}" + NOT_BEFORE_WORD,
     "credit_card": NUMBER_START + r"(?:[0-9][ \-]?){13,16}" + BOUNDARY,
 }
 
+# Derived search forms, for when only "is there a match" is asked: the optional
+# head and tail of the phone pattern and the open ends of the white-space runs
+# cannot change that answer, and without them the search is faster.
+SEARCH_FORMS = {
+    PII_PATTERNS["phone"]: DIGIT + "{3}[" + WS_SET + r".\-]" + DIGIT + "{3}",
+    MULTI_WS: r"[ \t]{3}|\n{4}",
+}
+
+# Placeholders in the order in which they are put: the phone pattern overlaps
+# addresses and cards and comes last.
+PII_PLACEHOLDERS = (
+    ("email", "[EMAIL]"), ("ssn", "[SSN]"), ("ipv4", "[IP]"), ("credit_card", "[CARD]"), ("phone", "[PHONE]"),
+)
+
 # --- Fixed values: keyword surface list -------------------------------------
 KEYWORDS = {
     "profanity": ("fuck", "shit", "bitch", "asshole", "bastard"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, PII_PATTERNS, WORD_SET, AuditConfig
+from ..config import DEFAULT, PII_PATTERNS, SEARCH_FORMS, WORD_SET, AuditConfig
 
 
 def has_luhn_number(text: Column, pattern: str) -> Column:
@@ -31,7 +31,7 @@ def pii_flags(text: Column, cfg: AuditConfig = DEFAULT) -> dict[str, Column]:
             # regex and rules out most texts.
             flags[label] = text.contains("@") & text.rlike(pattern)
         else:
-            flags[label] = text.rlike(pattern)
+            flags[label] = text.rlike(SEARCH_FORMS.get(pattern, pattern))
     return flags
 
 
@@ -55,12 +55,24 @@ def whole_word(word: str) -> str:
     return body + before + after
 
 
+def _is_plain(word: str) -> bool:
+    return all(_is_word(ch) for ch in word)
+
+
 def has_keyword(lowered: Column, words: Sequence[str]) -> Column:
-    """Some listed word occurs as a whole word; the regex runs only on texts
-    that hold its letters at all."""
+    """Some listed word occurs as a whole word.
+
+    Plain words are looked up among the words of the text, whatever their
+    number; those with other characters share one pattern.
+    """
+    plain = sorted({w for w in words if _is_plain(w)})
+    other = sorted({w for w in words if not _is_plain(w)})
     found = F.lit(False)
-    for word in words:
-        found = found | (lowered.contains(word) & lowered.rlike(whole_word(word)))
+    if plain:
+        inside = F.split(lowered, f"[^{WORD_SET}]+")
+        found = F.arrays_overlap(inside, F.lit(plain))
+    if other:
+        found = found | lowered.rlike("|".join(whole_word(w) for w in other))
     return F.when(lowered.isNotNull(), found)
 
 

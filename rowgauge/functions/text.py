@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, NOT_WS, WS, AuditConfig
+from ..config import DEFAULT, NOT_WS, SEARCH_FORMS, WS, AuditConfig
 
 
 def normalise(text: Column) -> Column:
@@ -36,7 +36,7 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
 
 def has_odd_whitespace(text: Column, cfg: AuditConfig = DEFAULT) -> Column:
     first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
-    return text.rlike(cfg.multi_ws) | first.rlike(WS) | last.rlike(WS)
+    return text.rlike(SEARCH_FORMS.get(cfg.multi_ws, cfg.multi_ws)) | first.rlike(WS) | last.rlike(WS)
 
 
 def token_estimate(text: Column, cfg: AuditConfig = DEFAULT) -> Column:

@@ -40,7 +40,7 @@ BANDS, ROWS = 24, 4
 SKETCH_BITS = 512
 #: Standard deviations of slack in the sketch test.
 SLACK = 4.5
-#: Most rows of a bucket, and most pairs of a class, that meet in one task.
+#: Most members of a bucket that meet the bucket's leftovers in one task.
 BLOCK = 2000
 
 SIGNATURE = "_id bigint, _n bigint, _set binary, _bands array<bigint>, _sketch array<bigint>"
@@ -143,21 +143,12 @@ def may_link(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= most_bits(percent / 100))
 
 
-def salted(pairs: DataFrame, side: str) -> DataFrame:
-    """pairs with _salt_<side> and _salts_<side>: so many blocks does the class's side take."""
-    counts = common.written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_m")))
-    other = "_b" if side == "_a" else "_a"
-    known = counts.withColumn(f"_salts{side}", F.ceil(F.col("_m") / BLOCK).cast("int"))
-    return common.join_counted(pairs, known, [side], "_m").withColumn(
-        f"_salt{side}", F.pmod(F.xxhash64(other), F.col(f"_salts{side}")).cast("int")
-    )
-
-
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those (_a, _b) whose full sets reach the similarity.
 
-    Only texts of classes in some pair are read again and moved. A class in many
-    pairs is sent once to each of its blocks of pairs.
+    Only texts of classes in some pair are read again and moved. A hub is in many
+    pairs; both joins are plain ones between two shuffles, which Spark splits
+    where a class is too much for one task.
     """
     pairs = common.written(pairs)
     wanted = pairs.select(F.col("_a").alias("_class")).unionAll(pairs.select("_b")).distinct().join(classes, "_class")
@@ -166,31 +157,23 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
         texts.select("_class", "_text", "_want")
         .mapInArrow(_elements, "_class bigint, _want binary, _set binary, _items array<bigint>")
         .filter(F.col("_set") == F.col("_want")).select("_class", "_items")
-        .dropDuplicates(["_class"])
     )
-    met = common.written(salted(common.written(salted(pairs, "_a")), "_b"))
-    for side in ("_a", "_b"):
-        blocks = met.groupBy(F.col(side).alias("_class")).agg(F.max(f"_salts{side}").alias("_k"))
-        dealt = sets.join(blocks, "_class").select(
-            F.col("_class").alias(side), F.col("_items").alias(f"_items{side}"),
-            F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias(f"_salt{side}"),
-        )
-        met = met.join(common.written(dealt), [side, f"_salt{side}"])
+    side = lambda c: sets.select(F.col("_class").alias(f"_{c}"), F.col("_items").alias(f"_items_{c}"))
     both = F.size(F.array_intersect("_items_a", "_items_b"))
     return common.written(
-        met.filter(100 * both >= percent * (F.size("_items_a") + F.size("_items_b") - both)).select("_a", "_b")
+        pairs.join(side("a"), "_a").join(side("b"), "_b")
+        .filter(100 * both >= percent * (F.size("_items_a") + F.size("_items_b") - both)).select("_a", "_b")
     )
 
 
 def components(links: DataFrame) -> DataFrame:
-    """_class and _root, the smallest class connected with it, for every class in a link.
+    """_class and _root, the smallest class connected with it, for every class but the roots.
 
-    Alternates two steps until nothing changes: neighbours above a node are hung
+    Alternates two steps until only stars are left: neighbours above a node are hung
     on its smallest neighbour, then a node and its smaller neighbours are.
     """
     ends = lambda df: df.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).filter("_u != _v").distinct()
     edges = common.written(ends(links))
-    state = None
     while True:
         for up in (True, False):
             around = edges.unionAll(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))) if up else edges
@@ -204,12 +187,10 @@ def components(links: DataFrame) -> DataFrame:
                     least.select(F.col("_u").alias("_a"), F.col("_m").alias("_b"))
                 )
             edges = common.written(ends(moved))
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("_u").alias("_class"), F.col("_v").alias("_root")).unionAll(
-                edges.select(F.col("_v").alias("_class"), F.col("_v").alias("_root")).distinct()
-            )
-        state = now
+        # Done once all edges are those of stars: one each for the outer nodes, whose centres are none of them.
+        twice = edges.groupBy("_u").count().filter("count > 1").limit(1).count()
+        if not twice and edges.join(edges.select(F.col("_u").alias("_v")).distinct(), "_v", "left_semi").isEmpty():
+            return edges.select(F.col("_u").alias("_class"), F.col("_v").alias("_root"))
 
 
 def _proposals(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

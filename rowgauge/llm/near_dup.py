@@ -11,6 +11,9 @@ with a hub, the one that shares most buckets with others; verified links make
 components. Then the members outside their hub's component meet all members of
 other components, in salted blocks, and only pairs that pass the sketch test
 leave the join. A pair within one component can add nothing and is not looked at.
+Copies of one text that differ too much to be linked make crowds in which sketches
+cannot tell enough; there, shingles that few hold decide: pairs that share one are
+found by it, and others must reach the similarity with the rest of their sets.
 
 Results in odd cases
 --------------------
@@ -42,6 +45,8 @@ SKETCH_BITS = 512
 SLACK = 4.5
 #: Most members of a bucket that meet the bucket's leftovers in one task.
 BLOCK = 2000
+#: Buckets with more members are crowded, and shingles that so many classes hold at most are rare.
+CROWD, RARE = 100, 16
 
 SIGNATURE = "_id bigint, _n bigint, _set binary, _bands array<bigint>, _sketch array<bigint>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,22 +148,31 @@ def may_link(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= most_bits(percent / 100))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those (_a, _b) whose full sets reach the similarity.
+def full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """_class and _items, the shingles of each class that shares a bucket with another.
 
-    Only texts of classes in some pair are read again and moved. A hub is in many
-    pairs; both joins are plain ones between two shuffles, which Spark splits
-    where a class is too much for one task.
+    Texts move here once, and only those; what follows works on these sets.
     """
-    pairs = common.written(pairs)
-    wanted = pairs.select(F.col("_a").alias("_class")).unionAll(pairs.select("_b")).distinct().join(classes, "_class")
-    texts = docs.join(wanted.select("_class", F.col("_rep").alias("_id"), F.col("_set").alias("_want")), "_id")
-    sets = common.written(
-        texts.select("_class", "_text", "_want")
-        .mapInArrow(_elements, "_class bigint, _want binary, _set binary, _items array<bigint>")
+    wanted = members.select("_class").distinct().join(classes, "_class").select(
+        "_class", F.col("_rep").alias("_id"), F.col("_set").alias("_want")
+    )
+    texts = docs.join(wanted, "_id").select("_class", "_text", "_want")
+    return common.written(
+        texts.mapInArrow(_elements, "_class bigint, _want binary, _set binary, _items array<bigint>")
         .filter(F.col("_set") == F.col("_want")).select("_class", "_items")
     )
-    side = lambda c: sets.select(F.col("_class").alias(f"_{c}"), F.col("_items").alias(f"_items_{c}"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (_a, _b) whose full sets reach the similarity.
+
+    A hub is in many pairs; both joins are plain ones between two shuffles, which
+    Spark splits where a class is too much for one task.
+    """
+    pairs = common.written(pairs)
+    wanted = common.written(pairs.select(F.col("_a").alias("_class")).unionAll(pairs.select("_b")).distinct())
+    own = sets.join(wanted, "_class", "left_semi")
+    side = lambda c: own.select(F.col("_class").alias(f"_{c}"), F.col("_items").alias(f"_items_{c}"))
     both = F.size(F.array_intersect("_items_a", "_items_b"))
     return common.written(
         pairs.join(side("a"), "_a").join(side("b"), "_b")
@@ -204,7 +218,7 @@ def _proposals(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         common.join_counted(dealt, shared.withColumn("_in_bucket", F.col("_n")), ["_bucket"], "_n")
     )
     known = held.groupBy("_class").agg(F.sum("_in_bucket").alias("_known"))
-    facts = known.join(classes.select("_class", F.col("_n").alias("_size"), "_sketch"), "_class")
+    facts = known.join(classes.select("_class", F.col("_n").alias("_size"), "_sketch", "_bands"), "_class")
     members = common.written(held.join(facts, "_class"))
     hubs = common.written(
         members.groupBy("_bucket").agg(
@@ -222,9 +236,43 @@ def _proposals(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return members, pairs
 
 
-def _leftovers(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _crowds(inside: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For the classes of crowded buckets: how many rare shingles each has, and the
+    pairs across components that share one.
+
+    A shingle is rare if RARE of these classes hold it at most, so the pairs that
+    share one are few however large the crowd. Two classes that share none have
+    at most what is left of the smaller one in common.
+    """
+    crowd = inside.filter(F.col("_in_bucket") > CROWD).select("_class", "_root", "_size").distinct()
+    held = common.written(
+        sets.join(crowd, "_class").select("_class", "_root", "_size", F.explode("_items").alias("_item"))
+    )
+    counts = common.written(held.groupBy("_item").agg(F.count(F.lit(1)).alias("_n")))
+    rare = common.written(
+        common.join_counted(held, counts.withColumn("_holders", F.col("_n")), ["_item"], "_n").filter(F.col("_holders") <= RARE)
+    )
+    numbers = rare.groupBy("_class").agg(F.count(F.lit(1)).alias("_rare"))
+    shared = rare.filter("_holders > 1")
+    side = lambda c: shared.select("_item", *[F.col(x).alias(x + c) for x in ("_class", "_root", "_size")])
+    n, m = F.col("_size_a"), F.col("_size_b")
+    pairs = side("_a").join(side("_b"), "_item").filter(
+        (F.col("_class_a") < F.col("_class_b")) & (F.col("_root_a") != F.col("_root_b"))
+        & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    )
+    everyone = crowd.select("_class").distinct().join(numbers, "_class", "left")
+    return everyone.select("_class", F.coalesce("_rare", F.lit(0)).alias("_rare")), pairs.select(
+        F.col("_class_a").alias("_a"), F.col("_class_b").alias("_b")
+    )
+
+
+def _leftovers(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs across components in one bucket: members outside the bucket's largest
-    component against all members of other components."""
+    component against all members of other components.
+
+    A pair leaves the join in the first bucket that both are in, if its sizes and
+    sketches allow a link, and in a crowd also only if its rare shingles do.
+    """
     tagged = common.written(
         members.join(roots, "_class", "left").withColumn("_root", F.coalesce("_root", "_class"))
     )
@@ -235,22 +283,29 @@ def _leftovers(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         ).filter("_groups > 1").drop("_groups")
     )
     inside = common.written(common.join_counted(tagged, mixed, ["_bucket"], "_n"))
+    numbers, met_by_item = _crowds(inside, sets, percent)
+    known = common.written(inside.join(numbers, "_class", "left"))
     salts = F.ceil(F.col("_in_bucket") / BLOCK).cast("int")
-    out = (F.col("_root") != F.col("_main")).alias("_out")
-    right = inside.select(
-        "_bucket", F.pmod(F.xxhash64("_class"), salts).cast("int").alias("_salt"), F.col("_class").alias("_b"),
-        F.col("_root").alias("_root_b"), F.col("_size").alias("_size_b"), F.col("_sketch").alias("_sketch_b"), out.alias("_out_b"),
+    right = known.select(
+        "_bucket", F.pmod(F.xxhash64("_class"), salts).cast("int").alias("_salt"), (F.col("_root") != F.col("_main")).alias("_out_b"),
+        *[F.col(c).alias(c + "_b") for c in ("_class", "_root", "_size", "_sketch", "_bands", "_rare")],
     )
-    left = inside.filter("_root != _main").select(
-        "_bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), F.col("_class").alias("_a"),
-        F.col("_root").alias("_root_a"), F.col("_size").alias("_size_a"), F.col("_sketch").alias("_sketch_a"),
+    left = known.filter("_root != _main").select(
+        "_bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"),
+        *[F.col(c).alias(c + "_a") for c in ("_class", "_root", "_size", "_sketch", "_bands", "_rare")],
     )
-    return (
+    n, m = F.col("_size_a"), F.col("_size_b")
+    common_at_most = F.least(n - F.col("_rare_a"), m - F.col("_rare_b"))
+    rare_allow = F.coalesce(100 * common_at_most >= percent * (n + m - common_at_most), F.lit(True))
+    shared = F.filter(F.zip_with("_bands_a", "_bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    met = (
         left.join(right, ["_bucket", "_salt"])
-        .filter((F.col("_root_a") != F.col("_root_b")) & (~F.col("_out_b") | (F.col("_a") < F.col("_b"))))
-        .filter(may_link(F.col("_sketch_a"), F.col("_sketch_b"), F.col("_size_a"), F.col("_size_b"), percent))
-        .select("_a", "_b").distinct()
+        .filter((F.col("_root_a") != F.col("_root_b")) & (~F.col("_out_b") | (F.col("_class_a") < F.col("_class_b"))) & rare_allow)
+        .filter(may_link(F.col("_sketch_a"), F.col("_sketch_b"), n, m, percent))
+        .filter(F.get(shared, F.lit(0)) == F.col("_bucket"))
+        .select(F.col("_class_a").alias("_a"), F.col("_class_b").alias("_b"))
     )
+    return met.unionAll(met_by_item).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -268,8 +323,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ).withColumn("_class", F.monotonically_increasing_id())
     )
     members, pairs = _proposals(classes, percent)
-    links = verified(pairs, docs, classes, percent)
-    more = verified(_leftovers(members, components(links), percent), docs, classes, percent)
+    sets = full_sets(docs, classes, members)
+    links = verified(pairs, sets, percent)
+    more = verified(_leftovers(members, components(links), sets, percent), sets, percent)
     roots = components(links.unionAll(more))
     rooted = common.written(
         classes.select("_class", "_set", "_rep", "_copies").join(roots, "_class", "left")

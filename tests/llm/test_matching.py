@@ -61,8 +61,10 @@ def test_bands_find_and_sketches_keep_pairs_at_the_threshold():
     assert found == passed == 400
 
 
-def test_salting_changes_nothing(spark, monkeypatch):
+def test_salting_and_crowds_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "CROWD", 3)
+    monkeypatch.setattr(near_dup, "RARE", 4)
     rows = near_rows()
     got = near_dup.near_duplicates(brute.frame(spark, rows), percent=85).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute.groups(rows, 85))

@@ -12,13 +12,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
-
-import numpy as np
+from array import array
 
 #: Chunks and words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 500_000, 64
+#: Letters with marks at the end, and any chunk of letters, digits and marks but the apostrophe.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-_BLANKS = str.maketrans("\n\t\r", "   ")
+MIXED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class Encoder(dict):
@@ -34,32 +35,34 @@ class Encoder(dict):
         self.words: dict[str, bytes] = {}
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.short_way = True
-        probes = ["Hello", "ñandú,", "der.", "Zug,.", "ÉTÉ", "a"]
-        self.short_way = all(self._ask(x) == self._plain(PLAIN.fullmatch(x)) for x in probes)
+        probes = ["Hello", "ñandú,", "der.", "Zug,.", "ÉTÉ", "a", "a1b22-C_d;", "x@y.de", "***"]
+        self.short_way = all(self._ask(x) == self._short(x) for x in probes)
         self.whole = self._ask("Ab c, d") != self._ask("Ab") + self._ask("c,") + self._ask("d")
 
     def _ask(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if not word.isascii():
-                word_as_bytes = self.byte_level.pre_tokenize_str(word)[0][0]
-            else:
-                word_as_bytes = word
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(word_as_bytes)], "<u4").tobytes()
+            mapped = word if word.isascii() else self.byte_level.pre_tokenize_str(word)[0][0]
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
             if len(self.words) < REMEMBERED and len(word) <= LONGEST:
                 self.words[word] = ids
         return ids
 
-    def _plain(self, match: re.Match) -> bytes:
-        ids = self._word(match[1].lower())
-        return ids + self._word(match[2]) if match[2] else ids
+    def _short(self, chunk: str) -> bytes:
+        """By words; the library only where a chunk has other characters or may hold a special token."""
+        match = PLAIN.fullmatch(chunk)
+        if match:
+            ids = self._word(match[1].lower())
+            return ids + self._word(match[2]) if match[2] else ids
+        if "<|" not in chunk and MIXED.fullmatch(chunk):
+            return b"".join(map(self._word, PARTS.findall(chunk.lower())))
+        return self._ask(chunk)
 
     def __missing__(self, chunk: str) -> bytes:
-        match = PLAIN.fullmatch(chunk) if self.short_way else None
-        ids = self._plain(match) if match else self._ask(chunk)
+        ids = self._short(chunk) if self.short_way else self._ask(chunk)
         if len(self) < REMEMBERED and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
@@ -67,7 +70,8 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if self.whole:
             return self._ask(text)
-        return b"".join(map(self.__getitem__, text.translate(_BLANKS).split(" ")))
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 ROWS = brute.documents()
 TEXTS = [
     "don't stop", "<|endoftext|> a", "x́ é café", "İstanbul ΑΣ ΟΔΟΣ.", "a b", "a\x1cb\x85c", "日本語 テスト", "Ab.,c ..",
-    "×÷ a×b", "", "  ", " \n\t", "ß ſ K", "ﬁ", "word" * 2000, "ñandú, Der. Zug!", "a<|startoftext|>b", "é.",
+    "×÷ a×b", "a1b22-C_d; x@y.de (ok)*** 0x1F", "١٢ a", "", "  ", " \n\t", "ß ſ K", "ﬁ", "word" * 2000, "ñandú, Der. Zug!", "a<|startoftext|>b", "é.",
 ]
 
 

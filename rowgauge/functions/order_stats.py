@@ -5,7 +5,10 @@ not hold for billions of doubles. Here a sketch proposes a narrow interval
 around each wanted rank, a count proves that the rank lies in it, and only the
 values inside the last interval are grouped and ranked. Each round shrinks an
 interval by a factor in the thousands, so two rounds cover 10^11 values; all
-that reaches the driver is one row per round.
+that reaches the driver is one row per round. An interval that a count does not
+prove is proposed again with more room on both sides, and one that does not
+shrink, with a finer sketch; the ranking never sees more than ``small`` distinct
+places between the ends of an interval.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 SMALL = 100_000
 ACCURACY = 10_000
-MAX_ROUNDS = 8
+FINEST = 10_000_000
+MAX_ROUNDS = 64
 
 
 @dataclass
@@ -33,7 +37,8 @@ class _Bracket:
     below: int     # values < low
     upto: int      # values <= high
     strict: int    # values strictly between the ends
-    stuck: bool = False
+    room: float = 2.0    # ranks to either side of a guess, in units of the sketch's error
+    finer: int = 1       # how much finer than usual its sketch has to be
 
     @property
     def interval(self):
@@ -56,8 +61,8 @@ def _guesses(df, columns, brackets, accuracy) -> list[tuple[Any, Any]]:
         span = max(b.upto - b.below - 1, 1)
         ends = places.setdefault(b.interval, [])
         at.append(len(ends))
-        ends.append(max((b.first - b.below) / span - 2 / accuracy, 0.0))
-        ends.append(min((b.last - b.below) / span + 2 / accuracy, 1.0))
+        ends.append(max((b.first - b.below) / span - b.room / accuracy, 0.0))
+        ends.append(min((b.last - b.below) / span + b.room / accuracy, 1.0))
     sketches = []
     for i, ((name, low, high), ends) in enumerate(places.items()):
         c = columns[name]
@@ -71,7 +76,8 @@ def _guesses(df, columns, brackets, accuracy) -> list[tuple[Any, Any]]:
 def _enough(brackets, small, accuracy) -> int:
     """No finer a sketch than it takes to get under ``small`` in one round."""
     widest = max(b.strict for b in brackets)
-    return int(min(accuracy, max(40 * widest / small, 100)))
+    usual = int(min(accuracy, max(40 * widest / small, 100)))
+    return min(usual * max(b.finer for b in brackets), FINEST)
 
 
 def _narrow(df, columns, brackets, accuracy) -> None:
@@ -88,7 +94,10 @@ def _narrow(df, columns, brackets, accuracy) -> None:
     for i, (b, (low, high)) in enumerate(zip(brackets, guesses)):
         below, upto, strict = seen[3 * i : 3 * i + 3]
         proven = below <= b.first and b.last < upto
-        b.stuck = not proven or strict > b.strict / 2
+        if not proven:
+            b.room *= 4
+        elif strict > b.strict / 2:
+            b.finer *= 4
         if proven:
             b.low, b.high, b.below, b.upto, b.strict = low, high, below, upto, strict
 
@@ -164,10 +173,12 @@ def order_statistics(
             else:
                 brackets.append(_Bracket(name, rank, rank, low, high, 0, n, n))
     for _ in range(MAX_ROUNDS):
-        wide = [b for b in brackets if b.strict > small and not b.stuck and b.low != b.high]
+        wide = [b for b in brackets if b.strict > small and b.low != b.high]
         if not wide:
             break
         _narrow(df, columns, wide, _enough(wide, small, accuracy))
+    else:
+        raise RuntimeError("order statistics did not converge")
 
     values = {}
     for b in brackets:

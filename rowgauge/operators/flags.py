@@ -46,12 +46,17 @@ def row_flags(
 
 
 def flag_counts(
-    df: DataFrame, text_cols: Sequence[str], cfg: AuditConfig = DEFAULT
+    df: DataFrame, text_cols: Sequence[str], cfg: AuditConfig = DEFAULT, flags: Sequence[str] | None = None
 ) -> DataFrame:
-    """(column, flag, rows) for all text columns from one pass over the data."""
+    """(column, flag, rows) for all text columns from one pass over the data.
+
+    ``flags`` names the flags to count; the others are not worked out.
+    """
     counts, rows = [], []
     for i, name in enumerate(text_cols):
         for flag, expr in text_flags(column(name), cfg).items():
+            if flags is not None and flag not in flags:
+                continue
             key = f"{i}_{flag}"
             counts.append(F.count_if(expr).alias(key))
             rows.append(
@@ -115,9 +120,6 @@ def example_lists(found: DataFrame) -> DataFrame:
 
 
 def flagged_rows(df: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
-    """The full rows behind the evidence.
-
-    The evidence holds at most a few ids per check, so it is safe to broadcast.
-    """
-    ids = F.broadcast(found.withColumnRenamed("row_id", "__row_id"))
+    """The full rows behind the evidence. Spark broadcasts the evidence where it is small."""
+    ids = found.withColumnRenamed("row_id", "__row_id")
     return df.join(ids, column(row_id) == F.col("__row_id")).drop("__row_id", "position")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
-from ..functions.canonical import clean, numeric_columns
+from ..functions.canonical import clean, column, numeric_columns
 from ..functions.numbers import rounded
 from ..functions.order_stats import order_statistics
 from .flags import evidence, example_lists
@@ -74,7 +74,9 @@ def numeric_outliers(
         v = _as_double(df, c)
         reach = cfg.iqr_factor * (s["q3"] - s["q1"])
         outside[c] = (v < s["q1"] - reach) | (v > s["q3"] + reach)
-        far = F.abs(v - s["mean"]) / s["std"] > cfg.z_threshold if s["std"] else F.lit(False)
+        # With an infinity among the values there is no mean to be far from.
+        known = s["std"] and math.isfinite(s["mean"]) and math.isfinite(s["std"])
+        far = F.abs(v - s["mean"]) / s["std"] > cfg.z_threshold if known else F.lit(False)
         counts += [F.count_if(outside[c]).alias(f"i{i}"), F.count_if(far).alias(f"z{i}")]
         rows.append(
             {
@@ -90,7 +92,7 @@ def numeric_outliers(
         result = rows_from_wide(df.agg(*counts), rows)
     if row_id is None or not rows:
         return result
-    flagged = df.select(F.col(row_id), *[e.alias(c) for c, e in outside.items()])
+    flagged = df.select(column(row_id), *[e.alias(c) for c, e in outside.items()])
     examples = example_lists(evidence(flagged, row_id, list(outside), cfg.max_examples))
     return result.join(examples.withColumnRenamed("check", "column"), "column", "left")
 
@@ -105,7 +107,7 @@ def _moments(df, names) -> dict[str, tuple[int, float]]:
     out = {}
     for i, c in enumerate(names):
         n, mean, low, high = row[4 * i + 1 : 4 * i + 5]
-        if n > 1 and low != high:
+        if n > 1 and low != high and math.isfinite(mean):
             out[c] = (row[0] - n, mean)
     return out
 

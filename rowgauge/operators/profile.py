@@ -26,10 +26,8 @@ from ..functions.canonical import (
 from ..functions.numbers import rounded
 from .shape import pct, rows_from_wide
 
-PAIRS_PER_SCAN = 400
 
-
-def text_columns(df: DataFrame, cfg: AuditConfig = DEFAULT, sample_rows: int | None = None) -> list[str]:
+def text_columns(df: DataFrame, cfg: AuditConfig = DEFAULT) -> list[str]:
     """String columns whose values are long enough on average, in schema order.
 
     The answer is a list of names, so it takes one small aggregate here; name
@@ -37,7 +35,7 @@ def text_columns(df: DataFrame, cfg: AuditConfig = DEFAULT, sample_rows: int | N
     """
     if cfg.text_columns is not None:
         return list(cfg.text_columns)
-    return _roles(df.limit(sample_rows) if sample_rows else df, cfg, texts=True, labels=False)[0]
+    return _roles(df, cfg, texts=True, labels=False)[0]
 
 
 def column_roles(df: DataFrame, cfg: AuditConfig = DEFAULT) -> tuple[list[str], list[str]]:
@@ -49,23 +47,28 @@ def column_roles(df: DataFrame, cfg: AuditConfig = DEFAULT) -> tuple[list[str],
 def _roles(df: DataFrame, cfg: AuditConfig, texts: bool, labels: bool):
     """One aggregate: average lengths of strings, distinct sketches of flat columns.
 
-    The sketch uses 512 registers. k values can fill at most k of them, so its
-    small-range estimate 512*ln(512/empty) has a known ceiling for k values: a
-    column above that ceiling is certain to have more, and none is lost.
+    k values fill at most k of a sketch's registers, so its small-range estimate
+    m*ln(m/empty) has a known ceiling for k values: a column above it is certain
+    to have more, and none with fewer is lost. The sketch has several registers
+    per class, however many classes are asked for. That a column varies at all
+    is told by its ends, not by the sketch.
     """
-    registers, most = 512, cfg.max_classes
+    most = cfg.max_classes
+    bits = max(9, math.ceil(math.log2(2 * most + 1)))
+    registers, error = 2**bits, 1.106 / math.sqrt(2**bits) * 1.0001
     strings = [f.name for f in df.schema if texts and isinstance(f.dataType, T.StringType)]
     flat = [f.name for f in df.schema if labels and not isinstance(f.dataType, NESTED)]
-    sketched = flat if most <= 200 else []
     aggs = [F.avg(F.length(column(c))) for c in strings]
-    aggs += [F.approx_count_distinct(clean(df, c), 0.05) for c in sketched]
+    for c in flat:
+        short = value_key(df, c)
+        aggs += [F.approx_count_distinct(short, error), F.min(short) != F.max(short)]
     if not aggs:
         return [], flat
     row = df.agg(*[a.alias(f"x{i}") for i, a in enumerate(aggs)]).first()
     found = [c for c, v in zip(strings, row) if v is not None and v >= cfg.min_avg_length]
-    if sketched:
-        ceiling = registers * math.log(registers / (registers - most)) + 1
-        flat = [c for c, v in zip(sketched, row[len(strings) :]) if 1 < v <= ceiling]
+    ceiling = registers * math.log(registers / (registers - most)) + 1
+    seen = row[len(strings) :]
+    flat = [c for i, c in enumerate(flat) if seen[2 * i + 1] and seen[2 * i] <= ceiling]
     return found, flat
 
 
@@ -102,43 +105,36 @@ def fully_empty_rows(df: DataFrame) -> DataFrame:
 def correlated_missingness(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """(col_a, col_b, corr): columns whose gaps go together.
 
-    Correlation of two 0/1 masks needs nothing but counts: each mask alone and
-    both together.
+    Two scans, however many columns: one counts each column's gaps, one groups
+    rows by which columns they miss. There are few such patterns. Correlation of two 0/1
+    masks needs nothing but counts: each mask alone and both together.
     """
+    gaps = F.array_compact(
+        F.array(*[F.when(missing(df, c), F.lit(i)) for i, c in enumerate(df.columns)])
+    )
+    patterns = df.groupBy(gaps.alias("gaps")).agg(F.count("*").alias("k"))
+    together = (
+        patterns.select("k", "gaps", F.explode("gaps").alias("a"))
+        .select("k", "a", F.explode("gaps").alias("b"))
+        .filter("a < b")
+        .groupBy("a", "b").agg(F.sum("k").alias("both"))
+    )
     totals = _missing_agg(df).first()
-    gappy = [c for i, c in enumerate(df.columns) if totals[i + 1] > 0]
-    n = totals["n"]
-    nulls = {c: totals[i + 1] for i, c in enumerate(df.columns)}
-    pairs = [(a, b) for i, a in enumerate(gappy) for b in gappy[i + 1 :]]
-    out = None
-    for start in range(0, max(len(pairs), 1), PAIRS_PER_SCAN):
-        block = pairs[start : start + PAIRS_PER_SCAN]
-        both = df.agg(
-            F.count("*").alias("n"),
-            *[
-                F.count_if(missing(df, a) & missing(df, b)).alias(f"p{i}")
-                for i, (a, b) in enumerate(block)
-            ],
-        )
-        rows = []
-        for i, (a, b) in enumerate(block):
-            pa, pb = nulls[a] / n, nulls[b] / n
-            spread = math.sqrt(pa * (1 - pa) * pb * (1 - pb))
-            rows.append(
-                {
-                    "col_a": F.lit(a),
-                    "col_b": F.lit(b),
-                    "r": F.try_divide(
-                        F.col(f"p{i}") / F.col("n") - F.lit(pa * pb), F.lit(spread)
-                    ),
-                }
-            )
-        if not rows:
-            rows = [{"col_a": F.lit(""), "col_b": F.lit(""), "r": F.lit(None).cast("double")}]
-        part = rows_from_wide(both, rows)
-        out = part if out is None else out.unionAll(part)
-    return out.filter(F.abs("r") >= cfg.co_missing_from).select(
-        "col_a", "col_b", rounded(F.col("r"), 2).alias("corr")
+    n, gappy = totals["n"], [i for i in range(len(df.columns)) if totals[i + 1] > 0]
+    rows = []
+    for at, i in enumerate(gappy):
+        for j in gappy[at + 1 :]:
+            pa, pb = totals[i + 1] / n, totals[j + 1] / n
+            rows.append((i, j, df.columns[i], df.columns[j], pa * pb, math.sqrt(pa * (1 - pa) * pb * (1 - pb))))
+    pairs = df.sparkSession.createDataFrame(
+        rows, "a int, b int, col_a string, col_b string, by_chance double, spread double"
+    )
+    r = F.try_divide(F.coalesce("both", F.lit(0)) / F.lit(float(n)) - F.col("by_chance"), F.col("spread"))
+    return (
+        pairs.join(together, ["a", "b"], "left")
+        .select("col_a", "col_b", r.alias("r"))
+        .filter(F.abs("r") >= cfg.co_missing_from)
+        .select("col_a", "col_b", rounded(F.col("r"), 2).alias("corr"))
     )
 
 

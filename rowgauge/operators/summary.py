@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
+from ..functions.canonical import column
 from .corpus import token_distribution
 from .flags import flag_counts
 from .profile import missingness
@@ -37,5 +38,5 @@ def column_summary(
         F.col("max").alias("max_tokens"),
         "total_tokens",
     )
-    gaps = missingness(df.select(*[F.col(c) for c in text_cols])).select("column", "null_pct")
+    gaps = missingness(df.select(*[column(c) for c in text_cols])).select("column", "null_pct")
     return gaps.join(lengths, "column", "left").join(flags, "column", "left")

@@ -21,9 +21,6 @@ NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-FEW_TASKS = 8
-
-
 def flatten_once(df: DataFrame) -> DataFrame:
     """Top-level structs become ``a.b`` columns, one level deep."""
     out = []
@@ -35,20 +32,6 @@ def flatten_once(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of very few tasks over more cores.
-
-    For small tables in one row group and for files that cannot be split. Scans
-    of more than ``FEW_TASKS`` tasks (about a gigabyte) are left as they are.
-    Meant for a plain scan; filters and column pruning still reach it.
-    """
-    tasks = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if tasks > FEW_TASKS or cores < 2:
-        return df
-    return df.repartition(min(cores, 8 * tasks))
-
-
 def _typed(df: DataFrame) -> DataFrame:
     """Whole, fractional and boolean columns told from text in one aggregate."""
     checks = []
@@ -75,31 +58,51 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def delimited_options(sep: str = ",", multi_line: bool = False, mode: str = "FAILFAST") -> dict:
+    """How delimited files are read, as a table or as a stream."""
+    return {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": mode}
+
+
+def as_text(schema: T.StructType | str) -> tuple[T.StructType, T.StructType]:
+    """(the schema, the same names as strings)."""
+    typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return typed, T.StructType([T.StructField(f.name, T.StringType()) for f in typed])
+
+
+def from_text(df: DataFrame, schema: T.StructType | None, na_values=NA_VALUES) -> DataFrame:
+    """Cells that mean "missing" become null, the others the schema's types."""
+    kinds = {f.name: f.dataType for f in schema} if schema is not None else {}
+    cells = {c: F.when(~column(c).isin(*na_values), column(c)) for c in df.columns}
+    return df.select(*[(v.cast(kinds[c]) if c in kinds else v).alias(c) for c, v in cells.items()])
+
+
+def _has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Some line holds an odd number of quotes, so a cell goes on in the next one."""
+    quotes = F.regexp_count("value", F.lit('"'))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
     sep: str = ",",
     schema=None,
     na_values=NA_VALUES,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     mode: str = "FAILFAST",
 ) -> DataFrame:
     """CSV or TSV with a header, gzip by extension.
 
-    ``multi_line`` keeps quoted line breaks right, at the price of one task per
-    file; turn it off for large files without such breaks so they are split.
+    Large files are split, unless some quoted cell has a line break: then each
+    file is one task. ``multi_line`` says so beforehand and saves the look.
     """
-    reader = spark.read.options(
-        header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode=mode
-    )
+    if multi_line is None:
+        multi_line = _has_broken_lines(spark, path)
+    reader = spark.read.options(**delimited_options(sep, multi_line, mode))
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    df = reader.csv(path)
-    return _typed(
-        df.select(
-            *[F.when(~column(c).isin(*na_values), column(c)).alias(c) for c in df.columns]
-        )
-    )
+        typed, plain = as_text(schema)
+        return from_text(reader.schema(plain).csv(path), typed, na_values)
+    return _typed(from_text(reader.csv(path), None, na_values))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +122,8 @@ def _record_schema(lines: DataFrame) -> T.StructType:
     parts = re.split(r"(`(?:[^`]|``)*`)", found)  # quoted names stay as they are
     for k in range(0, len(parts), 2):
         part = re.sub(r"\b(VOID|VARIANT)\b(?!:)", "STRING", parts[k])
-        part = re.sub(r"\b(DECIMAL\(\d+,\s*\d+\)|FLOAT\b(?!:))", "DOUBLE", part)
+        part = re.sub(r"\bDECIMAL\(\d+,\s*0\)", "DECIMAL(38,0)", part)  # whole, too large for a long
+        part = re.sub(r"\b(DECIMAL\(\d+,\s*[1-9]\d*\)|FLOAT\b(?!:))", "DOUBLE", part)
         parts[k] = re.sub(r"\bOBJECT(?=<)", "STRUCT", part)
     ddl = "".join(parts)
     return T.StructType.fromDDL("r " + ddl)["r"].dataType

@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import is_blank
+from ..sources import readers
+
+SEPARATORS = {"csv": ",", "tsv": "\t"}
 
 
 def read_stream(
-    spark: SparkSession, path: str, fmt: str, schema, max_files: int = 100
+    spark: SparkSession, path: str, fmt: str, schema, max_files: int, flatten: bool = True
 ) -> DataFrame:
-    """A stream of files, a bounded number per step.
+    """A stream of files with the rows that the batch readers give, ``max_files`` a step.
 
     Row flags are stateless, so ``row_flags`` and every expression under it run
     on the result as they do on a table.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if fmt in ("csv", "tsv"):
-        reader = reader.option("header", True).option("sep", "," if fmt == "csv" else "\t")
-    return reader.format({"tsv": "csv", "jsonl": "json"}.get(fmt, fmt)).load(path)
+    stream = spark.readStream.option("maxFilesPerTrigger", max_files)
+    typed, plain = readers.as_text(schema)
+    if fmt in SEPARATORS:
+        lines = stream.options(**readers.delimited_options(SEPARATORS[fmt])).schema(plain).csv(path)
+        return readers.from_text(lines, typed)
+    if fmt == "jsonl":
+        value = F.make_valid_utf8("value")
+        lines = stream.text(path).select(value.alias("value")).filter(~is_blank(F.col("value")))
+        df = lines.select(F.from_json("value", typed, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        return readers.flatten_once(df) if flatten else df
+    return stream.schema(typed).format(fmt).load(path)

@@ -48,7 +48,9 @@ REPORTED = "said says saying told wrote writes called quote quoted quoting accor
 OTHER, INSULT, THREAT, TARGET, NEGATION, SPEECH = range(6)
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
 CLAUSE = re.compile(r"[.!?;\n]+")
-REMEMBERED = 300_000
+#: Tokens whose class a task remembers.
+REMEMBERED = 100_000
+NOTHING = (OTHER, 0.0)
 
 
 @dataclass(frozen=True)
@@ -131,7 +133,7 @@ class Reader:
         for n in STEMS:
             if len(word) >= n:
                 weight = max(weight, self.model.stems.get(word[:n], 0.0))
-        return (INSULT, weight) if weight else (OTHER, 0.0)
+        return (INSULT, weight) if weight else NOTHING
 
     def raw(self, text: str) -> float:
         """Summed weights of the clauses; most texts hold no match and are left at once."""

@@ -167,17 +167,33 @@ def long_turn_flags(
 ) -> DataFrame:
     """(conv_id, broken_ordering, empty_turn) for one row per turn.
 
-    Turn numbers must be whole and unique in a conversation. Turns are compared
-    within blocks of turn numbers, and the blocks' own first and last roles with
-    each other, so no task ever holds one whole conversation.
+    Turns are compared within blocks of turn numbers, and the blocks' own first
+    and last roles with each other, so no task ever holds one whole conversation.
+    Turns with the same number are merged before that, and their conversation
+    counts as broken. Turns without a conversation have no order: they make one
+    row with a null id, whose ``broken_ordering`` is null.
     """
-    turns = df.select(
+    own = df.select(
         column(conv_id).alias("conv_id"),
         column(turn).alias("turn"),
-        F.floor(column(turn) / turns_per_block).alias("block"),
         F.lower(F.coalesce(column(role), F.lit(""))).alias("role"),
         is_blank(column(content)).alias("blank"),
     )
+    lost = (
+        own.filter(F.col("conv_id").isNull())
+        .agg(F.bool_or("blank").alias("empty_turn"))
+        .filter(F.col("empty_turn").isNotNull())
+        .select(
+            F.lit(None).cast(own.schema["conv_id"].dataType).alias("conv_id"),
+            F.lit(None).cast("boolean").alias("broken_ordering"), "empty_turn",
+        )
+    )
+    turns = (
+        own.filter(F.col("conv_id").isNotNull())
+        .groupBy("conv_id", "turn")
+        .agg(F.min("role").alias("role"), F.bool_or("blank").alias("blank"), (F.count("*") > 1).alias("again"))
+        .withColumn("block", F.floor(F.col("turn") / turns_per_block))
+    )
     spoken = turns.filter(F.col("role") != SYSTEM_ROLE)
     checked = F.col("role").isin(*ALTERNATING_ROLES)
     within = W.partitionBy("conv_id", "block").orderBy("turn")
@@ -194,7 +210,7 @@ def long_turn_flags(
     )
     no = F.lit(False)
     return (
-        turns.select("conv_id", no.alias("broken"), "blank")
+        turns.select("conv_id", F.col("again").alias("broken"), "blank")
         .unionAll(inside.select("conv_id", "broken", no))
         .unionAll(edges.select("conv_id", "broken", no))
         .groupBy("conv_id")
@@ -202,4 +218,5 @@ def long_turn_flags(
             F.coalesce(F.bool_or("broken"), no).alias("broken_ordering"),
             F.bool_or("blank").alias("empty_turn"),
         )
+        .unionAll(lost)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -19,7 +19,7 @@ from ..operators.flags import evidence, example_lists, text_flags
 from ..operators.leakage import leaked_keys, training_split
 from ..operators.types import dtype_consistency
 from ..sources.ranges import primary_split, split_metadata
-from ..sources.readers import union_splits
+from ..sources.readers import is_mixed, union_splits
 from .checks import TableStats, TextStats, checks_table
 from .score import score_dimensions, score_overall
 
@@ -92,30 +92,36 @@ class _OnDemand(Mapping):
         return len(self._builders)
 
 
+#: Id of rows without one of their own: their place in the scan.
+SCAN_ID = "row/"
+
+
 def _slim_table(df, row_id, text_cols, fmt, pair, cfg):
-    """Id, flags, token counts and keys of every row: one scan, no texts kept."""
+    """Id, flags, token counts and keys of every row: one scan, no texts kept.
+
+    Keys are 16 bytes; a text column's key is kept once for copies and leakage.
+    """
     flags, extra = {}, []
     for i, c in enumerate(text_cols):
         flags.update({f"{c}/{k}": v for k, v in text_flags(column(c), cfg).items()})
         extra.append(text.token_estimate(column(c), cfg).alias(f"tokens/{i}"))
-        extra.append(text.normal_hash(column(c)).alias(f"near/{i}"))
+        extra.append(F.unhex(text.normal_hash(column(c))).alias(f"near/{i}"))
     if fmt.chat_column:
         flags.update(chat.chat_flags(df, fmt.chat_column))
     if pair:
         flags.update(responses.response_flags(df, *pair, cfg))
-    ids = [column(row_id)] if row_id else []
-    whole = row_hash(df, [c for c in df.columns if c != row_id]).alias("whole/")
+    ids = column(row_id) if row_id else F.monotonically_increasing_id().alias(SCAN_ID)
+    whole = F.unhex(row_hash(df, [c for c in df.columns if c != row_id])).alias("whole/")
     named = [F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()]
-    return df.select(*ids, whole, *extra, *named), list(flags)
+    return df.select(ids, whole, *extra, *named), list(flags)
 
 
-def _leaked(slim, primary, others, text_col):
-    """Leaked rows per split; the training split's keys are in the slim table."""
+def _leaked(slim, primary, rest, names):
+    """Leaked rows per split; the training split's keys are in the slim table, the
+    other splits' are read in one scan however many there are."""
     keys = slim.select(F.lit(primary).alias("split"), column("near/0").alias("key"))
-    for name, df in others.items():
-        part = df.select(F.lit(name).alias("split"), text.normal_hash(column(text_col)).alias("key"))
-        keys = keys.unionAll(part)
-    return leaked_keys(keys, [primary, *others])
+    other = rest.select("split", F.unhex(text.normal_hash(F.col("text"))).alias("key"))
+    return leaked_keys(keys.unionAll(other), [primary, *names])
 
 
 def _lengths(slim: DataFrame, text_cols) -> dict:
@@ -135,7 +141,8 @@ def _lengths(slim: DataFrame, text_cols) -> dict:
 def _proof(slim, row_id, hit, cfg):
     """Evidence rows, and their ids per flag: a few for each."""
     spark = slim.sparkSession
-    if not row_id or not hit:
+    row_id = row_id or SCAN_ID
+    if not hit:
         return spark.createDataFrame([], "check string, row_id string, position bigint"), {}
     found = evidence(slim, row_id, hit, cfg.max_examples)
     rows = sorted(found.collect(), key=lambda r: (r["check"], r["position"]))
@@ -151,16 +158,17 @@ def table_stats(
     cfg: AuditConfig = DEFAULT,
     variants: DataFrame | None = None,
     primary: str = "data",
-    others: Mapping[str, DataFrame] | None = None,
+    others: Callable[[str], tuple[list[str], DataFrame]] | None = None,
 ):
     """The numbers behind the checks of one split.
 
-    The texts are scanned three times: for column roles, for the slim table
-    that flags, lengths, duplicates and leakage share, and for the vocabulary.
+    The split's texts are scanned three times: for column roles, for the slim
+    table that flags, lengths, duplicates and leakage share, and for the
+    vocabulary; the texts of all other splits once. ``others`` gives, for a text
+    column, the names of the other splits that have it and their (split, text).
     Returns the numbers, the evidence, the layout, the text columns and the
     leakage rows (None where it was not checked).
     """
-    others = others or {}
     body_cols = [c for c in df.columns if c != row_id]
     body = df.select(*[column(c) for c in body_cols])
     found, labels = profile.column_roles(body, cfg)
@@ -181,8 +189,8 @@ def table_stats(
         repeated = profile.repeated_keys(slim, column("whole/"), near).collect()
         dup = {(r["kind"], r["column"]): r for r in repeated}
         if others and text_cols and training_split([primary]):
-            having = {s: d for s, d in others.items() if text_cols[0] in d.columns}
-            leaks = _leaked(slim, primary, having, text_cols[0]).collect()
+            names, rest = others(text_cols[0])
+            leaks = _leaked(slim, primary, rest, names).collect() if names else []
     finally:
         slim.unpersist()
 
@@ -238,12 +246,14 @@ def table_stats(
 
 
 def _mixed(df: DataFrame, variants: DataFrame | None) -> list[str]:
-    """Names of mixed columns: record keys, and variant columns of the table."""
+    """Names of mixed columns: record keys, columns the reader marked, variant columns."""
     names = []
     if variants is not None:
         found = dtype_consistency(variants, variants.columns[0]).select("column")
         names += sorted(r[0] for r in found.collect())
     for f in df.schema:
+        if is_mixed(f) and f.name not in names:
+            names.append(f.name)
         if isinstance(f.dataType, T.VariantType):
             boxed = df.select(
                 F.parse_json(F.concat(F.lit('{"v":'), F.to_json(column(f.name)), F.lit("}")))
@@ -265,8 +275,10 @@ def audit(
     """Audit one table, or several splits of one dataset.
 
     ``data`` is a DataFrame (with a ``split_col`` column if it has splits) or a
-    DataFrame per split. ``row_id`` names a unique key for evidence rows.
-    ``variants`` is the same data read as variants, for mixed JSON types.
+    DataFrame per split. ``row_id`` names a unique key for evidence rows; without
+    one, they are told by their place in the scan. Columns in which ``read_jsonl``
+    met several kinds of values are known to it; ``variants`` is the same data
+    read as variants, for tables that come otherwise.
     """
     if isinstance(data, DataFrame):
         if split_col in data.columns:
@@ -282,8 +294,15 @@ def audit(
     primary = primary_split(names)
     df = parts[primary]
 
-    others = {s: d for s, d in parts.items() if s != primary}
-    stats, proof, fmt, text_cols, leaks = table_stats(df, row_id, cfg, variants, primary, others)
+    def others(text_col: str) -> tuple[list[str], DataFrame]:
+        having = [s for s in names if s != primary and text_col in parts[s].columns]
+        if isinstance(data, DataFrame) and having:
+            rest = data.filter(~column(split_col).eqNullSafe(primary))
+            return having, rest.select(column(split_col).alias("split"), column(text_col).alias("text"))
+        rest = {s: parts[s].select(column(text_col).alias("text")) for s in having}
+        return having, union_splits(rest) if rest else None
+
+    stats, proof, fmt, text_cols, leaks = table_stats(df, row_id, cfg, variants, primary, others if len(names) > 1 else None)
 
     leakage, reason = None, ""
     if len(names) < 2 or not text_cols:

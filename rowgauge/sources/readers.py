@@ -18,6 +18,7 @@ from .manifest import file_format
 WRAPPERS = ("data", "rows", "examples", "instances")
 INTEGER = r"\A[+-]?[0-9]+\z"
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+MIXED_KINDS = "mixed_kinds"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -111,37 +112,61 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(~is_blank(F.col("value")))
 
 
-def _record_schema(lines: DataFrame) -> T.StructType:
-    """The merged schema of all records, from one aggregate.
+def _plain(dtype: T.DataType, path: str, mixed: set[str]) -> T.DataType:
+    """Variants, which stand for several kinds of values, become strings; their paths are noted."""
+    if isinstance(dtype, T.VariantType):
+        mixed.add(path)
+        return T.StringType()
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_plain(dtype.elementType, path + "[]", mixed))
+    if isinstance(dtype, T.StructType):
+        lead = path + "." if path else ""
+        return T.StructType([T.StructField(f.name, _plain(f.dataType, lead + f.name, mixed)) for f in dtype])
+    return dtype
 
-    Keys with several kinds of values become strings, as do keys without any.
+
+def _record_schema(lines: DataFrame) -> tuple[T.StructType, set[str]]:
+    """The merged schema of all records, from one aggregate, and the keys with
+    several kinds of values.
+
+    Those become strings, as do keys without any value.
     """
     found = lines.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0]
     if not found or not found.startswith("OBJECT"):
-        return T.StructType([])
+        return T.StructType([]), set()
     parts = re.split(r"(`(?:[^`]|``)*`)", found)  # quoted names stay as they are
     for k in range(0, len(parts), 2):
-        part = re.sub(r"\b(VOID|VARIANT)\b(?!:)", "STRING", parts[k])
+        part = re.sub(r"\bVOID\b(?!:)", "STRING", parts[k])
         part = re.sub(r"\bDECIMAL\(\d+,\s*0\)", "DECIMAL(38,0)", part)  # whole, too large for a long
         part = re.sub(r"\b(DECIMAL\(\d+,\s*[1-9]\d*\)|FLOAT\b(?!:))", "DOUBLE", part)
         parts[k] = re.sub(r"\bOBJECT(?=<)", "STRUCT", part)
-    ddl = "".join(parts)
-    return T.StructType.fromDDL("r " + ddl)["r"].dataType
+    mixed: set[str] = set()
+    return _plain(T.StructType.fromDDL("r " + "".join(parts))["r"].dataType, "", mixed), mixed
+
+
+def is_mixed(field: T.StructField) -> bool:
+    """The reader met several kinds of values in the column."""
+    return bool((field.metadata or {}).get(MIXED_KINDS))
 
 
 def read_jsonl(
     spark: SparkSession, path: str, schema=None, mode: str = "FAILFAST", flatten: bool = True
 ) -> DataFrame:
-    """JSON lines. Columns keep the order of the first record."""
+    """JSON lines. Columns keep the order of the first record; those with several
+    kinds of values become strings and are marked for the check of types."""
     lines = _lines(spark, path)
+    mixed: set[str] = set()
     if schema is None:
-        schema = _record_schema(lines)
+        schema, mixed = _record_schema(lines)
         first = lines.select(F.json_object_keys("value").alias("keys")).first()
         lead = [k for k in dict.fromkeys((first and first["keys"]) or []) if k in schema.names]
         names = lead + [c for c in schema.names if c not in lead]
         schema = T.StructType([schema[c] for c in names])
     df = lines.select(F.from_json("value", schema, {"mode": mode}).alias("r")).select("r.*")
-    return flatten_once(df) if flatten else df
+    df = flatten_once(df) if flatten else df
+    return df.select(*[
+        column(c).alias(c, metadata={MIXED_KINDS: True}) if c in mixed else column(c) for c in df.columns
+    ])
 
 
 def read_json_document(

@@ -8,11 +8,14 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .manifest import file_format
+from .manifest import classify_sources
 
 
-def write_report(report, path: str, audit_id: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Checks, scores, splits and leakage as tables partitioned by audit."""
+def write_report(report, path: str, audit_id: str, fmt: str = "parquet") -> None:
+    """Checks, scores, splits and leakage as tables partitioned by audit.
+
+    An audit written again replaces its own partition and no other.
+    """
     tables: dict[str, DataFrame] = {
         "checks": report.checks,
         "dimensions": report.dimensions,
@@ -26,7 +29,8 @@ def write_report(report, path: str, audit_id: str, fmt: str = "parquet", mode: s
         (
             df.withColumn("audit_id", F.lit(audit_id))
             .coalesce(1)
-            .write.mode(mode)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("audit_id")
             .format(fmt)
             .save(f"{path}/{name}")
@@ -43,11 +47,17 @@ def report_to_json(report) -> str:
     else:
         by_split = {r["split"]: r.asDict() for r in report.leakage.collect()}
         leaks = {"checked": True, "column": report.text_columns[0], "by_split": by_split}
+    spark = report.checks.sparkSession
+    link = classify_sources(spark.createDataFrame([(report.link,)], "link string"), "link").first()
     return json.dumps(
         {
             "generated_at": datetime.now(timezone.utc).isoformat(),
             "link": report.link,
-            "source": {"format": file_format(report.link)[0]},
+            "source": {
+                "type": link["source_type"],
+                "resolved_url": link["resolved_url"],
+                "format": link["file_format"],
+            },
             "splits": splits,
             "primary_split": report.primary_split,
             "scorecard": {

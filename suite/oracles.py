@@ -593,8 +593,9 @@ BAD_RATIO = "length(coalesce(output, '')) < 0.1::DOUBLE * length(instruction) AN
 ORACLES = {
     "source_manifest": SOURCE_MANIFEST,
     "csv_scan": DOCS,
-    "tsv_scan": "SELECT o_orderkey, o_totalprice, o_orderpriority, "
+    "tsv_scan": "SELECT * EXCLUDE (o_orderstatus, o_orderdate), "
     "CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status FROM orders",
+    "json_document_scan": "SELECT doc_id, text FROM documents",
     "jsonl_scan": "SELECT doc_id, lang AS meta_lang, source AS meta_source, text, n_chars FROM documents",
     "parquet_scan": DOCS,
     "split_union": "SELECT doc_id, text, 'train' AS split, NULL::BIGINT AS item_id FROM documents UNION ALL "
@@ -640,7 +641,10 @@ ORACLES = {
     "correlated_missingness": _co_missing(),
     "cardinality": _cardinality(LABELLED_COLUMNS, "labelled", LABELLED),
     "cardinality_lineitem": _cardinality(LINEITEM_COLUMNS, "lineitem"),
-    "cardinality_nested": _cardinality(["embedding", "label"], "embeddings"),
+    "cardinality_nested": _cardinality(
+        ["embedding", "label", "pair", "entries"], "made",
+        "made AS (SELECT embedding, label, coalesce(label::VARCHAR, '') || '/' || vec_id % 7 AS pair, 'ab' AS entries FROM embeddings)",
+    ),
     "class_balance": _balance(LABELLED_COLUMNS, "labelled", LABELLED),
     "class_balance_lineitem": _balance(LINEITEM_COLUMNS, "lineitem"),
     "duplicates": f"WITH {COPIES}, c AS (SELECT (SELECT count(*) FROM copies) AS n, "
@@ -675,6 +679,21 @@ ORACLES = {
     "SELECT p.doc_id, text, lang, source, \"check\" FROM planted p JOIN proof ON p.doc_id = proof.row_id",
     "column_summary": _column_summary(),
     "checks": f"WITH {CHECKS} SELECT * FROM checks",
+    "checks_mixed": """WITH kinds AS (SELECT count(DISTINCT CASE event_type WHEN 'view' THEN 's' WHEN 'error' THEN 'b' ELSE 'i' END) AS k,
+  count(DISTINCT event_type = 'signup') AS p FROM events),
+found AS (SELECT concat_ws(', ', CASE WHEN k > 1 THEN 'k' END, CASE WHEN p > 1 THEN 'o.p' END) AS c, (k > 1)::INT + (p > 1)::INT AS n FROM kinds)
+SELECT 'Columns present' AS name, 'PASS' AS status, 0::BIGINT AS affected_rows, 'INFO' AS severity,
+  '4 columns detected: k, l, num, o.p' AS detail
+UNION ALL SELECT 'Dtype consistency', CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, n::BIGINT,
+  CASE WHEN n > 0 THEN 'HIGH' ELSE 'INFO' END,
+  CASE WHEN n > 0 THEN 'Mixed python types in: ' || c ELSE 'No mixed-type object columns detected.' END FROM found""",
+    "checks_chat": f"""WITH {LINES}, {TURN_FLAGS},
+f AS (SELECT count(*) FILTER (broken_ordering) AS b, count(*) FILTER (empty_turn) AS e,
+  coalesce(array_to_string(list_slice(list(conv_id ORDER BY conv_id) FILTER (broken_ordering), 1, 5), ','), '') AS bx,
+  coalesce(array_to_string(list_slice(list(conv_id ORDER BY conv_id) FILTER (empty_turn), 1, 5), ','), '') AS ex FROM turn_flags)
+SELECT 'Instruction format' AS name, 'PASS' AS status, 0::BIGINT AS affected_rows, 'INFO' AS severity, '' AS example_rows
+UNION ALL SELECT 'Chat turn ordering', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, CASE WHEN b > 0 THEN 'HIGH' ELSE 'INFO' END, bx FROM f
+UNION ALL SELECT 'Empty conversation turns', CASE WHEN e > 0 THEN 'WARN' ELSE 'PASS' END, e, CASE WHEN e > 0 THEN 'MEDIUM' ELSE 'INFO' END, ex FROM f""",
     "checks_pairs": f"""WITH {PAIRED}, f AS (SELECT
     count(*) FILTER (length(coalesce(output, '')) <= 1) AS e, count(*) FILTER ({BAD_RATIO}) AS r,
     coalesce(array_to_string(list_slice(list(conv_id * 1000 + turn ORDER BY conv_id * 1000 + turn)

@@ -188,10 +188,8 @@ def csv_scan(spark, sf):
 
 def tsv_scan(spark, sf):
     path = scratch(spark) + ".tsv"
-    cols = table(spark, sf, "orders").select(
-        "o_orderkey", "o_totalprice", "o_orderpriority",
-        F.when(F.col("o_orderstatus") == "F", "NA").otherwise(F.col("o_orderstatus")).alias("status"),
-    )
+    status = F.when(F.col("o_orderstatus") == "F", "NA").otherwise(F.col("o_orderstatus"))
+    cols = table(spark, sf, "orders").withColumn("status", status).drop("o_orderstatus", "o_orderdate")
     cols.write.options(header=True, sep="\t", escape='"').csv(path)
     return readers.read_table(spark, path)
 
@@ -207,6 +205,17 @@ def jsonl_scan(spark, sf):
     )
 
 
+def json_document_scan(spark, sf):
+    """All documents as JSON files of 200 each: objects around a list."""
+    path = scratch(spark) + ".json"
+    rows = table(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 200).alias("part"), F.to_json(F.struct("doc_id", "text")).alias("r")
+    )
+    made = F.concat(F.lit('{"rows": ['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value")
+    rows.groupBy("part").agg(made).write.partitionBy("part").text(path)
+    return readers.read_table(spark, path).drop("part")
+
+
 def parquet_scan(spark, sf):
     path = scratch(spark) + ".parquet"
     _documents(spark, sf).write.parquet(path)
@@ -345,7 +354,15 @@ def cardinality_lineitem(spark, sf):
 
 
 def cardinality_nested(spark, sf):
-    return profile.cardinality(table(spark, sf, "embeddings").select("embedding", "label"))
+    """Arrays, structs and maps; the order of a map's entries does not count."""
+    made = table(spark, sf, "embeddings").select(
+        "embedding", "label", F.struct("label", (F.col("vec_id") % 7).alias("k")).alias("pair"),
+        F.map_from_arrays(
+            F.when(F.col("vec_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("a"))),
+            F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(1))),
+        ).alias("entries"),
+    )
+    return profile.cardinality(made)
 
 
 def class_balance(spark, sf):
@@ -471,6 +488,22 @@ def checks(spark, sf):
     )
 
 
+def checks_mixed(spark, sf):
+    """The check of types over JSON lines whose keys hold several kinds of values."""
+    path = scratch(spark) + ".jsonl"
+    mixed_records(spark, sf).select(F.to_json("v").alias("value")).write.text(path)
+    found = audit_plan.audit(readers.load_splits(spark, {"train": path})).checks
+    return found.filter(F.col("category") == "SCHEMA").select("name", "status", "affected_rows", "severity", "detail")
+
+
+def checks_chat(spark, sf):
+    """The checks of a chat table: broken order and empty turns among them."""
+    found = audit_plan.audit(line_chats(spark, sf), "doc_id").checks
+    return found.filter(F.col("category") == "FORMAT").select(
+        "name", "status", "affected_rows", "severity", F.array_join("example_rows", ",").alias("example_rows"),
+    )
+
+
 def checks_pairs(spark, sf):
     pairs = paired(spark, sf).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "instruction", "output"
@@ -501,7 +534,7 @@ def issues(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        source_manifest, csv_scan, tsv_scan, jsonl_scan, parquet_scan, split_union, row_range,
+        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range,
         split_metadata, primary_split, report_sink, normalised_text, row_flags, flag_counts,
         text_quality, html_pages, pii_by_source, pii_counts, toxicity, over_budget, repetition,
         openings, opening_words, text_columns, schema_report, missingness, fully_empty_rows,
@@ -509,7 +542,7 @@ QUERIES = {
         class_balance, class_balance_lineitem, duplicates, dtype_consistency, split_leakage,
         outliers, outliers_lineitem, correlation, token_distribution, token_histogram, vocabulary,
         format_detection, turn_order_nested, chat_flags_nested, turn_order_long, response_checks,
-        evidence, flagged_rows, column_summary, checks, checks_pairs, score_dimensions,
+        evidence, flagged_rows, column_summary, checks, checks_mixed, checks_chat, checks_pairs, score_dimensions,
         score_overall, gate, issues,
     )
 }

@@ -10,7 +10,7 @@ LAZY = [
     "token_distribution", "token_histogram", "repetition", "openings", "cardinality",
     "turn_order_long", "chat_flags_nested", "evidence", "flagged_rows", "normalised_text",
 ]
-REFUSED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas", "Expand ")
+REFUSED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas", "Expand ", "RoundRobinPartitioning")
 
 
 def plan_of(spark, name):

@@ -45,7 +45,7 @@ def word_hashes(text: Column) -> Column:
 def windows(df: DataFrame, span: int) -> DataFrame:
     """df (with _h) and one row per window: _at, its first word."""
     last = F.size("_h") - span
-    return df.filter(last >= 0).withColumn("_at", F.explode(F.sequence(F.lit(0), last)))
+    return df.withColumn("_at", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
 
 
 def seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
@@ -61,10 +61,7 @@ def seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 def around(h: str, at: str, span: int) -> list[Column]:
     """Up to FLANK words before a window, and the window with up to FLANK after it."""
     before = F.least(F.col(at), F.lit(FLANK))
-    return [
-        F.slice(h, F.col(at) - before + 1, before),
-        F.slice(h, F.col(at) + 1, span + FLANK),
-    ]
+    return [F.slice(h, F.col(at) - before + 1, before), F.slice(h, F.col(at) + 1, span + FLANK)]
 
 
 def verified(left: str, right: str, other_left: str, other_right: str) -> tuple[Column, Column]:
@@ -113,26 +110,29 @@ def find_leaks(
 
 
 def _hits(doc: DataFrame, item: DataFrame, masks: tuple[str, ...], small: bool) -> DataFrame:
+    """Verified pairs of windows.
+
+    The comparison must not become a condition of the join: with its lambdas the
+    join could not be compiled together with the generators below it, and each
+    window of a document would be kept with a copy of all its words. A filter is
+    not moved below a column that depends on the task, hence _task.
+    """
     span = len(masks[0])
-    test = seeds(item, masks).select(
-        "_seed", "_item", F.col("_at").alias("_item_at"),
-        *[c.alias(n) for c, n in zip(around("_h", "_at", span), ("_item_left", "_item_right"), strict=True)],
-    )
+    named = lambda *names: [c.alias(n) for c, n in zip(around("_h", "_at", span), names, strict=True)]
+    test = seeds(item, masks).select("_seed", "_item", F.col("_at").alias("_item_at"), *named("_item_left", "_item_right"))
     train = seeds(doc, masks)
     if small:
-        met = train.join(F.broadcast(test), "_seed")
-        met = met.select(
-            "_id", "_item", "_at", "_item_at", "_item_left", "_item_right",
-            *[c.alias(n) for c, n in zip(around("_h", "_at", span), ("_left", "_right"), strict=True)],
+        met = train.join(F.broadcast(test), "_seed").select(
+            "_id", "_item", "_at", "_item_at", "_item_left", "_item_right", *named("_left", "_right"), F.spark_partition_id().alias("_task")
         )
     else:
-        met = train.select(
-            "_seed", "_id", "_at",
-            *[c.alias(n) for c, n in zip(around("_h", "_at", span), ("_left", "_right"), strict=True)],
-        ).join(test.hint("merge"), "_seed")
+        met = train.select("_seed", "_id", "_at", *named("_left", "_right")).join(test.hint("merge"), "_seed").withColumn(
+            "_task", F.spark_partition_id()
+        )
     same, aligned = verified("_left", "_right", "_item_left", "_item_right")
     return (
-        met.withColumn("_same", same).withColumn("_aligned", aligned)
+        met.filter("_task >= 0")
+        .select("_id", "_item", "_at", "_item_at", same.alias("_same"), aligned.alias("_aligned"))
         .filter(10 * F.col("_same") >= AGREE * F.col("_aligned"))
         .select("_id", "_item", "_at", "_item_at", F.round(F.col("_same") / F.col("_aligned"), 4).alias("_share"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,29 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shared: set[str] = set()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, for functions that
+    run in Python tasks. Nothing to do where it was not loaded from a folder: then
+    it was sent along with the application."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if context.applicationId in _shared or not os.path.isdir(package):
+        return
+    name = os.path.basename(package)
+    path = os.path.join(tempfile.mkdtemp(prefix="rowgauge-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    whole = os.path.join(folder, file)
+                    archive.write(whole, os.path.join(name, os.path.relpath(whole, package)))
+    context.addPyFile(path)
+    _shared.add(context.applicationId)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. Spark's lower() agrees with that on ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

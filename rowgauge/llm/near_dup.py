@@ -314,6 +314,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows are linked at 100 * intersection >= percent * union of their sets;
     component_id is the smallest id in reach, kept says that it is the row's own.
     """
+    common.share_code(df.sparkSession)
     docs = df.select(common.whole_id(id_col).alias("_id"), F.col(text_col).alias("_text"))
     signed = common.written(docs.mapInArrow(_sign, SIGNATURE))
     classes = common.written(

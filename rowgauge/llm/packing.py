@@ -108,6 +108,7 @@ def pack_documents(
     id_col: str = "doc_id", text_col: str = "text", group: int = GROUP,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    common.share_code(df.sparkSession)
     cut = common.written(pieces(df, tokenizer, room, end_id, id_col, text_col))
     groups = max(1, cut.filter(F.col("length") < room).count() // group)
     full = cut.filter(F.col("length") >= room).select(

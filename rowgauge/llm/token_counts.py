@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowgauge.llm import common
+
 #: Trie nodes and whole words that a worker keeps; later words are scored from their deepest node.
 NODES, WORDS = 1_000_000, 300_000
 SPACE = "▁"
@@ -113,6 +115,7 @@ def count_tokens(df: DataFrame, model: str, text_col: str = "text") -> DataFrame
                 [*[batch.schema.names[i] for i in kept], "n_words", "n_tokens"],
             )
 
+    common.share_code(df.sparkSession)
     keep = [c for c in df.columns if c not in ("n_words", "n_tokens", text_col)]
     schema = df.select(*keep).schema.add("n_words", "long").add("n_tokens", "long")
     return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)

@@ -226,6 +226,7 @@ def write_tokens(
     vocabulary at most, whatever the corpus.
     """
     spark = df.sparkSession
+    common.share_code(spark)
     whole = common.whole_id(id_col)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = common.written(
@@ -248,6 +249,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     Starts within a part stand in its blocks; the parts' own starts are running
     sums over one row a part.
     """
+    common.share_code(spark)
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()["lengths"], np.uint8)
     blocks = spark.read.parquet(f"{path}/blocks")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

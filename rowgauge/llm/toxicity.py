@@ -222,6 +222,7 @@ def weights(df: DataFrame, model: Model, text_col: str) -> DataFrame:
             kept = [n for n in names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(n)) for n in kept], pa.array(raw, pa.float64())], [*kept, "_raw"])
 
+    common.share_code(df.sparkSession)
     rest = [c for c in df.columns if c not in (text_col, "_text", "_raw")]
     schema = df.select(*rest).schema.add("_raw", "double")
     return df.select(*rest, F.col(text_col).alias("_text")).mapInArrow(run, schema)

@@ -145,6 +145,7 @@ def judge_urls(
                     [*kept, "rule", "verdict"],
                 )
 
+    common.share_code(df.sparkSession)
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "_canonical")]
     cut = df.select(*keep, host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     schema = cut.schema.add("rule", "string").add("verdict", "string")

@@ -8,9 +8,9 @@ or inside what somebody else said. A text's score is a logistic function of the
 summed weights of its clauses.
 
 Function words and threats are fixed lists. Insults are learned: words, and
-stems that many words share, which stand in many different contexts in toxic
-training texts and in few in others. Contexts, not documents, are counted, so
-that a text copied a thousand times teaches no more than once.
+stems that many words share, which stand in many different contexts in several
+toxic training texts and in few in others. Contexts, not documents, are counted,
+so that a text copied a thousand times teaches no more than once.
 
 Results in odd cases
 --------------------
@@ -37,7 +37,7 @@ from rowgauge.llm import common
 
 #: Most labelled rows that the lexicon and the curve are fitted on, and most entries learned.
 TRAINING_ROWS, LEXICON = 20_000, 5_000
-LEAST_CONTEXTS, LEAST_WORDS, LEAST_ODDS = 4, 3, 3.0
+LEAST_CONTEXTS, LEAST_TEXTS, LEAST_WORDS, LEAST_ODDS = 4, 3, 3, 3.0
 STEMS = (4, 5, 6)
 
 #: Fixed word lists, English, German, French and Spanish.
@@ -162,23 +162,29 @@ def training_rows(df: DataFrame, labels: DataFrame, id_col: str, label_col: str)
 
 
 def learn_lexicon(rows: DataFrame, text_col: str) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems with their weights. rows: texts with _label."""
+    """Words and stems with their weights. rows: texts with _label.
+
+    One of 63 bits a text counts the different texts well enough for LEAST_TEXTS.
+    """
     tokens = F.filter(
         F.transform(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda t: F.trim(t, F.lit(EDGES))),
         lambda t: F.length(t) > 2,
     )
-    pairs = rows.select("_label", tokens.alias("_t")).select(
-        "_label", F.explode(F.arrays_zip(F.col("_t").alias("word"), F.concat(F.array(F.lit("")), F.col("_t")).alias("before"))).alias("p")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(text_col), F.lit(63)).cast("int"))
+    pairs = rows.select("_label", F.when(F.col("_label") == 1, bit).alias("_text_bit"), tokens.alias("_t")).select(
+        "_label", "_text_bit", F.explode(F.arrays_zip(F.col("_t").alias("word"), F.concat(F.array(F.lit("")), F.col("_t")).alias("before"))).alias("p")
     ).filter("p.word IS NOT NULL")
-    contexts = pairs.groupBy("p.word", "p.before").agg(F.max("_label").alias("bad"), F.min("_label").alias("least"))
+    contexts = pairs.groupBy("p.word", "p.before").agg(
+        F.max("_label").alias("bad"), F.min("_label").alias("least"), F.bit_or("_text_bit").alias("texts")
+    )
     words = common.written(
-        contexts.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("least")).alias("good"))
+        contexts.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("least")).alias("good"), F.bit_or("texts").alias("texts"))
     )
     bad, good = (float(x or 0) for x in words.agg(F.sum("bad"), F.sum("good")).first())
     odds = F.log((F.col("bad") + 0.5) / F.lit(bad + 1)) - F.log((F.col("good") + 0.5) / F.lit(good + 1))
 
     def best(df: DataFrame, key: str) -> dict[str, float]:
-        top = df.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+        top = df.withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) & (F.bit_count("texts") >= LEAST_TEXTS))
         chosen = top.orderBy(F.desc(F.col("odds") * F.log1p("bad")), key).limit(LEXICON).collect()
         return {r[key]: min(1.0, r["odds"] / 5) for r in chosen}
 
@@ -186,7 +192,7 @@ def learn_lexicon(rows: DataFrame, text_col: str) -> tuple[dict[str, float], dic
     cut = words.withColumn("n", F.explode(F.array(*[F.lit(n) for n in STEMS]))).filter(F.length("word") >= F.col("n"))
     stems = (
         cut.groupBy(F.expr("substring(word, 1, n)").alias("stem"))
-        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"))
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"), F.bit_or("texts").alias("texts"))
         .filter((F.col("bad") >= 2 * LEAST_CONTEXTS) & (F.col("words") >= LEAST_WORDS))
     )
     return whole, best(stems, "stem")

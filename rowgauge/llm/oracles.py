@@ -40,9 +40,12 @@ WITH d AS (
     list_filter(string_split(t, chr(10)), lambda x: trim(x, {BLANKS}) <> '') AS ls
   FROM d
 ), places AS (
-  SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5
+  SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w
+), runs AS (
+  SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS win
+  FROM places WINDOW o AS (PARTITION BY r ORDER BY i)
 ), wins AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(list_slice(ws, i, i + 4), ' ')) AS c FROM places
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM runs WHERE win IS NOT NULL
 ), covered AS (
   SELECT r, count(DISTINCT i + k) AS n FROM wins, range(0, 5) x(k) WHERE c > 1 GROUP BY r
 ), counts AS (

@@ -7,6 +7,7 @@ their rows; the SQL next door derives the same.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +28,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_own_folder: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place the session names."""
+    """A new folder in the shared place the session names. A local session that
+    names none gets one of its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="rowgauge-"))
+        base = _own_folder[0]
     return os.path.join(base, "rowgauge-" + uuid.uuid4().hex)
 
 

@@ -17,15 +17,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = 2**63 - 1
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (local tests) is one made and set.
+    A local session that names none gets one of its own; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rowgauge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="rowgauge-"))
+        base = _own_folder[0]
     return os.path.join(base, "rowgauge-llm-" + uuid.uuid4().hex)
 
 

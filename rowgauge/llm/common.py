@@ -35,10 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(base, "rowgauge-llm-" + uuid.uuid4().hex)
 
 
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, partition_by: str | None = None, slim: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and it
-    outlives any executor. It stays for as long as results may read it."""
+    outlives any executor. It stays for as long as results may read it.
+
+    slim: rows are a few numbers each, so twice as many tasks and files as there
+    are cores are enough, however many partitions shuffles have.
+    """
     path = shared_folder(df.sparkSession)
+    if slim:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -169,8 +169,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A hub is in many pairs; both joins are plain ones between two shuffles, which
     Spark splits where a class is too much for one task.
     """
-    pairs = common.written(pairs)
-    wanted = common.written(pairs.select(F.col("_a").alias("_class")).unionAll(pairs.select("_b")).distinct())
+    pairs = common.written(pairs, slim=True)
+    wanted = common.written(pairs.select(F.col("_a").alias("_class")).unionAll(pairs.select("_b")).distinct(), slim=True)
     own = sets.join(wanted, "_class", "left_semi")
     side = lambda c: own.select(F.col("_class").alias(f"_{c}"), F.col("_items").alias(f"_items_{c}"))
     both = F.size(F.array_intersect("_items_a", "_items_b"))
@@ -187,11 +187,11 @@ def components(links: DataFrame) -> DataFrame:
     on its smallest neighbour, then a node and its smaller neighbours are.
     """
     ends = lambda df: df.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).filter("_u != _v").distinct()
-    edges = common.written(ends(links))
+    edges = common.written(ends(links), slim=True)
     while True:
         for up in (True, False):
             around = edges.unionAll(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))) if up else edges
-            least = common.written(around.groupBy("_u").agg(F.min("_v").alias("_m"), F.count(F.lit(1)).alias("_n")))
+            least = common.written(around.groupBy("_u").agg(F.min("_v").alias("_m"), F.count(F.lit(1)).alias("_n")), slim=True)
             least = least.withColumn("_m", F.least("_m", "_u"))
             hung = common.join_counted(around, least, ["_u"], "_n")
             if up:
@@ -200,7 +200,7 @@ def components(links: DataFrame) -> DataFrame:
                 moved = hung.select(F.col("_v").alias("_a"), F.col("_m").alias("_b")).unionAll(
                     least.select(F.col("_u").alias("_a"), F.col("_m").alias("_b"))
                 )
-            edges = common.written(ends(moved))
+            edges = common.written(ends(moved), slim=True)
         # Done once all edges are those of stars: one each for the outer nodes, whose centres are none of them.
         twice = edges.groupBy("_u").count().filter("count > 1").limit(1).count()
         if not twice and edges.join(edges.select(F.col("_u").alias("_v")).distinct(), "_v", "left_semi").isEmpty():
@@ -211,7 +211,8 @@ def _proposals(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members of shared buckets, and the pairs of each with its bucket's hub."""
     dealt = classes.select("_class", F.explode("_bands").alias("_bucket"))
     shared = common.written(
-        dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"),
+        slim=True,
     )
     # One column keeps the count, the other one is the helper's.
     held = common.written(
@@ -280,7 +281,8 @@ def _leftovers(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     mixed = common.written(
         groups.groupBy("_bucket").agg(
             F.max(F.struct("_n", "_root"))["_root"].alias("_main"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_groups")
-        ).filter("_groups > 1").drop("_groups")
+        ).filter("_groups > 1").drop("_groups"),
+        slim=True,
     )
     inside = common.written(common.join_counted(tagged, mixed, ["_bucket"], "_n"))
     numbers, met_by_item = _crowds(inside, sets, percent)
@@ -330,10 +332,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links.unionAll(more))
     rooted = common.written(
         classes.select("_class", "_set", "_rep", "_copies").join(roots, "_class", "left")
-        .withColumn("_root", F.coalesce("_root", "_class"))
+        .withColumn("_root", F.coalesce("_root", "_class")),
+        slim=True,
     )
-    first = common.written(rooted.groupBy("_root").agg(F.min("_rep").alias("_first"), F.count(F.lit(1)).alias("_n")))
-    named = common.written(common.join_counted(rooted, first, ["_root"], "_n").select("_set", "_first", "_copies"))
+    first = common.written(rooted.groupBy("_root").agg(F.min("_rep").alias("_first"), F.count(F.lit(1)).alias("_n")), slim=True)
+    named = common.written(common.join_counted(rooted, first, ["_root"], "_n").select("_set", "_first", "_copies"), slim=True)
     grouped = common.join_counted(signed.filter("_n > 0").select("_id", "_n", "_set"), named, ["_set"], "_copies")
     rows = grouped.select("_id", "_n", "_first").unionAll(
         signed.filter("_n = 0").select("_id", "_n", F.col("_id").alias("_first"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rowgauge.llm import common
 
 #: Trie nodes and whole words that a worker keeps; later words are scored from their deepest node.
-NODES, WORDS = 1_000_000, 300_000
+NODES, WORDS = 500_000, 200_000
 SPACE = "▁"
 
 

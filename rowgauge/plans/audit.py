@@ -15,7 +15,7 @@ from ..config import DEFAULT, AuditConfig
 from ..functions import text
 from ..functions.canonical import column, row_hash
 from ..operators import chat, corpus, numeric, profile, responses
-from ..operators.flags import evidence, example_lists, text_flags
+from ..operators.flags import evidence, text_flags
 from ..operators.leakage import leaked_keys, training_split
 from ..operators.types import dtype_consistency
 from ..sources.ranges import primary_split, split_metadata

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowgauge.config import AuditConfig
-from rowgauge.functions import text
 from rowgauge.operators import chat, repair, responses
 
 from .oracles import LABELLED, LINES, PAIRED, PLANTED, SPLIT, blank, normal, tokens

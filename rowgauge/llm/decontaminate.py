@@ -3,14 +3,16 @@
 A mask of a fixed span looks at some positions of a window of words and ignores
 the others, so that a window with other words at the ignored positions still has
 the hash of the benchmark's. Test and training windows meet by hash; around each
-hit both texts are compared word by word, and an overlap counts when enough of
-its words agree.
+hit both texts are compared word by word, and an overlap counts when enough words
+agree in some stretch of both: the window alone, or with words next to it. A
+passage need not go on beyond its window, so every exact run of a span is found.
 
 Results in odd cases
 --------------------
 - A null or empty text, and a document of fewer words than a window, has no hits.
 - Items shorter than the span are looked for by windows of `short` words, items
-  shorter than that not at all: so few words also occur in clean documents.
+  shorter than that not at all: so few words also occur in clean documents. Of a
+  short item all that is aligned must agree as far, not only the window.
 - Repeated rows and rows without an id are searched alike; rows of one id count as one document.
 - Repeated items, and items without an id, are searched for under the id they have.
 - Extra columns are dropped by find_leaks and kept by drop_leaks.
@@ -62,13 +64,37 @@ def around(h: str, at: str, span: int) -> list[Column]:
     return [F.slice(h, F.col(at) - before + 1, before), F.slice(h, F.col(at) + 1, span + FLANK)]
 
 
-def verified(left: str, right: str, other_left: str, other_right: str) -> tuple[Column, Column]:
-    """Words that agree and words that are aligned."""
-    same = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+def verified(left: str, right: str, other_left: str, other_right: str, span: int, whole: bool) -> Column:
+    """(aligned, same) of the longest stretch that holds the window and in which
+    enough words agree, null if there is none: the window with 0 to FLANK words on
+    each side. whole: of all aligned words only.
+
+    The counts of a hit are put in a row of one struct, so that each is made once
+    and not once a stretch.
+    """
+    agree = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    count = lambda flags: F.size(F.filter(flags, lambda e: e))
+    # How many agree in the first 0, 1, 2, ... words next to the window.
+    sums = lambda flags, n: F.transform(F.sequence(F.lit(0), n), lambda k: count(F.slice(flags, F.lit(1), k)))
     before = F.least(F.size(left), F.size(other_left))
-    tail = lambda c: F.slice(c, F.size(c) - before + 1, before)
-    after = F.least(F.size(right), F.size(other_right))
-    return same(tail(left), tail(other_left)) + same(right, other_right), before + after
+    after = F.least(F.size(right), F.size(other_right)) - span
+    counts = F.struct(
+        count(agree(F.slice(right, 1, span), F.slice(other_right, 1, span))).alias("window"),
+        sums(agree(F.reverse(left), F.reverse(other_left)), before).alias("before"),
+        sums(agree(F.slice(right, span + 1, FLANK), F.slice(other_right, span + 1, FLANK)), after).alias("after"),
+    )
+
+    def best(c: Column) -> Column:
+        def stretch(x: Column, i: Column, y: Column, j: Column) -> Column:
+            aligned, same = i + j + span, c["window"] + x + y
+            enough = 10 * same >= AGREE * aligned
+            if whole:
+                enough = enough & (i == F.size(c["before"]) - 1) & (j == F.size(c["after"]) - 1)
+            return F.when(enough, F.struct(aligned.alias("aligned"), same.alias("same")))
+
+        return F.array_max(F.flatten(F.transform(c["before"], lambda x, i: F.transform(c["after"], lambda y, j: stretch(x, i, y, j)))))
+
+    return F.get(F.transform(F.array(counts), best), F.lit(0))
 
 
 def find_leaks(
@@ -77,7 +103,8 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document and item that overlap: the two ids, n_windows (distinct
     verified pairs of windows), first_word (of the first such window in the
-    document), best_match (the largest share of words that agree around a hit).
+    document), best_match (the largest share of words that agree around a hit, in the
+    longest stretch that reaches AGREE of ten).
 
     Seeds of a benchmark of up to BROADCAST_SEEDS windows and masks are broadcast
     to the documents, so that only hits move. Those of a larger one are joined by
@@ -93,10 +120,10 @@ def find_leaks(
         F.sum(F.when(F.size("_h") >= SHORT, F.size("_h") * len(masks))),
     ).first()
     small = (n_seeds or 0) <= BROADCAST_SEEDS
-    hits = _hits(doc, item.filter(F.size("_h") >= span), masks, small)
+    hits = _hits(doc, item.filter(F.size("_h") >= span), masks, small, whole=False)
     if n_short:
         brief = item.filter((F.size("_h") >= SHORT) & (F.size("_h") < span))
-        hits = hits.unionByName(_hits(doc, brief, ("1" * SHORT,), small))
+        hits = hits.unionByName(_hits(doc, brief, ("1" * SHORT,), small, whole=True))
     return (
         hits.groupBy("_id", "_item", "_at", "_item_at").agg(F.max("_share").alias("_share"))
         .groupBy("_id", "_item").agg(
@@ -107,7 +134,7 @@ def find_leaks(
     )
 
 
-def _hits(doc: DataFrame, item: DataFrame, masks: tuple[str, ...], small: bool) -> DataFrame:
+def _hits(doc: DataFrame, item: DataFrame, masks: tuple[str, ...], small: bool, whole: bool) -> DataFrame:
     """Verified pairs of windows.
 
     The comparison must not become a condition of the join: with its lambdas the
@@ -127,12 +154,11 @@ def _hits(doc: DataFrame, item: DataFrame, masks: tuple[str, ...], small: bool)
         met = train.select("_seed", "_id", "_at", *named("_left", "_right")).join(test.hint("merge"), "_seed").withColumn(
             "_task", F.spark_partition_id()
         )
-    same, aligned = verified("_left", "_right", "_item_left", "_item_right")
     return (
         met.filter("_task >= 0")
-        .select("_id", "_item", "_at", "_item_at", same.alias("_same"), aligned.alias("_aligned"))
-        .filter(10 * F.col("_same") >= AGREE * F.col("_aligned"))
-        .select("_id", "_item", "_at", "_item_at", F.round(F.col("_same") / F.col("_aligned"), 4).alias("_share"))
+        .select("_id", "_item", "_at", "_item_at", verified("_left", "_right", "_item_left", "_item_right", span, whole).alias("_best"))
+        .filter(F.col("_best").isNotNull())
+        .select("_id", "_item", "_at", "_item_at", F.round(F.col("_best.same") / F.col("_best.aligned"), 4).alias("_share"))
     )
 
 

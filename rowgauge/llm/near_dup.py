@@ -123,11 +123,11 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [shingles(t.as_py()) for t in batch.column(1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(2),
+                batch.column(0), batch.column(2), batch.column(3),
                 pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in rows], pa.binary()),
                 _lists([r.view(np.int64) for r in rows]),
             ],
-            ["_class", "_want", "_set", "_items"],
+            ["_class", "_want", "_many", "_set", "_items"],
         )
 
 
@@ -149,18 +149,31 @@ def may_link(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """_class and _items, the shingles of each class that shares a bucket with another.
+    """_class and _items, one row for each class that shares a bucket with another.
 
-    Texts move here once, and only those; what follows works on these sets.
+    Texts move here once, and only those; what follows works on these sets. Rows
+    repeated under one id give their class's set several times, which only classes
+    of several rows can, so only those are merged. Rows without an id are all
+    candidates for each class of such rows; they meet it by set, merged in each
+    task before they move.
     """
     wanted = members.select("_class").distinct().join(classes, "_class").select(
-        "_class", F.col("_rep").alias("_id"), F.col("_set").alias("_want")
+        "_class", F.col("_rep").alias("_id"), F.col("_set").alias("_want"), (F.col("_copies") > 1).alias("_many")
     )
-    texts = docs.join(wanted, "_id").select("_class", "_text", "_want")
-    return common.written(
-        texts.mapInArrow(_elements, "_class bigint, _want binary, _set binary, _items array<bigint>")
-        .filter(F.col("_set") == F.col("_want")).select("_class", "_items")
+    elements = lambda df: df.mapInArrow(_elements, "_class bigint, _want binary, _many boolean, _set binary, _items array<bigint>")
+    named = docs.filter(F.col("_id") != common.NO_ID).join(wanted, "_id").select("_class", "_text", "_want", "_many")
+    found = common.written(elements(named).filter(F.col("_set") == F.col("_want")).select("_class", "_many", "_items"))
+    nameless = elements(
+        docs.filter(F.col("_id") == common.NO_ID).select(
+            F.lit(None).cast("long").alias("_class"), "_text", F.lit(None).cast("binary").alias("_want"), F.lit(True).alias("_many")
+        )
+    ).select("_set", "_items").dropDuplicates(["_set"])
+    without_id = wanted.filter(F.col("_id") == common.NO_ID).select("_class", F.col("_want").alias("_set"))
+    merged = common.written(
+        found.filter("_many").select("_class", "_items").dropDuplicates(["_class"])
+        .unionByName(nameless.join(without_id, "_set").select("_class", "_items"))
     )
+    return found.filter("NOT _many").select("_class", "_items").unionByName(merged)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

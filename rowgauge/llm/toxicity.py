@@ -137,12 +137,11 @@ class Reader:
 
     def raw(self, text: str) -> float:
         """Summed weights of the clauses; most texts hold no match and are left at once."""
-        text = text.lower()
-        found = {k for k, _ in map(self.kinds.__getitem__, text.split())}
-        if INSULT not in found and THREAT not in found:
-            return 0.0
         get = self.kinds.__getitem__
-        return sum(self.machine.weigh([get(t) for t in clause.split()]) for clause in CLAUSE.split(text))
+        clauses = [[get(t) for t in clause.split()] for clause in CLAUSE.split(text.lower())]
+        if not any(k in (INSULT, THREAT) for clause in clauses for k, _ in clause):
+            return 0.0
+        return sum(map(self.machine.weigh, clauses))
 
     def score(self, raw: float) -> float:
         z = self.model.bias + self.model.slope * math.log1p(raw)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rowgauge.llm import common, decontaminate, near_dup
+from rowgauge.llm import common, decontaminate, near_dup, toxicity
 from tests.llm import brute
 
 
@@ -77,3 +77,8 @@ def test_repeated_rows_in_crowds(spark, monkeypatch):
     got = near_dup.near_duplicates(brute.frame(spark, rows), percent=85).collect()
     want = brute.groups(rows, 85)
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got) == sorted((i or -1, n, c or -1) for i, n, c in want)
+
+
+def test_words_glued_by_the_end_of_a_clause_are_weighed():
+    raw = toxicity.Reader(toxicity.Model({"idiot": 1.0}, {})).raw
+    assert raw("Go!kill you") == 1.0 and raw("stop;idiot") == 1.0 and raw("go!walk you") == 0.0

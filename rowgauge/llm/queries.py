@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rowgauge.llm import common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_counts, token_file, toxicity, url_filter
+from rowgauge.llm import alignment, common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_counts, token_file, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -85,7 +85,17 @@ def op10_toxicity(spark, sf):
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_alignment(spark, sf):
+    docs = table(spark, sf, "documents")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(docs, a, b, carry=["doc_id"])
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    weighed = alignment.weigh_links(aligned.withColumn("groups_sha256", digest).drop("groups", "cuts"))
+    return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_file, op3_token_counts, op4_decontamination, op5_secret_scan,
     op6_url_filter, op7_near_dup, op8_packing, op9_line_dedup, op10_toxicity,
+    op11_alignment,
 )}

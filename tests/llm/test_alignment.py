@@ -86,11 +86,11 @@ def test_places_and_long_texts(monkeypatch):
     rng = random.Random(3)
     text = brute.prose(rng, 4000) + "  x\n y" + brute.prose(rng, 300)
     a, b = alignment.side(A), alignment.side(B)
-    whole = [side.encode([text])[0] for side in (a, b)]
+    whole = [side.encode([text])[0].tolist() for side in (a, b)]
     got = alignment.align_texts([text, "", text], a, b)
     monkeypatch.setattr(alignment, "LONG", 50)
     assert len(alignment.cut(text)) > 50 and " ".join(alignment.cut(text)) == text
-    assert [side.encode([text])[0] for side in (a, b)] == whole
+    assert [side.encode([text])[0].tolist() for side in (a, b)] == whole
     for place in (1, 2, 7, 10**6):
         monkeypatch.setattr(alignment, "PLACE", place)
         again = alignment.align_texts([text, "", text], a, b)
@@ -99,6 +99,17 @@ def test_places_and_long_texts(monkeypatch):
     assert got.cuts[: got.n_links[0]].tolist() == sorted(ends[0] & ends[1])
 
 
+def test_fast_way_agrees_with_the_library():
+    a, rng = alignment.side(A).tokenizer, random.Random(4)
+    assert a.fast is not None
+    tok = Tokenizer.from_file(A)
+    tok.encode_special_tokens = True
+    odd = [chr(c) for c in [*range(1, 0x250), *range(0x2000, 0x2070), 0x180E, 0x3000, 0x1F600, 0x301, 0x661, 0xFEFF, 0xE0001]]
+    texts = ["".join(rng.choices(odd, k=60)) for _ in range(500)] + [f"x{c}{c} {c}y 'll{c}" for c in odd]
+    want = [e.ids for e in tok.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in a.encode(texts)] == want
+
+
 def test_clashing_names_and_empty_table(spark):
     names = ["row", "block", "at", "pairs", "refs", "ids_a", "n_a", "groups", "links", "best", "n"]
     df = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string").select("*", *[F.lit("mine").alias(n) for n in names])

@@ -311,7 +311,7 @@ def align(df: DataFrame, tokenizer_a: str, tokenizer_b: str, text_col: str = "te
     )
 
 
-def weigh_links(aligned: DataFrame) -> DataFrame:
+def weigh_links(aligned: DataFrame, block: int = BLOCK) -> DataFrame:
     """aligned, without links, with n_best (links whose pair has its B id's highest
     count in the corpus) and count_sum (sum of the pairs' counts over the links).
 
@@ -328,7 +328,7 @@ def weigh_links(aligned: DataFrame) -> DataFrame:
     longs = T.ArrayType(T.LongType())
     schema = given.select("row").schema.add("block", "long").add("at", "integer").add("pairs", longs).add("counts", longs)
     schema = schema.add("refs", "binary").add("sizes", T.ArrayType(T.IntegerType()))
-    blocks = common.written(given.mapInArrow(_blocks, schema))
+    blocks = common.written(given.mapInArrow(_blocks(block), schema))
     held = blocks.filter(F.col("pairs").isNotNull())
     pairs = held.select(
         "block", F.posexplode(F.arrays_zip("pairs", "counts"))
@@ -345,33 +345,37 @@ def weigh_links(aligned: DataFrame) -> DataFrame:
     return joined.select(*[F.col("row")[c].alias(c) for c in keep], zero("n_best"), zero("count_sum"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(room: int):
     """Every row with its block and place; a block's last row holds its pairs."""
-    from pyspark import TaskContext
 
-    block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        a, b = batch.column(1), batch.column(2)
-        sizes = np.diff(a.offsets.to_numpy())
-        done = np.cumsum(sizes)
-        start = 0
-        while start < len(sizes):
-            before = done[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(done, before + BLOCK, side="right")))
-            n = stop - start
-            of_a, of_b = (x.slice(start, n).flatten().to_numpy().astype(np.int64) for x in (a, b))
-            pairs, refs, counts = np.unique((of_a << SHIFT) | of_b, return_inverse=True, return_counts=True)
-            last = lambda x, kind, n=n: pa.array([None] * (n - 1) + [x], kind)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(start, n), pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n), pa.int32()),
-                    last(pairs, longs), last(counts, longs), last(refs.astype("<u4").tobytes(), pa.binary()),
-                    last(sizes[start:stop], pa.list_(pa.int32())),
-                ],
-                ["row", "block", "at", "pairs", "counts", "refs", "sizes"],
-            )
-            block, start = block + 1, stop
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            a, b = batch.column(1), batch.column(2)
+            sizes = np.diff(a.offsets.to_numpy())
+            done = np.cumsum(sizes)
+            start = 0
+            while start < len(sizes):
+                before = done[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(done, before + room, side="right")))
+                n = stop - start
+                of_a, of_b = (x.slice(start, n).flatten().to_numpy().astype(np.int64) for x in (a, b))
+                pairs, refs, counts = np.unique((of_a << SHIFT) | of_b, return_inverse=True, return_counts=True)
+                last = lambda x, kind, n=n: pa.array([None] * (n - 1) + [x], kind)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, n), pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n), pa.int32()),
+                        last(pairs, longs), last(counts, longs), last(refs.astype("<u4").tobytes(), pa.binary()),
+                        last(sizes[start:stop], pa.list_(pa.int32())),
+                    ],
+                    ["row", "block", "at", "pairs", "counts", "refs", "sizes"],
+                )
+                block, start = block + 1, stop
+
+    return run
 
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,6 +209,45 @@ SELECT page_id, host, path, rule, CASE
     WHEN regexp_matches(host, 'spam|pills|casino|porn|viagra') THEN 'block' ELSE 'allow' END AS verdict
 FROM j"""
 
+COLLOCATIONS = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, {LOWERED.format("coalesce(text, '')")} AS t FROM documents
+), p AS (
+  SELECT r, lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece,
+    generate_subscripts(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]'), 1) AS i FROM d
+), w AS (
+  SELECT r, lang, i, unnest(ws) AS w, generate_subscripts(ws, 1) AS j
+  FROM (SELECT r, lang, i, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p)
+), g AS (
+  SELECT lang, w AS w1, w || ' ' || lead(w, 1) OVER o AS w2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS w3,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS w4
+  FROM w WINDOW o AS (PARTITION BY r, i ORDER BY j)
+), f AS MATERIALIZED (
+  SELECT lang, phrase, len(string_split(phrase, ' ')) AS size, count(*) AS n
+  FROM (SELECT lang, unnest([w1, w2, w3, w4]) AS phrase FROM g) WHERE phrase IS NOT NULL
+  GROUP BY ALL HAVING count(*) >= 30
+), total AS (
+  SELECT lang, count(*) AS n FROM w GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, n AS a, k, array_to_string(ws[:k], ' ') AS lhs, array_to_string(ws[k + 1:], ' ') AS rhs
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, (2000000 * c.a::HUGEINT // (x.n + y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lhs JOIN f y ON y.lang = c.lang AND y.phrase = c.rhs
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(n) AS n FROM (
+    SELECT lang, unnest([array_to_string(ws[2:], ' '), array_to_string(ws[:-2], ' ')]) AS phrase, n
+    FROM (SELECT lang, string_split(phrase, ' ') AS ws, n FROM f WHERE size > 2)
+  ) GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE o.n IS NULL OR 100 * o.n < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, total.n AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _quality(),
     "op4_decontamination": _decontamination(),
@@ -216,4 +255,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": URLS,
     "op7_near_dup": _near_duplicates(85),
     "op9_line_dedup": LINES,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rowgauge.llm import alignment, common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_counts, token_file, toxicity, url_filter
+from rowgauge.llm import alignment, collocations, common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_counts, token_file, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -94,8 +94,12 @@ def op11_alignment(spark, sf):
     return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"), top=2000, least=30)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_file, op3_token_counts, op4_decontamination, op5_secret_scan,
     op6_url_filter, op7_near_dup, op8_packing, op9_line_dedup, op10_toxicity,
-    op11_alignment,
+    op11_alignment, op12_collocations,
 )}

@@ -63,23 +63,20 @@ def brute_rows(rows):
     )
 
 
-def run(df, **args):
-    out = alignment.weigh_links(alignment.align(df, A, B, **args).drop("cuts"))
+def run(df, block=alignment.BLOCK, **args):
+    out = alignment.weigh_links(alignment.align(df, A, B, **args).drop("cuts"), block)
     return Counter(
         tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")) for r in out.collect()
     )
 
 
-def test_alignment(spark, monkeypatch):
+def test_alignment(spark):
     rows = [(i, t) for i, t, _ in brute.documents()] + [(400 + i, t) for i, t in enumerate(ODD)] + [(401, "a"), (None, None)]
     df = brute.frame(spark, [(i, t, "s") for i, t in rows])
     want = brute_rows(rows)
     assert run(df) == want
-    # Small blocks, places and batches change nothing.
-    monkeypatch.setattr(alignment, "BLOCK", 50)
-    monkeypatch.setattr(alignment, "PLACE", 3)
-    monkeypatch.setattr(alignment, "BATCH_CHARS", 500)
-    assert run(df.repartition(3), carry=["doc_id"]) == want
+    # Small blocks change nothing.
+    assert run(df.repartition(3), block=50, carry=["doc_id"]) == want
 
 
 def test_places_and_long_texts(monkeypatch):

@@ -29,12 +29,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,64 +272,103 @@ def batches_of(texts: list[str], room: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def align(df: DataFrame, tokenizer_a: str, tokenizer_b: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """df with n_a, n_b, n_groups, n_links, groups (text), cuts (byte offsets in
-    space + text where groups end) and links (ids of A and B that end together,
-    one of each per cut). `carry` names the columns of df to keep, all by default.
-    """
-    common.share_code(df.sparkSession)
-    keep = [c for c in df.columns if c not in OWN and (carry is None or c in carry)]
-    row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
-    given = df.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+def _aligner(tokenizer_a: str, tokenizer_b: str, detail: bool, room: int):
+    """Aligns batches. With detail every row has its cuts and links; otherwise every
+    row has its place in a block, and rows of their own hold the blocks' pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         a, b = side(tokenizer_a), side(tokenizer_b)
+        block, kind = TaskContext.get().partitionId() << 32, None
+        codes: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+
+        def of_block() -> pa.RecordBatch:
+            pairs, refs, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+            none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(1, kind), *none, pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.array([pairs], longs),
+                    pa.array([counts], longs), pa.array([refs.astype("<u4").tobytes()], pa.binary()), pa.array([np.concatenate(sizes)], ints),
+                ],
+                [*NAMES, "block", "at", "pairs", "counts", "refs", "sizes"],
+            )
+
         for batch in batches:
+            kind = batch.column(0).type
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for start, stop in batches_of(texts, BATCH_CHARS):
-                got = align_texts(texts[start:stop], a, b)
-                offsets = pa.array(np.append(0, np.cumsum(got.n_links)), pa.int32())
-                listed = lambda x, kind, offsets=offsets: pa.ListArray.from_arrays(offsets, pa.array(x, kind))
-                numbers = [pa.array(x, pa.int64()) for x in (got.n_a, got.n_b, got.n_links, got.n_links)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, stop - start), *numbers, got.groups,
-                        listed(got.cuts, pa.int64()), listed(got.ids_a, pa.int32()), listed(got.ids_b, pa.int32()),
-                    ],
-                    ["row", "n_a", "n_b", "n_groups", "n_links", "groups", "cuts", "ids_a", "ids_b"],
-                )
-
-    schema = given.select("row").schema
-    for name in ("n_a", "n_b", "n_groups", "n_links"):
-        schema = schema.add(name, "long")
-    ints = T.ArrayType(T.IntegerType())
-    schema = schema.add("groups", "string").add("cuts", T.ArrayType(T.LongType())).add("ids_a", ints).add("ids_b", ints)
-    made = given.mapInArrow(run, schema)
-    links = F.struct(F.col("ids_a").alias("a"), F.col("ids_b").alias("b"))
-    return made.select(
-        *[F.col("row")[c].alias(c) for c in keep], "n_a", "n_b", "n_groups", "n_links", "groups", "cuts", links.alias("links")
-    )
+                got, n = align_texts(texts[start:stop], a, b), stop - start
+                columns = [batch.column(0).slice(start, n), *[pa.array(x, pa.int64()) for x in (got.n_a, got.n_b, got.n_links, got.n_links)], got.groups]
+                if detail:
+                    offsets = pa.array(np.append(0, np.cumsum(got.n_links)), pa.int32())
+                    parts = (pa.array(got.cuts, pa.int64()), pa.array(got.ids_a, pa.int32()), pa.array(got.ids_b, pa.int32()))
+                    columns += [pa.ListArray.from_arrays(offsets, x) for x in parts]
+                    yield pa.RecordBatch.from_arrays(columns, [*NAMES, "cuts", "ids_a", "ids_b"])
+                    continue
+                held = sum(map(len, sizes))
+                codes.append((got.ids_a << SHIFT) | got.ids_b)
+                sizes.append(got.n_links)
+                columns += [pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(held, held + n), pa.int32())]
+                columns += [pa.nulls(n, k) for k in (longs, longs, pa.binary(), ints)]
+                yield pa.RecordBatch.from_arrays(columns, [*NAMES, "block", "at", "pairs", "counts", "refs", "sizes"])
+                if sum(map(len, codes)) >= room:
+                    yield of_block()
+                    block, codes, sizes = block + 1, [], []
+        if codes:
+            yield of_block()
+
+    return run
 
 
-def weigh_links(aligned: DataFrame, block: int = BLOCK) -> DataFrame:
-    """aligned, without links, with n_best (links whose pair has its B id's highest
-    count in the corpus) and count_sum (sum of the pairs' counts over the links).
+NAMES = ("row", "n_a", "n_b", "n_groups", "n_links", "groups")
+
+
+def _aligned(df: DataFrame, tokenizers: tuple[str, str], text_col: str, keep: list[str], more: str, room: int) -> DataFrame:
+    common.share_code(df.sparkSession)
+    row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
+    given = df.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    made = T.StructType.fromDDL(f"n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, {more}")
+    schema = T.StructType([*given.select("row").schema.fields, *made.fields])
+    schema.fields[0].nullable = True
+    return given.mapInArrow(_aligner(*tokenizers, "cuts" in more, room), schema)
+
+
+def _kept(df: DataFrame, carry: list[str] | None) -> list[str]:
+    return [c for c in df.columns if c not in OWN and (carry is None or c in carry)]
+
+
+def align(df: DataFrame, tokenizer_a: str, tokenizer_b: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """df with n_a, n_b, n_groups, n_links, groups (text), cuts (byte offsets in
+    space + text where groups end) and links (ids of A and B that end together,
+    one of each per cut). `carry` names the columns of df to keep, all by default.
+    """
+    keep = _kept(df, carry)
+    made = _aligned(df, (tokenizer_a, tokenizer_b), text_col, keep, "cuts array<bigint>, ids_a array<int>, ids_b array<int>", 0)
+    links = F.struct(F.col("ids_a").alias("a"), F.col("ids_b").alias("b")).alias("links")
+    return made.select(*[F.col("row")[c].alias(c) for c in keep], "n_a", "n_b", "n_groups", "n_links", "groups", "cuts", links)
+
+
+def align_weighed(
+    df: DataFrame, tokenizer_a: str, tokenizer_b: str, text_col: str = "text", carry: list[str] | None = None,
+    digest: Callable[[Column], Column] = lambda groups: groups, block: int = BLOCK,
+) -> DataFrame:
+    """df with n_a, n_b, n_groups, n_links, groups, n_best (links whose pair has its B
+    id's highest count in the corpus) and count_sum (sum of the pairs' counts over
+    the links). `digest` is applied to groups before anything is written.
 
     One pass gives every document a place in a block and every block its distinct
     pairs with their counts; that is written. The pairs' sums come from the blocks'
     pairs, meet them again by pair, return to the block and are added up there. A
     pair stands at most once in a block, so no pair can fill a task.
     """
-    spark = aligned.sparkSession
-    common.share_code(spark)
-    keep = [c for c in aligned.columns if c not in ("links", "n_best", "count_sum")]
-    row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
-    given = aligned.select(row.alias("row"), F.col("links.a").alias("a"), F.col("links.b").alias("b"))
-    longs = T.ArrayType(T.LongType())
-    schema = given.select("row").schema.add("block", "long").add("at", "integer").add("pairs", longs).add("counts", longs)
-    schema = schema.add("refs", "binary").add("sizes", T.ArrayType(T.IntegerType()))
-    blocks = common.written(given.mapInArrow(_blocks(block), schema))
-    held = blocks.filter(F.col("pairs").isNotNull())
+    keep = _kept(df, carry)
+    more = "block bigint, at int, pairs array<bigint>, counts array<bigint>, refs binary, sizes array<int>"
+    made = _aligned(df, (tokenizer_a, tokenizer_b), text_col, keep, more, block)
+    read = common.written(made.withColumn("groups", digest(F.col("groups"))))
+    held = read.filter(F.col("at").isNull())
     pairs = held.select(
         "block", F.posexplode(F.arrays_zip("pairs", "counts"))
     ).select("block", "pos", F.col("col.pairs").alias("pair"), F.col("col.counts").alias("n"))
@@ -341,41 +380,9 @@ def weigh_links(aligned: DataFrame, block: int = BLOCK) -> DataFrame:
         "block", "refs", "sizes", F.col("known.n").alias("n"), F.col("known.best").alias("best")
     ).mapInArrow(_weighed, "block bigint, at int, n_best bigint, count_sum bigint")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    joined = blocks.select("row", "block", "at").join(sums_of, ["block", "at"], "left")
-    return joined.select(*[F.col("row")[c].alias(c) for c in keep], zero("n_best"), zero("count_sum"))
-
-
-def _blocks(room: int):
-    """Every row with its block and place; a block's last row holds its pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 32
-        longs = pa.list_(pa.int64())
-        for batch in batches:
-            a, b = batch.column(1), batch.column(2)
-            sizes = np.diff(a.offsets.to_numpy())
-            done = np.cumsum(sizes)
-            start = 0
-            while start < len(sizes):
-                before = done[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(done, before + room, side="right")))
-                n = stop - start
-                of_a, of_b = (x.slice(start, n).flatten().to_numpy().astype(np.int64) for x in (a, b))
-                pairs, refs, counts = np.unique((of_a << SHIFT) | of_b, return_inverse=True, return_counts=True)
-                last = lambda x, kind, n=n: pa.array([None] * (n - 1) + [x], kind)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, n), pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n), pa.int32()),
-                        last(pairs, longs), last(counts, longs), last(refs.astype("<u4").tobytes(), pa.binary()),
-                        last(sizes[start:stop], pa.list_(pa.int32())),
-                    ],
-                    ["row", "block", "at", "pairs", "counts", "refs", "sizes"],
-                )
-                block, start = block + 1, stop
-
-    return run
+    rows = read.filter(F.col("at").isNotNull()).drop("pairs", "counts", "refs", "sizes")
+    joined = rows.join(sums_of, ["block", "at"], "left")
+    return joined.select(*[F.col("row")[c].alias(c) for c in keep], *NAMES[1:], zero("n_best"), zero("count_sum"))
 
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

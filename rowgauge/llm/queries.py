@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rowgauge.llm import alignment, collocations, common, decontaminate, line_dedup, near_dup, packing, quality, secret_scan, token_counts, token_file, toxicity, url_filter
+from rowgauge.llm import alignment, collocations, common, decontaminate, language_model, line_dedup, near_dup, packing, quality, secret_scan, token_counts, token_file, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -88,18 +88,26 @@ def op10_toxicity(spark, sf):
 def op11_alignment(spark, sf):
     docs = table(spark, sf, "documents")
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    aligned = alignment.align(docs, a, b, carry=["doc_id"])
-    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
-    weighed = alignment.weigh_links(aligned.withColumn("groups_sha256", digest).drop("groups", "cuts"))
-    return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    aligned = alignment.align_weighed(docs, a, b, carry=["doc_id"], digest=digest)
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
 
 
 def op12_collocations(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"), top=2000, least=30)
 
 
+def op13_language_model(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = language_model.score_texts(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), ~F.col("held_out"), carry=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_file, op3_token_counts, op4_decontamination, op5_secret_scan,
     op6_url_filter, op7_near_dup, op8_packing, op9_line_dedup, op10_toxicity,
-    op11_alignment, op12_collocations,
+    op11_alignment, op12_collocations, op13_language_model,
 )}

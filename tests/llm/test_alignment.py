@@ -63,8 +63,8 @@ def brute_rows(rows):
     )
 
 
-def run(df, block=alignment.BLOCK, **args):
-    out = alignment.weigh_links(alignment.align(df, A, B, **args).drop("cuts"), block)
+def run(df, **args):
+    out = alignment.align_weighed(df, A, B, **args)
     return Counter(
         tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")) for r in out.collect()
     )
@@ -75,6 +75,9 @@ def test_alignment(spark):
     df = brute.frame(spark, [(i, t, "s") for i, t in rows])
     want = brute_rows(rows)
     assert run(df) == want
+    out = alignment.align(df, A, B).collect()
+    assert Counter((r["doc_id"], r["groups"]) for r in out) == Counter((x[0], x[7]) for x in want.elements())
+    assert all(len(r["cuts"]) == len(r["links"]["a"]) == len(r["links"]["b"]) == r["n_links"] for r in out)
     # Small blocks change nothing.
     assert run(df.repartition(3), block=50, carry=["doc_id"]) == want
 
@@ -110,8 +113,8 @@ def test_fast_way_agrees_with_the_library():
 def test_clashing_names_and_empty_table(spark):
     names = ["row", "block", "at", "pairs", "refs", "ids_a", "n_a", "groups", "links", "best", "n"]
     df = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string").select("*", *[F.lit("mine").alias(n) for n in names])
-    out = alignment.weigh_links(alignment.align(df, A, B)).collect()
+    out = alignment.align_weighed(df, A, B).collect()
     assert len(out) == 1 and out[0]["text"] == "some text" and out[0]["n_a"] > 0
     assert all(out[0][n] == "mine" for n in names if n not in alignment.OWN)
     empty = brute.frame(spark, [])
-    assert alignment.weigh_links(alignment.align(empty, A, B)).count() == 0
+    assert alignment.align_weighed(empty, A, B).count() == alignment.align(empty, A, B).count() == 0

@@ -331,8 +331,7 @@ def _aligned(df: DataFrame, tokenizers: tuple[str, str], text_col: str, keep: li
     row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
     given = df.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
     made = T.StructType.fromDDL(f"n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, {more}")
-    schema = T.StructType([*given.select("row").schema.fields, *made.fields])
-    schema.fields[0].nullable = True
+    schema = T.StructType([T.StructField("row", given.schema["row"].dataType), *made.fields])
     return given.mapInArrow(_aligner(*tokenizers, "cuts" in more, room), schema)
 
 

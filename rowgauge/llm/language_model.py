@@ -178,7 +178,11 @@ class Events:
         self.part = np.repeat(np.arange(len(sizes)), sizes)[own]
         self.w, self.v, self.u = tokens[own], one[own], two[own]
         self.train = np.repeat(np.array(r["train"], bool), sizes)[own]
-        self.pairs, self.pair_at = np.unique((self.v << WIDTH) | self.w, return_inverse=True)
+        # The pairs in front of such parts are asked for, not counted again.
+        ahead = starts[~begins][sizes[~begins] > 1]
+        pairs = np.append((self.v << WIDTH) | self.w, (tokens[ahead] << WIDTH) | tokens[ahead + 1])
+        self.pairs, pair_at = np.unique(pairs, return_inverse=True)
+        self.pair_at = pair_at[: len(self.w)]
         self.longer = self.u != NONE
         threes = (self.v << (2 * WIDTH)) | (self.u << WIDTH) | self.w
         self.threes, self.three_at = np.unique(threes[self.longer], return_inverse=True)
@@ -293,7 +297,7 @@ def score_texts(
     shards, hot = max(1, total // shard), shard // 2
 
     ints = T.StructType.fromDDL(f"doc bigint, block bigint, {PAYLOAD}")
-    schema = T.StructType([*given.select("row").schema.fields, *ints.fields])
+    schema = T.StructType([T.StructField("row", given.schema["row"].dataType), *ints.fields])
     read = common.written(given.mapInArrow(_read(block), schema))
     blocks = read.filter(F.col("block").isNotNull())
     known = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(words, "word", "left").groupBy("block").agg(
@@ -306,9 +310,8 @@ def score_texts(
         r["ids"], r["seen"] = r["ids"] or [], r["seen"] or []
         return Events(r, ends, shards, hot)
 
-    def answered(r: dict, rows: tuple, name: str) -> tuple[np.ndarray, np.ndarray]:
-        # A block's binaries may be large: they come as (shard, n, data) rows.
-        return on.answers(rows, [(x["shard"], x["n"], x["data"]) for x in r[name] or []]) if (on := events(r)) else None
+    def answered(r: dict, on: Events, rows: tuple, name: str) -> tuple[np.ndarray, np.ndarray]:
+        return on.answers(rows, [(x["shard"], x["n"], x["data"]) for x in r[name] or []])
 
     def sent(r: dict, rows: tuple, on: Events) -> Iterator[pa.RecordBatch]:
         made = list(on.messages(rows))
@@ -325,14 +328,14 @@ def score_texts(
 
     def send_threes(r: dict) -> Iterator[pa.RecordBatch]:
         on = events(r)
-        _, counts = answered(r, on.pair_rows(), "pairs")
+        _, counts = answered(r, on, on.pair_rows(), "pairs")
         yield from sent(r, on.three_rows(counts), on)
 
     def finish(r: dict) -> Iterator[pa.RecordBatch]:
         on = events(r)
-        code2, counts = answered(r, on.pair_rows(), "pairs")
+        code2, counts = answered(r, on, on.pair_rows(), "pairs")
         three = on.three_rows(counts)
-        code3, _ = answered(r, three, "threes")
+        code3, _ = answered(r, on, three, "threes")
         p1 = (on.seen[on.w] + 1.0) / (total + types + 1.0)
         p = value_of(code2)[on.pair_at] + lower_share(on.seen[on.v], spread) * p1
         long = on.longer

@@ -50,7 +50,7 @@ NONE, BEGIN, END, FIRST = 0, 1, 2, 3
 WIDTH, BLOCK, SHARD = 21, 1_000_000, 1_000_000
 #: Steps of a quantised log10 probability; the code of a row that the trie has not.
 STEPS, ABSENT = 1024, 65_535
-SPREAD = 0.3
+SPREAD = 0.15
 OWN = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.bloom import bloom, may_match
 from ..functions.canonical import column
 from .shape import pct, rows_from_wide
 
@@ -33,9 +34,10 @@ def split_leakage(
 def leaked_keys(keys: DataFrame, splits: Sequence[str]) -> DataFrame:
     """The same from (split, key) rows.
 
-    One grouping by key answers for all splits at once: no join, and a text
-    copied into a third of the rows is merged in each task before anything is
-    shuffled.
+    One grouping by key answers for all splits at once, and a text copied into a
+    third of the rows is merged in each task before anything is shuffled. Training
+    keys that no other split can hold are stopped at the scan by a Bloom filter of
+    the other splits' keys, so what moves follows the small splits.
     """
     train = training_split(splits)
     others = [s for s in splits if s != train]
@@ -43,8 +45,11 @@ def leaked_keys(keys: DataFrame, splits: Sequence[str]) -> DataFrame:
         return keys.sparkSession.createDataFrame(
             [], "split string, leaked_rows bigint, leaked_pct double"
         )
-    per_text = keys.groupBy("key").agg(
-        F.bool_or(F.col("split") == train).alias("in_train"),
+    is_train = F.col("split") == train
+    evals = keys.filter(F.col("split").isin(others))
+    trained = may_match(keys.filter(is_train), F.col("key"), bloom(evals, "key"))
+    per_text = trained.unionByName(evals).groupBy("key").agg(
+        F.bool_or(is_train).alias("in_train"),
         *[F.count_if(F.col("split") == s).alias(f"n{i}") for i, s in enumerate(others)],
     )
     leaks = F.col("in_train") & F.col("key").isNotNull()

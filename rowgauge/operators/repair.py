@@ -6,6 +6,7 @@ kept of equal ones is the one with the smallest ``row_id``, which must be unique
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MOJIBAKE_REPAIRS, PII_PLACEHOLDERS, STRIPPED_TAG, AuditConfig
 from ..functions import text
+from ..functions.bloom import bloom, may_match
 from ..functions.canonical import column, row_hash
 from . import chat, responses
 from .leakage import training_split
@@ -42,14 +44,23 @@ def drop_leaked(
     df: DataFrame, text_col: str, splits: Sequence[str], split_col: str = "split"
 ) -> DataFrame:
     """All rows but those of other splits whose normalised text the training split
-    holds; rows without text stay."""
+    holds; rows without text stay.
+
+    Training rows never move. Their keys are stopped at the scan unless another
+    split may hold them, and of the other splits only rows that may be leaked are
+    joined with those keys; what else there is passes the two Bloom filters in place.
+    """
     train = training_split(splits)
     if train is None:
         return df
     key = text.normal_hash(column(text_col))
-    seen = df.filter(column(split_col) == train).select(key.alias("__key")).distinct()
-    here = F.when(~column(split_col).eqNullSafe(train), key)
-    return df.join(seen, here == F.col("__key"), "left_anti")
+    in_train = column(split_col).eqNullSafe(F.lit(train))
+    rest = df.filter(~in_train)
+    name = f"key_{uuid.uuid4().hex}"
+    keys = may_match(df.filter(in_train), key, bloom(rest, key)).select(key.alias(name)).distinct()
+    seen = bloom(keys, name)
+    leaked = may_match(rest, key, seen).join(keys, key == F.col(name), "left_anti")
+    return df.filter(in_train).unionByName(may_match(rest, key, seen, "left_anti")).unionByName(leaked)
 
 
 def drop_empty(df: DataFrame, text_col: str) -> DataFrame:

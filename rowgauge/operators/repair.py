@@ -16,6 +16,8 @@ from ..config import DEFAULT, MOJIBAKE_REPAIRS, PII_PLACEHOLDERS, STRIPPED_TAG,
 from ..functions import text
 from ..functions.bloom import bloom, may_match
 from ..functions.canonical import column, row_hash
+from ..functions.order_stats import order_statistics
+from ..functions.spans import marked_parts, rebuilt, spans
 from . import chat, responses
 from .leakage import training_split
 
@@ -102,29 +104,36 @@ def coerce_key(variant: Column, key: str, to: str) -> Column:
     return plain if to == "string" else plain.try_cast(to)
 
 
-def redact(c: Column, cfg: AuditConfig = DEFAULT) -> Column:
-    """Personal data become placeholders, the most specific kinds first.
+def redact(df: DataFrame, text_col: str, cfg: AuditConfig = DEFAULT) -> DataFrame:
+    """Personal data in a column become placeholders, the most specific kinds first.
 
-    Card-like numbers go only if their checksum holds.
+    Each kind is looked for in the text with what the kinds before it found blanked
+    out byte for byte, so ranges of different kinds never overlap, what is left of a
+    number is still looked at, and no placeholder is ever searched. The text is
+    rebuilt once from all ranges. Card-like numbers go only if their checksum holds,
+    without the separators behind them, and only where they stand.
     """
+    name = lambda kind: f"{kind}_{uuid.uuid4().hex}"
+    blanked, found = name("blanked"), []
+    out = df.withColumn(blanked, column(text_col))
     for label, placeholder in PII_PLACEHOLDERS:
-        pattern = cfg.pii_patterns.get(label)
-        if pattern is None:
+        if label not in cfg.pii_patterns:
             continue
-        if label not in cfg.luhn_labels:
-            c = F.regexp_replace(c, pattern, placeholder)
-            continue
-        found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        real = F.filter(
-            found, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", ""))
-        )
-        longest_first = F.array_sort(
-            real, lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).when(a > b, 1).otherwise(0))
-        )
-        c = F.when(c.rlike(pattern), F.aggregate(
-            longest_first, c, lambda s, m: F.replace(s, F.regexp_replace(m, r"[ \-]+$", ""), F.lit(placeholder))
-        )).otherwise(c)
-    return c
+        parts, these = name("parts"), name(label)
+        out = out.withColumn(parts, marked_parts(F.col(blanked), cfg.pii_patterns[label]))
+        ranges, checked = spans(F.col(parts)), label in cfg.luhn_labels
+        if checked:
+            ranges = F.filter(ranges, lambda m: F.call_function("luhn_check", F.regexp_replace(m["match"], "[^0-9]", "")))
+        behind = lambda m, checked=checked: F.octet_length(F.regexp_extract(m["match"], r"[ \-]*$", 0)) if checked else F.lit(0)
+        put = F.lit(placeholder).alias("put")
+        out = out.withColumn(these, F.transform(
+            ranges, lambda m: F.struct(m["start"].alias("start"), (m["end"] - behind(m)).alias("end"), put)  # noqa: B023
+        ))
+        out = out.withColumn(blanked, rebuilt(F.col(blanked), F.col(these), lambda m: F.repeat(F.lit("\0"), m["end"] - m["start"])))
+        found += [parts, these]
+    none = F.array().cast("array<struct<start:int,end:int,put:string>>")
+    ranges = F.array_sort(F.concat(none, *[F.coalesce(F.col(x), none) for x in found[1::2]]))
+    return out.withColumn(text_col, rebuilt(column(text_col), ranges, lambda m: m["put"])).drop(blanked, *found)
 
 
 # --- Chats --------------------------------------------------------------------
@@ -215,17 +224,27 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", F.lit(float(n or 0)) / (F.lit(float(k or 0)) * F.col("rows")))
 
 
-def _share(row_id: Column) -> Column:
-    """A number in [0, 1) that depends on the id alone."""
-    return F.conv(F.substring(F.md5(row_id.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+def _place(row_id: Column) -> Column:
+    """A number that depends on the id alone: 60 bits of its md5."""
+    return F.conv(F.substring(F.md5(row_id.cast("string")), 1, 15), 16, 10).cast("long")
+
+
+def _smallest(df: DataFrame, columns: dict, k: dict, sizes: dict) -> dict:
+    """The k-th smallest value of each column."""
+    named = {str(i): c for i, c in enumerate(columns.values())}
+    found = order_statistics(df, named, {str(i): [k[v] - 1] for i, v in enumerate(columns)}, **sizes)
+    return {v: found[str(i), k[v] - 1] for i, v in enumerate(columns)}
 
 
-def rebalance(df: DataFrame, label: str, row_id: str, how: str, max_classes: int = DEFAULT.max_classes) -> DataFrame:
-    """About as many rows of each class as the smallest (``under``) or the largest
-    (``over``) has; which rows go or return depends on their ids alone.
+def rebalance(df: DataFrame, label: str, row_id: str, how: str, max_classes: int = DEFAULT.max_classes, **sizes) -> DataFrame:
+    """As many rows of each class as the smallest (``under``) or the largest (``over``)
+    has, exactly. Every row of a larger goal stands goal // rows times; the rows with
+    the smallest hashes of their ids, goal % rows of them, once more. Equal hashes go
+    by id; ``row_id`` must be unique within a class.
 
-    A label column has few classes; one with more than ``max_classes`` raises.
-    Rows without a label stay once.
+    The k-th smallest hash of each class is found as an order statistic, so rows are
+    neither sorted nor collected. A label column has few classes; one with more than
+    ``max_classes`` raises. Rows without a label stay once.
     """
     counts = {r["label"]: r["rows"] for r in class_weights(df, label).limit(max_classes + 1).collect()}
     if len(counts) > max_classes:
@@ -233,12 +252,23 @@ def rebalance(df: DataFrame, label: str, row_id: str, how: str, max_classes: int
     if not counts:
         return df
     goal = min(counts.values()) if how == "under" else max(counts.values())
-    factor = F.lit(1.0)
+    place, own = _place(column(row_id)), column(row_id)
+    cut = {value: goal % n for value, n in counts.items() if goal % n}
+    mine = {value: column(label) == F.lit(value) for value in cut}
+    last = _smallest(df, {v: F.when(mine[v], place) for v in cut}, cut, sizes)
+    level = {v: mine[v] & (place == F.lit(last[v])) for v in cut}
+    # Of rows with the very hash of the last one chosen, those with the smallest ids.
+    below = [F.count_if(mine[v] & (place < F.lit(last[v]))).alias(f"x{i}") for i, v in enumerate(cut)]
+    seen = df.agg(*below).first() if cut else ()
+    left = {v: cut[v] - n for v, n in zip(cut, seen, strict=True)}
+    last_id = _smallest(df, {v: F.when(level[v], own) for v in cut}, left, sizes)
+    copies = F.lit(1)
     for value, n in counts.items():
-        factor = F.when(column(label) == F.lit(value), F.lit(goal / n)).otherwise(factor)
-    whole = F.floor(factor)
-    copies = (whole + (_share(column(row_id)) < factor - whole).cast("int")).cast("int")
-    made = df.withColumn("__copies", copies).filter(F.col("__copies") > 0)
-    if how == "over":
-        made = made.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy")
-    return made.drop("__copies")
+        more = F.lit(0)
+        if value in cut:
+            more = (place < F.lit(last[value])) | (level[value] & (own <= F.lit(last_id[value])))
+        copies = F.when(column(label) == F.lit(value), F.lit(goal // n) + more.cast("int")).otherwise(copies)
+    if how == "under":
+        return df.filter(copies > 0)
+    name = f"copies_{uuid.uuid4().hex}"
+    return df.withColumn(name, F.explode(F.array_repeat(F.lit(0), copies))).drop(name)

@@ -101,8 +101,13 @@ def fix_turns(spark, sf):
     return fixed.select("doc_id", F.size("messages").alias("turns"))
 
 
+#: Cards alone, twice, and inside a longer number; numbers next to each other.
+PERSONAL = " 4111 1111 1111 1111, 94111111111111111 4111111111111111- é 10.1.2.3 555-123-4567 a@b.co 4111 1111 1111 1111"
+
+
 def redact(spark, sf):
-    return planted(spark, sf).select("doc_id", F.md5(repair.redact(F.col("text"))).alias("text_md5"))
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(PERSONAL))).otherwise(F.col("text"))
+    return hashed(repair.redact(planted(spark, sf).withColumn("text", more), "text"), "doc_id")
 
 
 def review_rows(spark, sf):
@@ -188,12 +193,14 @@ def _redacted() -> str:
         f"CASE WHEN {digit} THEN (2 * d[i]::INT) // 10 + (2 * d[i]::INT) % 10 ELSE d[i]::INT END)) % 10 = 0"
     )
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
-    return f"""WITH {PLANTED}, a AS (SELECT doc_id, {c} AS t FROM planted),
-b AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '{CARD}')) AS m FROM a),
-bad AS (SELECT DISTINCT doc_id, rtrim(m, ' -') AS m FROM (SELECT doc_id, m, {digits} AS d FROM b) WHERE {luhn}),
-lists AS (SELECT doc_id, list(m ORDER BY length(m) DESC, m) AS ms FROM bad GROUP BY doc_id),
-c AS (SELECT a.doc_id, CASE WHEN ms IS NULL THEN t ELSE list_reduce(list_prepend(t, ms), lambda s, m: replace(s, m, '[CARD]')) END AS t
-  FROM a LEFT JOIN lists ON a.doc_id = lists.doc_id)
+    return f"""WITH {PLANTED}, more AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '{PERSONAL}' ELSE text END AS text FROM planted),
+a AS (SELECT doc_id, {c} AS t FROM more),
+lists AS (SELECT doc_id, t, string_split_regex(t, '{CARD}') AS gaps, regexp_extract_all(t, '{CARD}') AS ms FROM a),
+cut AS (SELECT doc_id, unnest(gaps) AS gap, unnest(list_append(ms, '')) AS m, generate_subscripts(gaps, 1) AS i FROM lists WHERE len(ms) > 0),
+judged AS (SELECT doc_id, i, gap, CASE WHEN m <> '' AND {luhn} THEN '[CARD]' || substr(m, length(rtrim(m, ' -')) + 1) ELSE m END AS put
+  FROM (SELECT *, {digits} AS d FROM cut)),
+joined AS (SELECT doc_id, string_agg(gap || put, '' ORDER BY i) AS t FROM judged GROUP BY doc_id),
+c AS (SELECT a.doc_id, coalesce(joined.t, a.t) AS t FROM a LEFT JOIN joined ON joined.doc_id = a.doc_id)
 SELECT doc_id, md5(regexp_replace(t, '{PHONE}', '[PHONE]', 'g')) AS text_md5 FROM c"""
 
 
@@ -204,15 +211,16 @@ def _message(role: str, content: str) -> str:
 MIXED = """records AS (SELECT event_type AS kind, json_extract_string(props, '$.k') AS k FROM events),
 mixed AS (SELECT CASE kind WHEN 'error' THEN 'true' ELSE k END AS k,
   CASE kind WHEN 'click' THEN k || '.5' ELSE k END AS num FROM records)"""
-SHARE = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+PLACE = "('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT"
 FACTORS = f"""{LABELLED}, sizes AS (SELECT quality AS q, count(*) AS n FROM labelled WHERE quality IS NOT NULL GROUP BY quality),
 goal AS (SELECT min(n) AS low, max(n) AS high FROM sizes)"""
 
 
 def _rebalanced(goal: str) -> str:
-    return f"""WITH {FACTORS}, factors AS (SELECT doc_id, quality, coalesce({goal}::DOUBLE / n, 1.0) AS f
+    return f"""WITH {FACTORS}, ranked AS (SELECT doc_id, quality, {goal} AS goal, n,
+    row_number() OVER (PARTITION BY quality ORDER BY {PLACE}, doc_id) AS place
   FROM labelled LEFT JOIN sizes ON quality = q, goal),
-copied AS (SELECT doc_id, quality, (floor(f) + ({SHARE} < f - floor(f))::INT)::BIGINT AS copies FROM factors)"""
+copied AS (SELECT doc_id, quality, CASE WHEN quality IS NULL THEN 1 ELSE goal // n + (place <= goal % n)::INT END::BIGINT AS copies FROM ranked)"""
 
 
 FIXED = f"""kept AS (SELECT * FROM turns WHERE NOT {blank('text')}),

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PII_PATTERNS, SEARCH_FORMS, WORD_SET, AuditConfig
+from .text import contains_any
 
 
 def has_luhn_number(text: Column, pattern: str) -> Column:
@@ -59,20 +60,30 @@ def _is_plain(word: str) -> bool:
     return all(_is_word(ch) for ch in word)
 
 
+#: Lists of up to this many words are searched for; longer ones are looked up.
+SEARCHED = 200
+
+
 def has_keyword(lowered: Column, words: Sequence[str]) -> Column:
     """Some listed word occurs as a whole word.
 
-    Plain words are looked up among the words of the text, whatever their
-    number; those with other characters share one pattern.
+    Of short lists the bare words are looked for first, which rules out most texts
+    at the cost of a substring search; only the others meet the pattern with its
+    boundaries. Plain words of long lists are looked up among the words of the text,
+    whatever their number.
     """
     plain = sorted({w for w in words if _is_plain(w)})
     other = sorted({w for w in words if not _is_plain(w)})
     found = F.lit(False)
-    if plain:
+    if len(plain) > SEARCHED:
         inside = F.split(lowered, f"[^{WORD_SET}]+")
         found = F.arrays_overlap(inside, F.lit(plain))
+    else:
+        other = plain + other
     if other:
-        found = found | lowered.rlike("|".join(whole_word(w) for w in other))
+        some = [w for w in other if not any(v != w and v in w for v in other)]
+        searched = lowered.rlike("|".join(whole_word(w) for w in other))
+        found = found | (contains_any(lowered, some) & searched if len(some) <= SEARCHED else searched)
     return F.when(lowered.isNotNull(), found)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions.order_stats import order_statistics
 from .flags import evidence, example_lists
 from .shape import rows_from_wide
 
-COLUMNS_PER_BLOCK = 8
+#: Columns of a block of the Gram matrix, first adders of a block, rows looked at for centres.
+BLOCK, ADDERS, LOOK = 16, 64, 1000
 
 
 def _as_double(df: DataFrame, name: str) -> Column:
@@ -97,58 +100,64 @@ def numeric_outliers(
     return result.join(examples.withColumnRenamed("check", "column"), "column", "left")
 
 
-def _moments(df, names) -> dict[str, tuple[int, float]]:
-    """(missing values, mean) of every column that varies, from one pass."""
-    aggs = [F.count("*")]
-    for c in names:
-        v = _as_double(df, c)
-        aggs += [F.count(v), F.avg(v), F.min(v), F.max(v)]
-    row = df.agg(*[a.alias(f"x{i}") for i, a in enumerate(aggs)]).first()
-    out = {}
-    for i, c in enumerate(names):
-        n, mean, low, high = row[4 * i + 1 : 4 * i + 5]
-        if n > 1 and low != high and math.isfinite(mean):
-            out[c] = (row[0] - n, mean)
+def _centres(df: DataFrame, names: Sequence[str]) -> list[float]:
+    """A value near each column's others, from a look at a few rows: sums around it
+    keep their digits. Any value gives the same correlations but for rounding."""
+    few = df.select(*[_as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)]).limit(LOOK).toArrow()
+    out = []
+    for column_ in few.columns:
+        values = sorted(v for v in column_.to_pylist() if v is not None and math.isfinite(v))
+        out.append(values[len(values) // 2] if values else 0.0)
     return out
 
 
-def _correlations(df, pairs, moments) -> DataFrame:
-    """(col_a, col_b, r) of the pairs from sums of centred values.
+#: Sums of a pair of columns over the rows where both are present.
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _gram(centres: Sequence[float]):
+    """Sums of all pairs of columns over a task's rows, one row per block of columns.
 
-    Sums that do not depend on the partner (no gaps there) are the same
-    expression for every pair, and Spark computes equal aggregates once.
+    With gaps as zeros and a mask of what is present, every sum is one matrix
+    product: n = M'M, x = X'M, xx = (X*X)'M, xy = X'X.
     """
-    names = dict.fromkeys(c for pair in pairs for c in pair)
-    at = {c: i for i, c in enumerate(names)}
-    centred = df.select(
-        *[(_as_double(df, c) - F.lit(moments[c][1])).alias(f"c{i}") for c, i in at.items()]
-    )
 
-    def value(c):
-        return f"c{at[c]}" if moments[c][0] == 0 else f"coalesce(c{at[c]}, 0D)"
-
-    def where_present(expr, c):
-        return expr if moments[c][0] == 0 else f"if(c{at[c]} IS NOT NULL, {expr}, 0D)"
-
-    aggs, rows = [], []
-    for k, (a, b) in enumerate(pairs):
-        x, y = value(a), value(b)
-        sums = {
-            "n": where_present(where_present("1D", a), b),
-            "x": where_present(x, b),
-            "y": where_present(y, a),
-            "xx": where_present(f"{x} * {x}", b),
-            "yy": where_present(f"{y} * {y}", a),
-            "xy": f"{x} * {y}",
-        }
-        aggs += [F.expr(f"sum({v}) AS {name}{k}") for name, v in sums.items()]
-        spread = (
-            f"(xx{k} - try_divide(x{k} * x{k}, n{k})) * (yy{k} - try_divide(y{k} * y{k}, n{k}))"
-        )
-        shared = f"xy{k} - try_divide(x{k} * y{k}, n{k})"
-        r = f"CASE WHEN {spread} > 0 THEN try_divide({shared}, sqrt({spread})) END"
-        rows.append({"col_a": F.lit(a), "col_b": F.lit(b), "r": F.expr(r)})
-    return rows_from_wide(centred.agg(*aggs), rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(centres)
+        gram = np.zeros((len(SUMS), k, k))
+        low, high, infinite = np.full(k, np.inf), np.full(k, -np.inf), np.zeros(k, bool)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            present = ~np.isnan(x)
+            infinite |= np.isinf(x).any(axis=0)
+            low, high = np.fmin(low, np.fmin.reduce(x, axis=0, initial=np.inf)), np.fmax(high, np.fmax.reduce(x, axis=0, initial=-np.inf))
+            x = np.where(present & np.isfinite(x), x - np.array(centres), 0.0)
+            m = present.astype(np.float64)
+            sx, sxx = x.T @ m, (x * x).T @ m
+            for total, part in zip(gram, (m.T @ m, sx, sx.T, sxx, sxx.T, x.T @ x), strict=True):
+                total += part
+        for i in range(0, k, BLOCK):
+            for j in range(i, k, BLOCK):
+                both = np.r_[i : min(k, i + BLOCK), j : min(k, j + BLOCK)]
+                part = gram[:, i : i + BLOCK, j : j + BLOCK]
+                lists = [part.reshape(-1), low[both], high[both], infinite[both].astype(np.float64)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([x], pa.int32()) for x in (i, j, *part.shape[1:])], *[pa.array([x], pa.list_(pa.float64())) for x in lists]],
+                    [*PLACE, *LISTS],
+                )
+
+    return run
+
+
+PLACE, LISTS = ("i", "j", "height", "width"), ("sums", "low", "high", "infinite")
+
+
+def _added(group: pa.Table) -> pa.Table:
+    sums, low, high, infinite = (np.stack(group.column(c).to_numpy()) for c in LISTS)
+    lists = [sums.sum(axis=0), low.min(axis=0), high.max(axis=0), infinite.max(axis=0)]
+    first = group.slice(0, 1)
+    made = {n: pa.array([x], pa.list_(pa.float64())) for n, x in zip(LISTS, lists, strict=True)}
+    return pa.table({c: first.column(c) for c in PLACE} | made)
 
 
 def numeric_correlation(
@@ -156,23 +165,32 @@ def numeric_correlation(
 ) -> DataFrame:
     """(col_a, col_b, correlation): pairwise-complete Pearson, strong pairs only.
 
-    Pairs are computed block of columns by block of columns, so no aggregate
-    grows with the square of the table width and each scan reads two blocks.
+    One scan, whatever the number of columns: every task adds up the Gram matrix of
+    its rows with gap masks, in blocks of columns; blocks are added up in two steps,
+    so that no task sees those of all others. A column that does not vary or holds
+    an infinity has no correlation.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
-    moments = _moments(df, names) if names else {}
-    names = [c for c in names if c in moments]
-    blocks = [names[i : i + COLUMNS_PER_BLOCK] for i in range(0, len(names), COLUMNS_PER_BLOCK)]
-    out = df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    for i, left in enumerate(blocks):
-        for right in blocks[i:]:
-            if left is right:
-                pairs = [(a, b) for k, a in enumerate(left) for b in left[k + 1 :]]
-            else:
-                pairs = [(a, b) for a in left for b in right]
-            if pairs:
-                part = _correlations(df, pairs, moments)
-                out = part if i == 0 and right is blocks[0] else out.unionAll(part)
-    return out.filter(F.abs("r") >= cfg.correlation_from).select(
+    empty = df.sparkSession.createDataFrame([], "col_a string, col_b string, correlation double")
+    if len(names) < 2:
+        return empty
+    values = df.select(*[F.coalesce(_as_double(df, c), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(names)])
+    schema = ", ".join([f"{c} int" for c in PLACE] + [f"{c} array<double>" for c in LISTS])
+    parts = values.mapInArrow(_gram(_centres(df, names)), schema)
+    some = parts.groupBy("i", "j", F.pmod(F.spark_partition_id(), F.lit(ADDERS)).alias("adder")).applyInArrow(_added, schema)
+    blocks = some.groupBy("i", "j").applyInArrow(_added, schema)
+    area = F.col("height") * F.col("width")
+    cells = blocks.select("*", F.explode(F.sequence(F.lit(0), area - 1)).alias("at")).select(
+        "*", F.floor(F.col("at") / F.col("width")).cast("int").alias("down"), (F.col("at") % F.col("width")).alias("across")
+    )
+    varies = lambda p: (F.get("infinite", p) == 0) & (F.get("low", p) < F.get("high", p))
+    kept = cells.filter(varies(F.col("down")) & varies(F.col("height") + F.col("across"))).select(
+        (F.col("i") + F.col("down")).alias("a"), (F.col("j") + F.col("across")).alias("b"),
+        *[F.get("sums", F.col("at") + k * area).alias(s) for k, s in enumerate(SUMS)],
+    ).filter("a < b")
+    spread = "(xx - try_divide(x * x, n)) * (yy - try_divide(y * y, n))"
+    r = F.expr(f"CASE WHEN {spread} > 0 THEN try_divide(xy - try_divide(x * y, n), sqrt({spread})) END")
+    label = F.lit(names)
+    return kept.select(F.get(label, "a").alias("col_a"), F.get(label, "b").alias("col_b"), r.alias("r")).filter(F.abs("r") >= cfg.correlation_from).select(
         "col_a", "col_b", rounded(F.col("r"), 3).alias("correlation")
     )

@@ -31,9 +31,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ from rowgauge.llm import common
 LONGEST = 4
 #: Words and ends of pieces.
 TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
+ENDERS = ".,;:!?\n\x0b\x0c\r"
 ENDS = r"[\x20\x09.,;:!?\x0A-\x0D]+"
 #: Bits of a word number in an entry's key; Limits.words + 2 * Limits.batch numbers fit.
 WIDTH = 21
@@ -60,17 +63,22 @@ class Limits:
     parts: int = 64
 
 
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 COUNTED = "lang string, phrase string, size int, n bigint"
 
 
-def marked(lang: str, phrase: str) -> int:
-    return zlib.crc32(f"{lang}\t{phrase}".encode("utf-8", "surrogatepass"))
+#: What a pair's mark is made of: its first word's mark times this, plus its second's.
+TIMES = 65_599
+
+
+def marked(lang: str, word: str) -> int:
+    return zlib.crc32(f"{lang}\t{word}".encode("utf-8", "surrogatepass"))
 
 
 def bit_map(counted: DataFrame, bits: int) -> bytes:
-    """The bits of the phrases of a table; at most bits / 64 rows reach the driver."""
-    bit = F.crc32(F.concat_ws("\t", "lang", "phrase").cast("binary")) % bits
+    """The bits of words or of pairs; at most bits / 64 rows reach the driver."""
+    mark = lambda w: F.crc32(F.concat_ws("\t", "lang", w).cast("binary"))
+    words = F.split("phrase", " ")
+    bit = F.when(F.size(words) == 1, mark(words[0])).otherwise(mark(words[0]) * TIMES + mark(F.get(words, 1))) % bits
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
     rows = counted.select(F.floor(bit / 64).cast("int").alias("slot"), one.alias("bit"))
     got = rows.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -79,9 +87,9 @@ def bit_map(counted: DataFrame, bits: int) -> bytes:
     return held.tobytes()
 
 
-def has_bit(held: bytes, mark: int) -> int:
-    bit = mark % (8 * len(held))
-    return held[bit >> 3] >> (bit & 7) & 1
+def lowered(text: str) -> str:
+    """A-Z to a-z and nothing else, which is what lower() does to bytes."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class HatTrie:
@@ -107,7 +115,9 @@ class HatTrie:
             self._add(int(first[start]), rest[start:stop])
 
     def _add(self, word: int, rest: np.ndarray) -> None:
-        held = self.root.setdefault(word, Counter())
+        held = self.root.get(word)
+        if held is None:
+            held = self.root[word] = Counter()
         if isinstance(held, Counter):
             before = len(held)
             held.update(rest.tolist())
@@ -122,20 +132,29 @@ class HatTrie:
         nexts = rest >> (WIDTH * (self.depth - 2))
         starts = np.flatnonzero(np.append(True, nexts[1:] != nexts[:-1]))
         for start, stop in zip(starts, np.append(starts[1:], len(rest)), strict=True):
-            inner = held.setdefault(int(nexts[start]), Counter())
+            inner = held.get(int(nexts[start]))
+            if inner is None:
+                inner = held[int(nexts[start])] = Counter()
             before = len(inner)
             inner.update(rest[start:stop].tolist())
             self.sizes[word] += len(inner) - before
 
-    def take(self, word: int) -> tuple[np.ndarray, np.ndarray]:
-        """Remove a subtree: its keys in order, and their counts."""
-        held = self.root.pop(word)
-        del self.sizes[word]
-        inner = [held] if isinstance(held, Counter) else held.values()
-        keys = np.fromiter((k for c in inner for k in c), np.int64, sum(map(len, inner)))
-        counts = np.fromiter((n for c in inner for n in c.values()), np.int64, len(keys))
-        order = np.argsort(keys)
-        return keys[order], counts[order]
+    def take(self, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Remove whole subtrees: first words, keys of the rest in order, counts."""
+        held, owner = [], []
+        for word in words:
+            del self.sizes[word]
+            top = self.root.pop(word)
+            inner = [top] if isinstance(top, Counter) else list(top.values())
+            held += inner
+            owner += [word] * len(inner)
+        sizes = np.array([len(c) for c in held], np.int64)
+        n = int(sizes.sum())
+        first = np.repeat(np.array(owner, np.int64), sizes)
+        keys = np.fromiter(chain.from_iterable(held), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(c.values() for c in held), np.int64, n)
+        order = np.lexsort((keys, first))
+        return first[order], keys[order], counts[order]
 
     def largest(self, leave: int) -> list[int]:
         """The subtrees to spill, largest first, so that `leave` entries stay."""
@@ -151,17 +170,28 @@ class HatTrie:
 class Numbers(dict):
     """word -> its number in one language; 0 if it is ruled out or ends a piece."""
 
-    def __init__(self, lang: str, words: list[tuple[str, str]], allowed: bytes):
-        super().__init__({c: 0 for c in ".,;:!?\n\x0b\x0c\r"})
-        self.lang, self.words, self.allowed = lang, words, allowed
+    def __init__(self, lang: str, words: list[str], langs: list[str], marks: list[int], allowed: np.ndarray, room: int):
+        super().__init__(dict.fromkeys(ENDERS, 0))
+        self.lang, self.words, self.langs, self.marks, self.allowed, self.room = lang, words, langs, marks, allowed, room
+        self.ruled_out = 0
 
     def __missing__(self, word: str) -> int:
-        number = 0
-        if has_bit(self.allowed, marked(self.lang, word)):
-            number = len(self.words)
-            self.words.append((self.lang, word))
-            self[word] = number
-        return number
+        mark = marked(self.lang, word)
+        bit = mark % (8 * len(self.allowed))
+        if self.allowed[bit >> 3] >> (bit & 7) & 1:
+            number = self[word] = len(self.words)
+            self.words.append(word)
+            self.langs.append(self.lang)
+            self.marks.append(mark)
+            return number
+        self.ruled_out += 1
+        if self.ruled_out > self.room:
+            kept = {w: n for w, n in self.items() if n or w in ENDERS}
+            self.clear()
+            self.update(kept)
+            self.ruled_out = 0
+        self[word] = 0
+        return 0
 
 
 class Miner:
@@ -170,22 +200,23 @@ class Miner:
     def __init__(
         self, sizes: tuple[int, ...], words_allowed: bytes, pairs_allowed: bytes | None, hot: set[tuple[str, str]], limits: Limits
     ):
-        self.sizes, self.allowed, self.pairs_allowed, self.hot, self.limits = sizes, words_allowed, pairs_allowed, hot, limits
+        self.pairs, self.hot, self.limits = max(sizes) == 2, hot, limits
+        self.allowed = memoryview(words_allowed)
+        self.pairs_allowed = None if pairs_allowed is None else np.frombuffer(pairs_allowed, np.uint8)
         self.trie = HatTrie(max(sizes), limits.burst)
         self.forget()
 
     def forget(self) -> None:
-        self.words: list[tuple[str, str]] = [("", "")]
-        self.langs: dict[str, Numbers] = {}
+        self.words, self.langs, self.marks = [""], [""], [0]
+        self.known: dict[str, Numbers] = {}
 
-    def read(self, texts: list[str | None], langs: list[str | None]) -> Iterator[list[tuple]]:
+    def read(self, texts: list[str | None], langs: list[str | None]) -> Iterator[pa.RecordBatch]:
         """Count the phrases of texts; yields the runs that had to leave."""
         ids: list[int] = []
         size = self.limits.batch
         for text, lang in zip(texts, langs, strict=True):
             lang = "und" if lang is None else lang
-            low = text.lower() if text and text.isascii() else (text or "").translate(LOWER)
-            tokens = TOKEN.findall(low)
+            tokens = TOKEN.findall(lowered(text or ""))
             # A long text goes in parts; each begins again with the last words of the one before.
             for start in range(0, len(tokens), size):
                 known = self._numbers(lang)
@@ -200,16 +231,16 @@ class Miner:
         yield from self._count(ids)
 
     def _numbers(self, lang: str) -> Numbers:
-        if lang not in self.langs:
-            self.langs[lang] = Numbers(lang, self.words, self.allowed)
-        return self.langs[lang]
+        if lang not in self.known:
+            self.known[lang] = Numbers(lang, self.words, self.langs, self.marks, self.allowed, self.limits.words)
+        return self.known[lang]
 
-    def _count(self, ids: list[int], overlap: int = 0) -> Iterator[list[tuple]]:
+    def _count(self, ids: list[int], overlap: int = 0) -> Iterator[pa.RecordBatch]:
         """Phrases that begin in ids, the last `overlap` of which come again."""
         begins = len(ids) - overlap
         a = np.array(ids + [0] * LONGEST, np.int64)
         w = [a[k : k + begins] for k in range(LONGEST)]
-        if max(self.sizes) == 2:
+        if self.pairs:
             whole = (w[0] > 0) & (w[1] > 0)
             self.trie.add(w[0][whole], w[1][whole])
         else:
@@ -226,60 +257,60 @@ class Miner:
 
     def _pairs(self, a: np.ndarray) -> np.ndarray:
         """Which neighbours in a may be a frequent pair."""
-        pairs, back = np.unique((a[:-1] << WIDTH) | a[1:], return_inverse=True)
-        low, words = 2**WIDTH - 1, self.words
-        may = np.zeros(len(pairs), bool)
-        for k, pair in enumerate(pairs.tolist()):
-            x, y = pair >> WIDTH, pair & low
-            if x and y:
-                lang, word = words[x]
-                may[k] = has_bit(self.pairs_allowed, marked(lang, f"{word} {words[y][1]}"))
-        return may[back]
-
-    def spill(self, leave: int) -> Iterator[list[tuple]]:
-        """Runs (lang, prefix, part, suffixes, counts) of the largest subtrees."""
-        runs: list[tuple] = []
-        for first in self.trie.largest(leave):
-            keys, counts = self.trie.take(first)
-            runs.extend(self._runs(first, keys, counts))
-            if len(runs) > 5000:
-                yield runs
-                runs = []
-        if runs:
-            yield runs
-
-    def _runs(self, first: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-        lang, word = self.words[first]
+        marks = np.array(self.marks, np.int64)[a]
+        bit = (marks[:-1] * TIMES + marks[1:]) % (8 * len(self.pairs_allowed))
+        return (a[:-1] > 0) & (a[1:] > 0) & ((self.pairs_allowed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def spill(self, leave: int) -> Iterator[pa.RecordBatch]:
+        """Runs of the largest subtrees, so that `leave` entries stay."""
+        chosen = self.trie.largest(leave)
+        for start in range(0, len(chosen), 20_000):
+            yield self._runs(*self.trie.take(chosen[start : start + 20_000]))
+
+    def _runs(self, first: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """One row per prefix, with what follows it in order and how often."""
+        words = pa.array(self.words, pa.string())
         low = 2**WIDTH - 1
-        if max(self.sizes) == 2:
-            yield from self._run(lang, word, [(self.words[k][1], n) for k, n in zip(keys.tolist(), counts.tolist(), strict=True)])
-            return
-        second, before, entries, three = keys >> (2 * WIDTH), 0, [], ("", 0)
-        for two, key, n in zip(second.tolist(), keys.tolist(), counts.tolist(), strict=True):
-            if two != before:
-                if before:
-                    yield from self._run(lang, f"{word} {self.words[before][1]}", [*entries, three])
-                before, entries, three = two, [], ("", 0)
-            third, fourth = self.words[key >> WIDTH & low][1], key & low
-            if three[0] != third:
-                if three[1]:
-                    entries.append(three)
-                three = (third, 0)
-            three = (third, three[1] + n)
-            if fourth:
-                entries.append((f"{third} {self.words[fourth][1]}", n))
-        if before:
-            yield from self._run(lang, f"{word} {self.words[before][1]}", [*entries, three])
-
-    def _run(self, lang: str, prefix: str, entries: list[tuple[str, int]]) -> Iterator[tuple]:
-        parts: dict[int, list] = {0: entries}
-        if (lang, prefix) in self.hot:
-            parts = {}
-            for e in entries:
-                parts.setdefault(zlib.crc32(e[0].encode("utf-8", "surrogatepass")) % self.limits.parts, []).append(e)
-        for part, held in parts.items():
-            held.sort()
-            yield lang, prefix, part, "\n".join(s for s, _ in held), ",".join(str(n) for _, n in held)
+        if self.pairs:
+            second, group = np.zeros(len(first), np.int64), first
+            suffix = words.take(pa.array(keys))
+        else:
+            # Phrases of three are those of four with any fourth word, or none, added up.
+            new = np.append(True, (first[1:] != first[:-1]) | (keys[1:] >> WIDTH != keys[:-1] >> WIDTH))
+            three, four = np.flatnonzero(new), np.flatnonzero(keys & low)
+            first, keys, counts = (
+                np.append(first[three], first[four]), np.append(keys[three] >> WIDTH << WIDTH, keys[four]), np.append(np.add.reduceat(counts, three), counts[four]),
+            )
+            is_four = np.repeat([False, True], [len(three), len(four)])
+            order = np.lexsort((is_four, keys, first))
+            first, keys, counts, is_four = first[order], keys[order], counts[order], is_four[order]
+            second = keys >> (2 * WIDTH)
+            third, fourth = (words.take(pa.array(x)) for x in (keys >> WIDTH & low, keys & low))
+            suffix = pc.if_else(pa.array(is_four), pc.binary_join_element_wise(third, fourth, " "), third)
+            group = (first << WIDTH) | second
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        named = lambda at: (self.langs[first[at]], " ".join([self.words[first[at]], *([] if self.pairs else [self.words[second[at]]])]))
+        names = [named(at) for at in starts.tolist()]
+        part = np.zeros(len(group), np.int32)
+        if self.hot:
+            hot = np.repeat([n in self.hot for n in names], np.diff(np.append(starts, len(group))))
+            at = np.flatnonzero(hot)
+            part[at] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % self.limits.parts for x in suffix.take(pa.array(at)).to_pylist()]
+            order = np.lexsort((part, np.cumsum(np.isin(np.arange(len(group)), starts))))
+            group, part, counts, suffix = group[order], part[order], counts[order], suffix.take(pa.array(order))
+            first, second = first[order], second[order]
+            starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
+            names = [named(at) for at in starts.tolist()]
+        offsets = pa.array(np.append(starts, len(group)), pa.int32())
+        joined = lambda x, sep: pc.binary_join(pa.ListArray.from_arrays(offsets, x), sep)
+        langs, prefixes = zip(*names, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(langs, pa.string()), pa.array(prefixes, pa.string()), pa.array(part[starts], pa.int32()),
+                joined(suffix, "\n"), joined(pc.cast(pa.array(counts), pa.string()), ","),
+            ],
+            ["lang", "prefix", "part", "suffixes", "counts"],
+        )
 
 
 RUNS = "lang string, prefix string, part int, suffixes string, counts string"
@@ -291,15 +322,9 @@ def merged_runs(df: DataFrame, sizes: tuple[int, ...], words: bytes, pairs: byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         miner = Miner(sizes, *held.value, hot, limits)
-        names = [x.split()[0] for x in RUNS.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-
-        def out(runs: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*runs, strict=True), kinds, strict=True)], names)
-
         for batch in batches:
-            yield from map(out, miner.read(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        yield from map(out, miner.spill(0))
+            yield from miner.read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield from miner.spill(0)
 
     runs = df.mapInArrow(run, RUNS).repartition("lang", "prefix", "part")
     split = runs.select("lang", "prefix", "part", F.split("suffixes", "\n").alias("suffix"), F.split("counts", ",").alias("n"))

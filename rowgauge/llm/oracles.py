@@ -16,21 +16,26 @@ def _quality() -> str:
         f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{j}" for j, r in enumerate(quality.RULES)
     )
     keys = ", ".join(f"v{j}" for j in rules)
-    weight = "ln(pi / (1 - pi)) + " + " + ".join(f"v{j} * ln(a{j} / (1 - a{j}))" for j in rules)
-    clamp = f"least({quality.MOST}, greatest({quality.LEAST}, {{}}))"
-    steps = [f"m0 AS (SELECT {quality.START}::DOUBLE AS pi, " + ", ".join(f"{quality.START}::DOUBLE AS a{j}" for j in rules) + ")"]
+    weight = "pi * " + " * ".join(f"CASE v{j} WHEN -1 THEN a{j} WHEN 1 THEN 1 - a{j} ELSE 1 END" for j in rules)
+    first = ", ".join(
+        f"({k}, {share}::DOUBLE, " + ", ".join(f"{r}::DOUBLE" for r in rates) + ")" for k, (share, rates) in enumerate(quality.start(len(rules)))
+    )
+    names = ", ".join(f"a{j}" for j in rules)
+    steps = [f"m0(kind, pi, {names}) AS (VALUES {first})"]
     for k in range(1, quality.ROUNDS + 1):
-        prior = clamp.format("sum(n * q) / sum(n)") + " AS pi"
+        cast = "coalesce(sum(CASE WHEN v{0} <> 0 THEN n * q END), 0)"
+        bad = "coalesce(sum(CASE WHEN v{0} < 0 THEN n * q END), 0)"
         each = ", ".join(
-            clamp.format(
-                f"(coalesce(sum(CASE WHEN v{j} > 0 THEN n * q WHEN v{j} < 0 THEN n * (1 - q) END), 0) + {quality.START})"
-                f" / (coalesce(sum(CASE WHEN v{j} <> 0 THEN n END), 0) + 1)"
-            )
-            + f" AS a{j}"
+            f"({bad.format(j)} + {quality.WEIGHT} * {cast.format(j)} * any_value(m0.a{j}) + any_value(m0.a{j}))"
+            f" / ({1 + quality.WEIGHT} * {cast.format(j)} + 1) AS a{j}"
             for j in rules
         )
-        steps.append(f"q{k} AS (SELECT p.*, 1 / (1 + exp(-({weight}))) AS q FROM patterns p, m{k - 1})")
-        steps.append(f"m{k} AS MATERIALIZED (SELECT {prior}, {each} FROM q{k})")
+        steps.append(f"w{k} AS (SELECT p.*, kind, {weight} AS w FROM patterns p, m{k - 1})")
+        steps.append(f"q{k} AS (SELECT *, w / sum(w) OVER (PARTITION BY {keys}) AS q FROM w{k})")
+        steps.append(
+            f"m{k} AS MATERIALIZED (SELECT kind, (sum(n * q) / (SELECT sum(n) FROM patterns) + {quality.WEIGHT} * any_value(m0.pi)) / {1 + quality.WEIGHT} AS pi,"
+            f" {each} FROM q{k} JOIN m0 USING (kind) GROUP BY kind)"
+        )
     last = quality.ROUNDS
     return f"""
 WITH d AS (
@@ -59,11 +64,12 @@ WITH d AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {votes} FROM counts
 ), patterns AS MATERIALIZED (
   SELECT {keys}, count(*) AS n FROM voted GROUP BY {keys}
-), {", ".join(steps)}
+), {", ".join(steps)}, post AS (
+  SELECT {keys}, sum(CASE WHEN kind = 0 THEN w END) / sum(w) AS good FROM (SELECT p.*, kind, {weight} AS w FROM patterns p, m{last}) GROUP BY {keys}
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 1 / (1 + exp(-({weight}))) >= 0.5 AS kept,
-  round(1 / (1 + exp(-({weight}))), 4) AS quality
-FROM voted, m{last}"""
+  NOT base_failed AND good >= 0.5 AS kept, round(good, 4) AS quality
+FROM voted JOIN post USING ({keys})"""
 
 
 def _decontamination() -> str:

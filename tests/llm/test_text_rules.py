@@ -26,22 +26,44 @@ def test_counts_and_verdicts(spark):
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
 
 
-def test_em_recovers_accuracies():
+def test_em_tells_kinds_of_bad_documents():
     rng = random.Random(3)
-    accuracy = [0.9, 0.75, 0.65]
-    seen = Counter()
+    rules = tuple(quality.Rule(str(j), "false", "false") for j in range(4))
+    seen, truth = Counter(), Counter()
     for _ in range(20_000):
-        good = rng.random() < 0.7
-        votes = []
-        for a in accuracy:
-            right = rng.random() < a
-            votes.append(0 if rng.random() < 0.2 else (1 if right == good else -1))
-        seen[tuple(votes)] += 1
-    rules = tuple(quality.Rule(str(j), "false", "false") for j in range(3))
+        kind = 0 if rng.random() < 0.8 else rng.choice([1, 2, 2, 3])  # no document is bad in the fourth way
+        rates = [{0: 0.01}.get(kind, 0.8 if kind == j + 1 else 0.1) for j in range(4)]
+        votes = tuple(0 if rng.random() < 0.2 else (-1 if rng.random() < r else 1) for r in rates)
+        seen[votes] += 1
+        truth[votes, kind == 0] += 1
     model = quality.fit(sorted(seen.items()), rules)
-    assert all(abs(a - b) < 0.06 for a, b in zip(model.accuracy, accuracy, strict=True))
-    assert abs(model.prior - 0.7) < 0.06
-    assert quality.fit([], rules).prior == quality.START
+    good, *bad = model.kinds
+    assert abs(good[0] - 0.8) < 0.06 and bad[1][0] > bad[0][0] > bad[3][0]
+    assert all(0.002 < r < 0.03 for r in good[1]) and all(0.6 < b[1][k] < 0.95 for k, b in enumerate(bad[:3]))
+    known = [(0.8, (0.01,) * 4), *[(p, tuple(0.8 if j == k else 0.1 for j in range(4))) for k, p in enumerate((0.05, 0.1, 0.05))]]
+    right = lambda m: sum(n for (votes, is_good), n in truth.items() if (m.weights(votes)[0] >= 0.5 * sum(m.weights(votes))) == is_good)
+    assert right(model) >= right(quality.Model(tuple(known), rules)) - 100
+    assert quality.fit([], rules) == quality.Model(tuple((s, tuple(r)) for s, r in quality.start(4)), rules)
+
+
+def test_the_posterior_rejects_what_the_base_keeps(spark):
+    """Against labels, which no fit has seen; and every estimate is off its limits."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(docs, carry=["doc_id"]).join(labels.select("doc_id"), "doc_id").collect()
+    label = {r["doc_id"]: r["quality"] == 1 for r in labels.collect()}
+    by_base = sum((not r["base_failed"]) == label[r["doc_id"]] for r in judged)
+    by_posterior = sum(r["kept"] == label[r["doc_id"]] for r in judged)
+    more = [r["doc_id"] for r in judged if not r["base_failed"] and not r["kept"]]
+    assert len(more) > 10 and sum(label[i] for i in more) <= 0.1 * len(more)
+    assert by_posterior >= by_base + 0.03 * len(judged)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["row", "_words", "_lines", "_h", "_w", "_p", "_at", "v0", "w", "i"]
+    df = brute.frame(spark, ROWS[:6]).selectExpr("*", *[f"'mine' AS {n}" for n in names])
+    got = quality.judge(df).collect()
+    assert len(got) == 6 and all(r[n] == "mine" for r in got for n in names)
 
 
 def test_line_dedup(spark):
@@ -128,4 +150,4 @@ def test_empty_tables(spark):
     assert quality.judge(df).count() == line_dedup.dedup_lines(df).count() == secret_scan.scan_secrets(df).count() == 0
     pages = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filter.judge_urls(pages, []).count() == 0
-    assert math.isfinite(quality.fit([], quality.RULES).prior)
+    assert math.isclose(sum(share for share, _ in quality.fit([], quality.RULES).kinds), 1)

@@ -58,7 +58,7 @@ class Limits:
     entries: int = 1_200_000  #: of a trie before subtrees leave
     burst: int = 4_096  #: entries of a container before it bursts
     words: int = 500_000  #: that a task has numbers for
-    batch: int = 500_000  #: words looked at together
+    batch: int = 750_000  #: words looked at together
     hot: int = 1000  #: a prefix with more than one in `hot` of all words is merged in parts
     parts: int = 64
 
@@ -173,10 +173,10 @@ class Numbers(dict):
     def __init__(self, lang: str, words: list[str], langs: list[str], marks: list[int], allowed: np.ndarray, room: int):
         super().__init__(dict.fromkeys(ENDERS, 0))
         self.lang, self.words, self.langs, self.marks, self.allowed, self.room = lang, words, langs, marks, allowed, room
-        self.ruled_out = 0
+        self.ruled_out, self.of_lang = 0, marked(lang, "")
 
     def __missing__(self, word: str) -> int:
-        mark = marked(self.lang, word)
+        mark = zlib.crc32(word.encode("utf-8", "surrogatepass"), self.of_lang)
         bit = mark % (8 * len(self.allowed))
         if self.allowed[bit >> 3] >> (bit & 7) & 1:
             number = self[word] = len(self.words)

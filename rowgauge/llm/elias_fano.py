@@ -136,19 +136,27 @@ class Trie:
         """The place of each row among the trie's rows, or -1.
 
         From level to level: the node's range by its pointers, its offset, and a
-        successor search for the id within that range.
+        successor search for the id within that range. Rows in order that begin alike
+        share the search for what they have in common.
         """
-        node = np.zeros(len(columns[0]), np.int64)
-        here = np.full(len(node), len(self.values) > 0)
+        n = len(columns[0])
+        node, here = np.zeros(n, np.int64), np.full(n, len(self.values) > 0)
+        new = np.zeros(n, bool)
+        new[:1] = True
         for (ids, pointers, sums), column in zip(self.levels, columns, strict=True):
-            if not here.any():
-                break
-            at, x = node[here], column[here]
+            new[1:] |= column[1:] != column[:-1]
+            some = np.flatnonzero(new & here)
+            if not len(some):
+                return np.full(n, -1)
+            at, x = node[some], column[some]
             start, stop, base = pointers[at], pointers[at + 1], sums[at]
             # An id beyond a node's last one would fall among the next node's: stop ends the search.
             place = ids.successor(x + base, start, stop)
             hit = place < stop
             hit[hit] = ids[place[hit]] == (x + base)[hit]
-            node[here] = place
-            here[here] = hit
-        return np.where(here, node, -1)
+            group = np.cumsum(new) - 1
+            found = np.full(int(group[-1]) + 1, -1)
+            found[group[some]] = np.where(hit, place, -1)
+            node = found[group]
+            here = node >= 0
+        return node

@@ -11,9 +11,9 @@ a million tokens. A block sends each distinct pair, with how often training
 documents hold it, to the pair's shard; the shard adds up what all blocks sent,
 packs the pairs and their quantised probabilities into an Elias-Fano trie in mapped
 memory, and answers every block by searching it. Rows of three go the same way,
-with the pairs' counts that the block has learned then. What moves follows the
-number of distinct rows in each block, and a shard holds about as many of them at
-any size of the corpus.
+with the pairs' counts that the block has learned then. A context that no other block's texts hold is not asked about: its counts are the
+block's own. What moves follows the number of distinct rows in each block, and a shard holds about as
+many of them at any size of the corpus.
 
 Results in odd cases
 --------------------
@@ -32,6 +32,7 @@ from __future__ import annotations
 import mmap
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -157,14 +158,15 @@ def _read(room: int) -> Callable:
 class Events:
     """A block's tokens, each with the two before it, as distinct pairs and threes."""
 
-    def __init__(self, r: dict, ends: int, shards: int, hot: int):
+    def __init__(self, r: dict, ends: tuple[int, int], shards: int, hot: int):
         self.shards, self.hot = shards, hot
         (tokens,) = unpack_ints(r["tokens"], r["n"], 1)
         sizes, begins = np.array(r["sizes"], np.int64), np.array(r["begins"], bool)
         self.docs = np.array(r["docs"], np.int64)
         #: Global number (-1: not in training) and count of the block's numbers.
         self.ids = np.append([NONE, BEGIN, END], np.array(r["ids"], np.int64))
-        self.seen = np.append([0, ends, ends], np.array(r["seen"], np.int64))
+        self.seen = np.append([0, ends[0], ends[0]], np.array(r["seen"], np.int64))
+        self.every = np.append([0, ends[1], ends[1]], np.array(r["every"], np.int64))
         starts = np.cumsum(sizes) - sizes
         one, two = np.append(NONE, tokens[:-1]), np.append([NONE, NONE], tokens[:-2])[: len(tokens)]
         heads = starts[begins]
@@ -183,78 +185,110 @@ class Events:
         pairs = np.append((self.v << WIDTH) | self.w, (tokens[ahead] << WIDTH) | tokens[ahead + 1])
         self.pairs, pair_at = np.unique(pairs, return_inverse=True)
         self.pair_at = pair_at[: len(self.w)]
+        # The last pair of a part that goes on elsewhere is asked for there.
+        last = (starts + sizes)[(sizes > 1) & (tokens[starts + sizes - 1] != END)] - 1
+        self.passed_on = (tokens[last - 1] << WIDTH) | tokens[last]
         self.longer = self.u != NONE
         threes = (self.v << (2 * WIDTH)) | (self.u << WIDTH) | self.w
         self.threes, self.three_at = np.unique(threes[self.longer], return_inverse=True)
 
-    def pair_rows(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Global columns of the pairs, their training counts, how often their contexts were met."""
+    def pair_rows(self) -> "Rows":
         v, w = self.pairs >> WIDTH, self.pairs & (2**WIDTH - 1)
-        n = np.bincount(self.pair_at[self.train], minlength=len(self.pairs))
-        return [self.ids[v], self.ids[w]], n, self.seen[v]
+        n, every = (np.bincount(at, minlength=len(self.pairs)) for at in (self.pair_at[self.train], self.pair_at))
+        alone = (np.bincount(v, every, len(self.ids))[v] == self.every[v]) & ~np.isin(self.pairs, self.passed_on)
+        return Rows([self.ids[v], self.ids[w]], n, every, self.seen[v], alone)
 
-    def three_rows(self, pair_counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def three_rows(self, pair_counts: np.ndarray, pair_every: np.ndarray) -> "Rows":
         low = 2**WIDTH - 1
         v, u, w = self.threes >> (2 * WIDTH), self.threes >> WIDTH & low, self.threes & low
-        n = np.bincount(self.three_at[self.train[self.longer]], minlength=len(self.threes))
-        place = np.searchsorted(self.pairs, (u << WIDTH) | v)
-        place = np.minimum(place, max(0, len(self.pairs) - 1))
-        met = self.pairs[place] == ((u << WIDTH) | v) if len(self.pairs) else np.zeros(len(u), bool)
-        return [self.ids[v], self.ids[u], self.ids[w]], n, np.where(met, pair_counts[place], 0)
-
-    def shares(self, rows: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that training may hold, by shard; and the shard of each."""
-        columns, _, met = rows
-        may = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in columns]) & (met > 0))
-        some = [c[may] for c in columns]
-        shard = np.where(met[may] > self.hot, mixed(*some), mixed(*some[:-1])) % np.uint64(self.shards)
+        n, every = (np.bincount(at, minlength=len(self.threes)) for at in (self.three_at[self.train[self.longer]], self.three_at))
+        if not len(self.threes):
+            return Rows([v, u, w], n, every, n, n > 0)
+        place = np.minimum(np.searchsorted(self.pairs, (u << WIDTH) | v), len(self.pairs) - 1)
+        alone = np.bincount(place, every, len(self.pairs))[place] == pair_every[place]
+        return Rows([self.ids[v], self.ids[u], self.ids[w]], n, every, pair_counts[place], alone)
+
+    def shares(self, rows: "Rows") -> tuple[np.ndarray, np.ndarray]:
+        """Rows that others must be asked about, by shard; and the shard of each."""
+        known = (rows.met == 0) | rows.alone
+        may = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in rows.columns]) & ~known)
+        some = [c[may] for c in rows.columns]
+        shard = np.where(rows.met[may] > self.hot, mixed(*some), mixed(*some[:-1])) % np.uint64(self.shards)
         order = np.argsort(shard, kind="stable")
         return may[order], shard[order].astype(np.int64)
 
-    def messages(self, rows: tuple) -> Iterator[tuple[int, int, bytes]]:
-        columns, n, met = rows
+    def messages(self, rows: "Rows") -> Iterator[tuple[int, int, bytes]]:
         at, shard = self.shares(rows)
         starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
         for start, stop in zip(starts, np.append(starts[1:], len(shard)) if len(shard) else [], strict=True):
             mine = at[start:stop]
-            yield int(shard[start]), len(mine), pack_ints([*[c[mine] for c in columns], n[mine], met[mine]])
+            yield int(shard[start]), len(mine), pack_ints([*[c[mine] for c in rows.columns], rows.n[mine], rows.every[mine], rows.met[mine]])
 
-    def answers(self, rows: tuple, got: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and counts of all rows from the shards' answers."""
-        at, _ = self.shares(rows)
-        code, count = np.full(len(rows[1]), ABSENT, np.int64), np.zeros(len(rows[1]), np.int64)
-        parts = [unpack_ints(data, n, 2) for _, n, data in sorted(got)]
-        code[at] = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
-        count[at] = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
-        return code, count
+    def answers(self, got: list[tuple[int, int, bytes]], columns: int) -> list[np.ndarray]:
+        """Numbers for each row asked about, in the order of shares()."""
+        parts = [unpack_ints(data, n, columns) for _, n, data in sorted(got)]
+        return [np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in range(columns)]
 
+    def pair_answers(self, rows: "Rows", got: list, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and counts of the pairs. Shards answer with counts, as pairs are the
+        contexts of threes; the code of a count is what their tries hold."""
+        counts, every = rows.n.copy(), rows.every.copy()
+        asked = self.shares(rows)[0]
+        counts[asked], every[asked] = self.answers(got, 2)
+        return rows.codes(counts, spread), counts, every
 
-def _shard(columns: int, spread: float) -> Callable:
+    def three_codes(self, rows: "Rows", got: list, spread: float) -> np.ndarray:
+        codes = rows.codes(rows.n, spread)
+        (codes[self.shares(rows)[0]],) = self.answers(got, 1)
+        return codes
+
+
+@dataclass
+class Rows:
+    """Distinct rows of a block: columns of global numbers, the block's counts of
+    training texts and of all, how often training texts hold the context, and whether
+    no other block's texts do."""
+
+    columns: list[np.ndarray]
+    n: np.ndarray
+    every: np.ndarray
+    met: np.ndarray
+    alone: np.ndarray
+
+    def codes(self, counts: np.ndarray, spread: float) -> np.ndarray:
+        return np.where((counts > 0) & (self.met > 0), code_of(counts, self.met, spread), ABSENT)
+
+
+def _shard(columns: int, spread: float, counts: bool) -> Callable:
     """Adds up the rows of all blocks, packs them into a trie and answers the blocks."""
 
     def run(group: pa.Table) -> pa.Table:
         sizes = group.column("n").to_numpy()
-        sent = [unpack_ints(d.as_py(), int(n), columns + 2) for n, d in zip(sizes, group.column("data"), strict=True)]
-        asked = [np.concatenate([m[k] for m in sent]) for k in range(columns + 2)]
-        rows, n, met = asked[:columns], asked[columns], asked[columns + 1]
+        sent = [unpack_ints(d.as_py(), int(n), columns + 3) for n, d in zip(sizes, group.column("data"), strict=True)]
+        asked = [np.concatenate([m[k] for m in sent]) for k in range(columns + 3)]
+        rows, (n, every, met) = asked[:columns], asked[columns:]
         order = np.lexsort(rows[::-1])
         new = np.zeros(len(order), bool)
         new[:1] = True
         for c in rows:
             new[1:] |= c[order][1:] != c[order][:-1]
         firsts = np.flatnonzero(new)
+        distinct = [c[order][firsts] for c in rows]
         total = np.add.reduceat(n[order], firsts)
-        held = firsts[total > 0]
-        total = total[total > 0]
-        packed = pack_trie([c[order][held] for c in rows], code_of(total, met[order][held], spread))
+        held = total > 0
+        packed = pack_trie([c[held] for c in distinct], code_of(total[held], met[order][firsts][held], spread))
         levels = mmap.mmap(-1, len(packed))
         levels.write(packed)
         trie = Trie(levels)
-        place = trie.find(rows)
-        code = np.where(place >= 0, trie.values[place] if len(total) else 0, ABSENT)
-        count = np.where(place >= 0, total[place] if len(total) else 0, 0)
+        place = trie.find(distinct)
+        if counts:
+            answer = [np.where(place >= 0, np.append(total[held], 0)[place], 0), np.add.reduceat(every[order], firsts)]
+        else:
+            answer = [np.where(place >= 0, np.append(trie.values, 0)[place], ABSENT)]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
         stops = np.cumsum(sizes)
-        data = [pack_ints([code[b - s : b], count[b - s : b]]) for s, b in zip(sizes, stops, strict=True)]
+        data = [pack_ints([x[at[b - s : b]] for x in answer]) for s, b in zip(sizes, stops, strict=True)]
         return pa.table({
             "block": group.column("block"), "shard": group.column("shard"), "n": group.column("n"), "data": pa.array(data, pa.binary()),
         })
@@ -289,31 +323,32 @@ def score_texts(
 
     # Counts of training tokens; the end of a text is the null word. Frequent words get small numbers.
     each = F.explode(F.array_append(common.words(common.ascii_lower(F.coalesce("text", F.lit("")))), F.lit(None).cast("string")))
-    counted = given.filter("train").select(each.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
+    counted = given.select(each.alias("word"), "train").groupBy("word").agg(F.count_if("train").alias("seen"), F.count(F.lit(1)).alias("every"))
     ranked = counted.repartitionByRange(F.desc("seen"), F.col("word")).sortWithinPartitions(F.desc("seen"), "word")
     words = common.written(ranked.withColumn("id", FIRST + F.monotonically_increasing_id()))
-    total, types, ends = words.agg(F.sum("seen"), F.count(F.lit(1)), F.max(F.when(F.col("word").isNull(), F.col("seen")))).first()
-    total, types, ends = total or 0, types or 0, ends or 0
+    end = [F.max(F.when(F.col("word").isNull(), F.col(c))) for c in ("seen", "every")]
+    total, types, *ends = (x or 0 for x in words.agg(F.sum("seen"), F.count_if(F.col("seen") > 0), *end).first())
     shards, hot = max(1, total // shard), shard // 2
 
     ints = T.StructType.fromDDL(f"doc bigint, block bigint, {PAYLOAD}")
     schema = T.StructType([T.StructField("row", given.schema["row"].dataType), *ints.fields])
     read = common.written(given.mapInArrow(_read(block), schema))
     blocks = read.filter(F.col("block").isNotNull())
-    known = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(words, "word", "left").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("seen", F.lit(0)).alias("seen")))).alias("known")
+    known = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(words, "word").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("seen") > 0, F.col("id")).otherwise(-1).alias("id"), "seen", "every"))).alias("known")
     )
-    known = common.written(known.select("block", F.col("known.id").alias("ids"), F.col("known.seen").alias("seen")))
+    known = common.written(known.select("block", F.col("known.id").alias("ids"), F.col("known.seen").alias("seen"), F.col("known.every").alias("every")))
     state = blocks.select("block", "n", "tokens", "docs", "sizes", "begins", "train").join(known, "block", "left")
 
     def events(r: dict) -> Events:
-        r["ids"], r["seen"] = r["ids"] or [], r["seen"] or []
+        for name in ("ids", "seen", "every"):
+            r[name] = r[name] or []
         return Events(r, ends, shards, hot)
 
-    def answered(r: dict, on: Events, rows: tuple, name: str) -> tuple[np.ndarray, np.ndarray]:
-        return on.answers(rows, [(x["shard"], x["n"], x["data"]) for x in r[name] or []])
+    def replies(r: dict, name: str) -> list[tuple[int, int, bytes]]:
+        return [(x["shard"], x["n"], x["data"]) for x in r[name] or []]
 
-    def sent(r: dict, rows: tuple, on: Events) -> Iterator[pa.RecordBatch]:
+    def sent(r: dict, rows: Rows, on: Events) -> Iterator[pa.RecordBatch]:
         made = list(on.messages(rows))
         for start in range(0, len(made), 1000):
             s, n, data = zip(*made[start : start + 1000], strict=True)
@@ -328,26 +363,26 @@ def score_texts(
 
     def send_threes(r: dict) -> Iterator[pa.RecordBatch]:
         on = events(r)
-        _, counts = answered(r, on, on.pair_rows(), "pairs")
-        yield from sent(r, on.three_rows(counts), on)
+        _, *counts = on.pair_answers(on.pair_rows(), replies(r, "pairs"), spread)
+        yield from sent(r, on.three_rows(*counts), on)
 
     def finish(r: dict) -> Iterator[pa.RecordBatch]:
         on = events(r)
-        code2, counts = answered(r, on, on.pair_rows(), "pairs")
-        three = on.three_rows(counts)
-        code3, _ = answered(r, on, three, "threes")
+        code2, *counts = on.pair_answers(on.pair_rows(), replies(r, "pairs"), spread)
+        three = on.three_rows(*counts)
+        code3 = on.three_codes(three, replies(r, "threes"), spread)
         p1 = (on.seen[on.w] + 1.0) / (total + types + 1.0)
         p = value_of(code2)[on.pair_at] + lower_share(on.seen[on.v], spread) * p1
         long = on.longer
-        p[long] = value_of(code3)[on.three_at] + lower_share(three[2], spread)[on.three_at] * p[long]
+        p[long] = value_of(code3)[on.three_at] + lower_share(three.met, spread)[on.three_at] * p[long]
         m = len(on.docs)
         summed = lambda x: np.bincount(on.part, x, m)
         columns = [np.bincount(on.part, minlength=m), np.bincount(on.part, on.seen[on.w] > 0, m).astype(np.int64), summed(np.log10(p1)), summed(np.log10(p))]
         yield pa.RecordBatch.from_arrays([pa.array(on.docs), *map(pa.array, columns)], ["doc", "n_tokens", "n_known", "base_score", "score"])
 
     def back(made: DataFrame, columns: int, name: str) -> DataFrame:
-        replies = made.groupBy("shard").applyInArrow(_shard(columns, spread), MESSAGE)
-        return replies.groupBy("block").agg(F.collect_list(F.struct("shard", "n", "data")).alias(name))
+        made = made.groupBy("shard").applyInArrow(_shard(columns, spread, columns == 2), MESSAGE)
+        return made.groupBy("block").agg(F.collect_list(F.struct("shard", "n", "data")).alias(name))
 
     run = lambda make: lambda batches: _by_block(batches, make)
     pairs = common.written(back(state.mapInArrow(run(send_pairs), MESSAGE), 2, "pairs"))

@@ -16,6 +16,7 @@ from ..config import DEFAULT, MOJIBAKE_REPAIRS, PII_PLACEHOLDERS, STRIPPED_TAG,
 from ..functions import text
 from ..functions.bloom import bloom, may_match
 from ..functions.canonical import column, row_hash
+from ..functions.mojibake import redecode
 from ..functions.order_stats import order_statistics
 from ..functions.spans import marked_parts, rebuilt, spans
 from . import chat, responses
@@ -75,7 +76,9 @@ def strip_tags(c: Column) -> Column:
 
 
 def repair_text(c: Column) -> Column:
-    """Known sequences of wrongly decoded text become what was meant."""
+    """Wrongly decoded text becomes what was meant: first whole stretches of UTF-8
+    bytes read as characters, then the known sequences that lost a byte on the way."""
+    c = redecode(c)
     for broken, meant in MOJIBAKE_REPAIRS:
         c = F.replace(c, F.lit(broken), F.lit(meant))
     return c

@@ -50,8 +50,12 @@ def strip_tags(spark, sf):
     return pages.select("page_id", F.md5(repair.strip_tags(F.col("html"))).alias("html_md5"))
 
 
+#: Latin-1, punctuation, a stretch of other letters, and text that is right as it is.
+BROKEN = " â€œcafÃ©â€\x9d â€“ itâ€™s fÃ¼r Ã¶l�Â crÃ¨me Ã±andÃº â‚¬5 â„¢ â€¦ Â°C Ð¿Ñ€Ð¸Ð²ÐµÑ‚ CAFÉ» Å’s"
+
+
 def repair_text(spark, sf):
-    broken = F.concat(F.col("text"), F.lit(" â€œcafÃ©â€\x9d â€“ itâ€™s fÃ¼r Ã¶l�Â crÃ¨me"))
+    broken = F.concat(F.col("text"), F.lit(BROKEN))
     return planted(spark, sf).select("doc_id", F.md5(repair.repair_text(broken)).alias("text_md5"))
 
 
@@ -178,8 +182,10 @@ PHONE = (
 
 
 def _repaired(c: str) -> str:
-    for broken, meant in REPAIRS:
-        c = f"replace({c}, '{broken}', '{meant}')"
+    read = lambda x: "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in x.encode())
+    meant = [*map(chr, range(0xA0, 0x100)), *"–—‘’“”„…•‹›€™", "привет"]
+    for broken, good in [*((read(m), m) for m in meant), *REPAIRS]:
+        c = f"replace({c}, '{broken}', '{good}')"
     return c
 
 
@@ -234,7 +240,7 @@ ORACLES = {
 SELECT doc_id, split FROM d WHERE split = 'train' OR k IS NULL OR NOT EXISTS (SELECT 1 FROM d t WHERE t.split = 'train' AND t.k = d.k)""",
     "drop_empty": f"WITH {PLANTED} SELECT doc_id, md5(text) AS text_md5 FROM planted WHERE NOT {blank('text')}",
     "strip_tags": "SELECT page_id, md5(regexp_replace(html, '</?[^>]+>', ' ', 'g')) AS html_md5 FROM pages",
-    "repair_text": f"WITH {PLANTED}, t AS (SELECT doc_id, text || ' â€œcafÃ©â€\x9d â€“ itâ€™s fÃ¼r Ã¶l�Â crÃ¨me' AS text FROM planted) SELECT doc_id, md5({_repaired('text')}) AS text_md5 FROM t",
+    "repair_text": f"WITH {PLANTED}, t AS (SELECT doc_id, text || '{BROKEN}' AS text FROM planted) SELECT doc_id, md5({_repaired('text')}) AS text_md5 FROM t",
     "within_budget": f"WITH {PLANTED} SELECT doc_id, md5(text) AS text_md5 FROM planted WHERE text IS NULL OR {tokens('text')} <= 512",
     "drop_empty_responses": f"WITH {PAIRED} SELECT conv_id, turn FROM pairs WHERE length(coalesce(output, '')) > 1",
     "coerce_mixed": f"""WITH {MIXED} SELECT k AS as_text, try_cast(k AS BIGINT) AS as_number, try_cast(num AS DOUBLE) AS as_double, count(*) AS rows

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +58,36 @@ def row_range(
     return df.filter(keep)
 
 
+def rows_by_position(spark: SparkSession, path: str, start: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows ``start`` to ``start + limit`` of a Parquet table that has no numbered key.
+
+    A row's position is its place in its file behind the rows of all files before it
+    in path order. Counts per file come from the footers, their running sums tell
+    which files hold the range, and only those are opened; within them only the first
+    and the last need a look at row numbers. Nothing is sorted but file names.
+    """
+    table = spark.read.parquet(path)
+    start = max(start, 0)
+    if start == 0 and limit is None:
+        return table
+    files = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    placed = files.withColumn("end", F.sum("rows").over(W.orderBy("file"))).withColumn("begin", F.col("end") - F.col("rows"))
+    inside = F.col("end") > start
+    if limit is not None:
+        inside = inside & (F.col("begin") < start + limit)
+    ends = placed.filter(inside).orderBy("begin").select("file", "begin").collect()
+    if not ends or limit == 0:
+        return table.limit(0)
+    # Paths of the metadata column are encoded as in addresses; readers take them plain.
+    read = spark.read.schema(table.schema).option("basePath", path).parquet(*[unquote(r["file"]) for r in ends])
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    first, last = ends[0], ends[-1]
+    kept = (file != first["file"]) | (row >= start - first["begin"])
+    if limit is not None:
+        kept = kept & ((file != last["file"]) | (row < start + limit - last["begin"]))
+    return read.filter(kept)
+
+
 def _bytes(df: DataFrame, name: str) -> Column:
     c, dtype = column(name), type_of(df, name)
     if isinstance(dtype, (T.StringType, T.BinaryType)):

@@ -600,6 +600,7 @@ ORACLES = {
     "parquet_scan": DOCS,
     "split_union": "SELECT doc_id, text, 'train' AS split, NULL::BIGINT AS item_id FROM documents UNION ALL "
     "SELECT NULL, text, 'test', item_id FROM benchmark",
+    "row_positions": "SELECT md5(text) AS text_md5, lang, source FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 450 OFFSET 100)",
     "row_range": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang "
     "ORDER BY doc_id) AS r FROM documents) WHERE r BETWEEN 11 AND 60",
     "split_metadata": f"SELECT {SPLIT} AS split, count(*)::BIGINT AS rows, 5::BIGINT AS cols, "

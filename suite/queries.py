@@ -242,6 +242,14 @@ def row_range(spark, sf):
     return ranges.row_range(docs, "doc_id", 10, 50, "lang", small=20)
 
 
+def row_positions(spark, sf):
+    """Documents without their ids, by their place in files."""
+    path = scratch(spark)
+    docs = table(spark, sf, "documents").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    docs.select("text", "lang", "source").write.parquet(path)
+    return ranges.rows_by_position(spark, path, 100, 450).select(F.md5("text").alias("text_md5"), "lang", "source")
+
+
 def split_metadata(spark, sf):
     return ranges.split_metadata(split_documents(spark, sf))
 
@@ -543,7 +551,7 @@ def issues(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range,
+        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range, row_positions,
         split_metadata, primary_split, report_sink, normalised_text, row_flags, flag_counts,
         text_quality, html_pages, pii_by_source, pii_counts, toxicity, over_budget, repetition,
         openings, opening_words, text_columns, schema_report, missingness, fully_empty_rows,

@@ -600,6 +600,11 @@ ORACLES = {
     "parquet_scan": DOCS,
     "split_union": "SELECT doc_id, text, 'train' AS split, NULL::BIGINT AS item_id FROM documents UNION ALL "
     "SELECT NULL, text, 'test', item_id FROM benchmark",
+    "sketched_cardinality": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c})::BIGINT AS exact, true AS near FROM documents" for c in ("doc_id", "text", "source", "n_chars")
+    ),
+    "sketched_quantiles": "SELECT c AS \"column\", p::DOUBLE AS share, true AS near FROM (SELECT unnest(['n_chars', 'doc_id']) AS c), "
+    "(SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS p)",
     "row_positions": "SELECT md5(text) AS text_md5, lang, source FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 450 OFFSET 100)",
     "row_range": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang "
     "ORDER BY doc_id) AS r FROM documents) WHERE r BETWEEN 11 AND 60",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rowgauge.config import AuditConfig
 from rowgauge.functions import safety, text
-from rowgauge.operators import chat, corpus, leakage, numeric, profile, responses, summary, types
+from rowgauge.operators import chat, corpus, leakage, numeric, profile, responses, sketches, summary, types
 from rowgauge.operators import flags as flag_ops
 from rowgauge.plans import audit as audit_plan
 from rowgauge.plans import checks as check_plan
@@ -390,6 +390,28 @@ def class_balance_lineitem(spark, sf):
     return profile.class_balance(table(spark, sf, "lineitem"))
 
 
+def sketched_cardinality(spark, sf):
+    """Sketches kept per language and merged, next to the exact numbers."""
+    docs = table(spark, sf, "documents")
+    kept = sketches.merged(sketches.column_sketches(docs, "lang"))
+    exact = profile.cardinality(docs).select("column", F.col("unique").alias("exact"))
+    near = F.abs(F.col("unique") - F.col("exact")) <= F.col("exact") * sketches.DISTINCT_ERROR
+    return sketches.approximate_cardinality(kept).join(exact, "column").select("column", "exact", near.alias("near"))
+
+
+def sketched_quantiles(spark, sf):
+    """Quantiles of merged sketches, by how many values lie below and up to them."""
+    docs = table(spark, sf, "documents").select("lang", "n_chars", "doc_id")
+    kept = sketches.merged(sketches.column_sketches(docs, "lang"))
+    found = sketches.approximate_quantiles(kept, (0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+    values = docs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in ("n_chars", "doc_id")])))
+    ranks = values.join(F.broadcast(found), "column").groupBy("column", "share").agg(
+        F.avg((F.col("v") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("int")).alias("upto")
+    )
+    near = (F.col("below") - sketches.RANK_ERROR <= F.col("share")) & (F.col("share") <= F.col("upto") + sketches.RANK_ERROR)
+    return ranks.select("column", "share", near.alias("near"))
+
+
 def duplicates(spark, sf):
     docs = near_copies(spark, sf)
     return profile.duplicates(docs, ["text"])
@@ -551,7 +573,7 @@ def issues(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range, row_positions,
+        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range, row_positions, sketched_cardinality, sketched_quantiles,
         split_metadata, primary_split, report_sink, normalised_text, row_flags, flag_counts,
         text_quality, html_pages, pii_by_source, pii_counts, toxicity, over_budget, repetition,
         openings, opening_words, text_columns, schema_report, missingness, fully_empty_rows,

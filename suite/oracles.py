@@ -620,6 +620,7 @@ ORACLES = {
     f"coalesce({tokens('text')} > 8192 AND text IS NOT NULL, false) AS over_budget, r.doc_id IS NOT NULL AS repetitive "
     "FROM planted p LEFT JOIN repetitive r ON p.doc_id = r.doc_id",
     "flag_counts": _flag_counts(),
+    "stream_flag_counts": _flag_counts(),
     "text_quality": f"WITH {PLANTED} " + _quality_select("text", "planted"),
     "html_pages": _quality_select("url", "pages") + " UNION ALL " + _quality_select("html", "pages"),
     "pii_by_source": f"SELECT source, {count_flags(pii('text'))} FROM documents GROUP BY source",

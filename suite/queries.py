@@ -22,6 +22,7 @@ from rowgauge.plans import checks as check_plan
 from rowgauge.plans import score as score_plan
 from rowgauge.sources import manifest, ranges, readers
 from rowgauge.sources import sinks
+from rowgauge.streaming.files import count_stream, counted, read_stream
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -390,6 +391,15 @@ def class_balance_lineitem(spark, sf):
     return profile.class_balance(table(spark, sf, "lineitem"))
 
 
+def stream_flag_counts(spark, sf):
+    """flag_counts by a stream that reads the table's files two at a time."""
+    folder = scratch(spark)
+    planted(spark, sf).repartition(5, "doc_id").write.parquet(folder + "/in")
+    stream = read_stream(spark, folder + "/in", "parquet", spark.read.parquet(folder + "/in").schema, max_files=2)
+    count_stream(stream, ["text", "source"], folder + "/out", folder + "/state").awaitTermination()
+    return counted(spark, folder + "/out")
+
+
 def sketched_cardinality(spark, sf):
     """Sketches kept per language and merged, next to the exact numbers."""
     docs = table(spark, sf, "documents")
@@ -573,7 +583,7 @@ def issues(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range, row_positions, sketched_cardinality, sketched_quantiles,
+        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range, row_positions, stream_flag_counts, sketched_cardinality, sketched_quantiles,
         split_metadata, primary_split, report_sink, normalised_text, row_flags, flag_counts,
         text_quality, html_pages, pii_by_source, pii_counts, toxicity, over_budget, repetition,
         openings, opening_words, text_columns, schema_report, missingness, fully_empty_rows,

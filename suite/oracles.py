@@ -605,6 +605,8 @@ ORACLES = {
     ),
     "sketched_quantiles": "SELECT c AS \"column\", p::DOUBLE AS share, true AS near FROM (SELECT unnest(['n_chars', 'doc_id']) AS c), "
     "(SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS p)",
+    "own_flags": "SELECT doc_id, len(string_split(text, ' '))::BIGINT AS tokens, len(string_split(text, ' ')) > 300 AS over_budget, "
+    "contains(text, '!') AS exclaims, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(he|she|it)($|[^\\p{L}\\p{N}_])') AS toxicity_pronouns FROM documents",
     "row_positions": "SELECT md5(text) AS text_md5, lang, source FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 450 OFFSET 100)",
     "row_range": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang "
     "ORDER BY doc_id) AS r FROM documents) WHERE r BETWEEN 11 AND 60",

@@ -391,6 +391,18 @@ def class_balance_lineitem(spark, sf):
     return profile.class_balance(table(spark, sf, "lineitem"))
 
 
+#: A caller's own flag, keywords, and tokens by words instead of characters.
+OWN = AuditConfig(
+    extra_flags={"exclaims": lambda c: c.contains("!")}, keywords={"pronouns": ("he", "she", "it")}, pii_patterns={},
+    token_count=lambda c: F.size(F.split(c, " ")).cast("bigint"), token_budget=300,
+)
+
+
+def own_flags(spark, sf):
+    found = flag_ops.row_flags(table(spark, sf, "documents"), "text", ["doc_id"], OWN, repetition=False)
+    return found.select("doc_id", "tokens", "over_budget", "exclaims", "toxicity_pronouns")
+
+
 def stream_flag_counts(spark, sf):
     """flag_counts by a stream that reads the table's files two at a time."""
     folder = scratch(spark)
@@ -583,7 +595,7 @@ def issues(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range, row_positions, stream_flag_counts, sketched_cardinality, sketched_quantiles,
+        source_manifest, csv_scan, tsv_scan, jsonl_scan, json_document_scan, parquet_scan, split_union, row_range, row_positions, own_flags, stream_flag_counts, sketched_cardinality, sketched_quantiles,
         split_metadata, primary_split, report_sink, normalised_text, row_flags, flag_counts,
         text_quality, html_pages, pii_by_source, pii_counts, toxicity, over_budget, repetition,
         openings, opening_words, text_columns, schema_report, missingness, fully_empty_rows,

@@ -2,9 +2,11 @@
 
 A task counts phrases in a trie over word ids whose first level holds hash
 containers: a container maps the rest of a phrase to its count, and one that grows
-too large bursts into a node of smaller containers, one per next word. When a task
+too large bursts into a node of smaller containers, one per next word. Containers
+of pairs are hybrid, each for a range of first words. When a task
 holds too many entries its largest subtrees leave as sorted runs, each under its
-prefix. Runs are shuffled by prefix and merged there, so what a task holds is
+prefix. Runs are shuffled by buckets of prefixes, a row for each bucket whatever the
+number of prefixes, and merged there, so what a task holds is
 bounded, prefixes are stored once a run, and every count is exact.
 
 Phrases are counted by length: words, then two words, then three and four. A
@@ -26,7 +28,6 @@ Results in odd cases
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,12 +43,13 @@ from pyspark.sql import functions as F
 from rowgauge.llm import common
 
 LONGEST = 4
-#: Words and ends of pieces.
-TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
-ENDERS = ".,;:!?\n\x0b\x0c\r"
+#: Ends of pieces, as bytes; the first stands for all.
+ENDERS = [bytes([b]) for b in b".,;:!?\n\x0b\x0c\r"]
 ENDS = r"[\x20\x09.,;:!?\x0A-\x0D]+"
 #: Bits of a word number in an entry's key; Limits.words + 2 * Limits.batch numbers fit.
 WIDTH = 21
+#: First words of a container of pairs, as a power of 2.
+SPAN = 8
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,7 @@ class Limits:
     batch: int = 750_000  #: words looked at together
     hot: int = 1000  #: a prefix with more than one in `hot` of all words is merged in parts
     parts: int = 64
+    buckets: int = 2048  #: of prefixes, that runs are shuffled by
 
 
 COUNTED = "lang string, phrase string, size int, n bigint"
@@ -87,19 +90,27 @@ def bit_map(counted: DataFrame, bits: int) -> bytes:
     return held.tobytes()
 
 
-def lowered(text: str) -> str:
-    """A-Z to a-z and nothing else, which is what lower() does to bytes."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def tokens_of(text: str) -> list[bytes]:
+    """Words and ends of pieces, with A-Z in lower case. Methods of bytes know ASCII
+    alone: lower() A-Z, split() the white space [\\x20\\x09-\\x0D]."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    for end in ENDERS:
+        if end in data:
+            data = data.replace(end, b" . ")
+    return data.split()
 
 
 class HatTrie:
-    """Counts of phrases of word numbers: first word, then containers of the rest.
+    """Counts of phrases of word numbers: first words, then containers of the rest.
 
     The rest is one integer, WIDTH bits a word from the high end on, 0 for no word.
+    With a span, a container is for 2 ** span first words, whose low bits come first
+    in its keys; there must be room for them.
     """
 
-    def __init__(self, depth: int, burst: int):
-        self.depth, self.burst = depth, burst
+    def __init__(self, depth: int, burst: int, span: int = 0):
+        self.depth, self.burst, self.span = depth, burst, span
+        self.low = WIDTH * (depth - 1)
         self.root: dict[int, Counter | dict] = {}
         self.sizes: Counter = Counter()
 
@@ -107,52 +118,62 @@ class HatTrie:
         return sum(self.sizes.values())
 
     def add(self, first: np.ndarray, rest: np.ndarray) -> None:
-        order = np.lexsort((rest, first))
-        first, rest = first[order], rest[order]
-        starts = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(first) else []
-        stops = np.append(starts[1:], len(first)) if len(first) else []
-        for start, stop in zip(starts, stops, strict=True):
-            self._add(int(first[start]), rest[start:stop])
-
-    def _add(self, word: int, rest: np.ndarray) -> None:
-        held = self.root.get(word)
+        if not len(first):
+            return
+        if self.span:
+            whole = np.sort(first << self.low | rest)
+            top, keys = whole >> (self.low + self.span), whole & (2 ** (self.low + self.span) - 1)
+        else:
+            order = np.lexsort((rest, first))
+            top, keys = first[order], rest[order]
+        starts = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+        for start, stop in zip(starts.tolist(), np.append(starts[1:], len(top)).tolist(), strict=True):
+            self._add(int(top[start]), keys[start:stop])
+
+    def _add(self, at: int, keys: np.ndarray) -> None:
+        held = self.root.get(at)
         if held is None:
-            held = self.root[word] = Counter()
+            held = self.root[at] = Counter()
         if isinstance(held, Counter):
             before = len(held)
-            held.update(rest.tolist())
-            self.sizes[word] += len(held) - before
+            held.update(keys.tolist())
+            self.sizes[at] += len(held) - before
             if len(held) > self.burst and self.depth > 2:
                 node: dict[int, Counter] = {}
                 shift = WIDTH * (self.depth - 2)
                 for key, n in held.items():
                     node.setdefault(key >> shift, Counter())[key] = n
-                self.root[word] = node
+                self.root[at] = node
             return
-        nexts = rest >> (WIDTH * (self.depth - 2))
+        nexts = keys >> (WIDTH * (self.depth - 2))
         starts = np.flatnonzero(np.append(True, nexts[1:] != nexts[:-1]))
-        for start, stop in zip(starts, np.append(starts[1:], len(rest)), strict=True):
+        for start, stop in zip(starts, np.append(starts[1:], len(keys)), strict=True):
             inner = held.get(int(nexts[start]))
             if inner is None:
                 inner = held[int(nexts[start])] = Counter()
             before = len(inner)
-            inner.update(rest[start:stop].tolist())
-            self.sizes[word] += len(inner) - before
+            inner.update(keys[start:stop].tolist())
+            self.sizes[at] += len(inner) - before
 
-    def take(self, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def take(self, chosen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Remove whole subtrees: first words, keys of the rest in order, counts."""
         held, owner = [], []
-        for word in words:
-            del self.sizes[word]
-            top = self.root.pop(word)
+        for at in chosen:
+            del self.sizes[at]
+            top = self.root.pop(at)
             inner = [top] if isinstance(top, Counter) else list(top.values())
             held += inner
-            owner += [word] * len(inner)
+            owner += [at] * len(inner)
         sizes = np.array([len(c) for c in held], np.int64)
         n = int(sizes.sum())
         first = np.repeat(np.array(owner, np.int64), sizes)
         keys = np.fromiter(chain.from_iterable(held), np.int64, n)
         counts = np.fromiter(chain.from_iterable(c.values() for c in held), np.int64, n)
+        if self.span:
+            whole = first << (self.low + self.span) | keys
+            order = np.argsort(whole)
+            whole = whole[order]
+            return whole >> self.low, whole & (2**self.low - 1), counts[order]
         order = np.lexsort((keys, first))
         return first[order], keys[order], counts[order]
 
@@ -168,15 +189,15 @@ class HatTrie:
 
 
 class Numbers(dict):
-    """word -> its number in one language; 0 if it is ruled out or ends a piece."""
+    """word, as bytes -> its number in one language; 0 if it is ruled out or ends a piece."""
 
-    def __init__(self, lang: str, words: list[str], langs: list[str], marks: list[int], allowed: np.ndarray, room: int):
+    def __init__(self, lang: str, words: list[bytes], langs: list[str], marks: list[int], allowed: np.ndarray, room: int):
         super().__init__(dict.fromkeys(ENDERS, 0))
         self.lang, self.words, self.langs, self.marks, self.allowed, self.room = lang, words, langs, marks, allowed, room
         self.ruled_out, self.of_lang = 0, marked(lang, "")
 
-    def __missing__(self, word: str) -> int:
-        mark = zlib.crc32(word.encode("utf-8", "surrogatepass"), self.of_lang)
+    def __missing__(self, word: bytes) -> int:
+        mark = zlib.crc32(word, self.of_lang)
         bit = mark % (8 * len(self.allowed))
         if self.allowed[bit >> 3] >> (bit & 7) & 1:
             number = self[word] = len(self.words)
@@ -203,11 +224,11 @@ class Miner:
         self.pairs, self.hot, self.limits = max(sizes) == 2, hot, limits
         self.allowed = memoryview(words_allowed)
         self.pairs_allowed = None if pairs_allowed is None else np.frombuffer(pairs_allowed, np.uint8)
-        self.trie = HatTrie(max(sizes), limits.burst)
+        self.trie = HatTrie(max(sizes), limits.burst, SPAN if self.pairs else 0)
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.langs, self.marks = [""], [""], [0]
+        self.words, self.langs, self.marks = [b""], [""], [0]
         self.known: dict[str, Numbers] = {}
 
     def read(self, texts: list[str | None], langs: list[str | None]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +237,7 @@ class Miner:
         size = self.limits.batch
         for text, lang in zip(texts, langs, strict=True):
             lang = "und" if lang is None else lang
-            tokens = TOKEN.findall(lowered(text or ""))
+            tokens = tokens_of(text or "")
             # A long text goes in parts; each begins again with the last words of the one before.
             for start in range(0, len(tokens), size):
                 known = self._numbers(lang)
@@ -263,13 +284,27 @@ class Miner:
 
     def spill(self, leave: int) -> Iterator[pa.RecordBatch]:
         """Runs of the largest subtrees, so that `leave` entries stay."""
-        chosen = self.trie.largest(leave)
-        for start in range(0, len(chosen), 20_000):
-            yield self._runs(*self.trie.take(chosen[start : start + 20_000]))
+        chosen, some, n = self.trie.largest(leave), [], 0
+        for at in chosen:
+            some.append(at)
+            n += self.trie.sizes[at]
+            if n >= 400_000 or at == chosen[-1]:
+                yield self._runs(*self.trie.take(some))
+                some, n = [], 0
+
+    def _hot(self) -> np.ndarray:
+        """The hot prefixes as numbers."""
+        got = []
+        for lang, prefix in self.hot:
+            known = self.known.get(lang, {})
+            numbers = [known.get(w, 0) for w in prefix.encode("utf-8", "surrogatepass").split(b" ")]
+            if all(numbers):
+                got.append(numbers[0] if self.pairs else numbers[0] << WIDTH | numbers[1])
+        return np.array(got, np.int64)
 
     def _runs(self, first: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        """One row per prefix, with what follows it in order and how often."""
-        words = pa.array(self.words, pa.string())
+        """One row per bucket, with its prefixes, what follows each in order and how often."""
+        words = pa.array(self.words, pa.binary()).cast(pa.string())
         low = 2**WIDTH - 1
         if self.pairs:
             second, group = np.zeros(len(first), np.int64), first
@@ -288,32 +323,31 @@ class Miner:
             third, fourth = (words.take(pa.array(x)) for x in (keys >> WIDTH & low, keys & low))
             suffix = pc.if_else(pa.array(is_four), pc.binary_join_element_wise(third, fourth, " "), third)
             group = (first << WIDTH) | second
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        named = lambda at: (self.langs[first[at]], " ".join([self.words[first[at]], *([] if self.pairs else [self.words[second[at]]])]))
-        names = [named(at) for at in starts.tolist()]
-        part = np.zeros(len(group), np.int32)
-        if self.hot:
-            hot = np.repeat([n in self.hot for n in names], np.diff(np.append(starts, len(group))))
-            at = np.flatnonzero(hot)
-            part[at] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % self.limits.parts for x in suffix.take(pa.array(at)).to_pylist()]
-            order = np.lexsort((part, np.cumsum(np.isin(np.arange(len(group)), starts))))
-            group, part, counts, suffix = group[order], part[order], counts[order], suffix.take(pa.array(order))
-            first, second = first[order], second[order]
-            starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
-            names = [named(at) for at in starts.tolist()]
+        part = np.zeros(len(group), np.int64)
+        at = np.flatnonzero(np.isin(group, self._hot()))
+        part[at] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % self.limits.parts for x in suffix.take(pa.array(at)).to_pylist()]
+        marks = np.array(self.marks, np.int64)
+        bucket = ((marks[first] if self.pairs else marks[first] * TIMES + marks[second]) + 40_503 * part) % self.limits.buckets
+        order = np.lexsort((part, group, bucket)) if len(at) else np.argsort(bucket, kind="stable")
+        bucket, group, part, first, second, counts = (x[order] for x in (bucket, group, part, first, second, counts))
+        suffix = suffix.take(pa.array(order))
+        changes = lambda *x: np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in x])))
+        starts = changes(bucket, group, part)
         offsets = pa.array(np.append(starts, len(group)), pa.int32())
         joined = lambda x, sep: pc.binary_join(pa.ListArray.from_arrays(offsets, x), sep)
-        langs, prefixes = zip(*names, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(langs, pa.string()), pa.array(prefixes, pa.string()), pa.array(part[starts], pa.int32()),
-                joined(suffix, "\n"), joined(pc.cast(pa.array(counts), pa.string()), ","),
-            ],
-            ["lang", "prefix", "part", "suffixes", "counts"],
+        prefix = words.take(pa.array(first[starts]))
+        if not self.pairs:
+            prefix = pc.binary_join_element_wise(prefix, words.take(pa.array(second[starts])), " ")
+        langs = pa.array([self.langs[x] for x in first[starts].tolist()], pa.string())
+        runs = pa.StructArray.from_arrays(
+            [langs, prefix, joined(suffix, "\n"), joined(pc.cast(pa.array(counts), pa.string()), ",")], ["lang", "prefix", "suffixes", "counts"]
         )
+        firsts = changes(bucket[starts])
+        rows = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(starts)), pa.int32()), runs)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts][firsts], pa.int32()), rows], ["bucket", "runs"])
 
 
-RUNS = "lang string, prefix string, part int, suffixes string, counts string"
+RUNS = "bucket int, runs array<struct<lang string, prefix string, suffixes string, counts string>>"
 
 
 def merged_runs(df: DataFrame, sizes: tuple[int, ...], words: bytes, pairs: bytes | None, hot: set, least: int, limits: Limits) -> DataFrame:
@@ -326,10 +360,10 @@ def merged_runs(df: DataFrame, sizes: tuple[int, ...], words: bytes, pairs: byte
             yield from miner.read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         yield from miner.spill(0)
 
-    runs = df.mapInArrow(run, RUNS).repartition("lang", "prefix", "part")
-    split = runs.select("lang", "prefix", "part", F.split("suffixes", "\n").alias("suffix"), F.split("counts", ",").alias("n"))
-    entries = split.select("lang", "prefix", "part", F.explode(F.arrays_zip("suffix", "n")).alias("e"))
-    summed = entries.groupBy("lang", "prefix", "part", F.col("e.suffix").alias("suffix")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+    runs = df.mapInArrow(run, RUNS).repartition("bucket").select("bucket", F.inline("runs"))
+    split = runs.select("bucket", "lang", "prefix", F.split("suffixes", "\n").alias("suffix"), F.split("counts", ",").alias("n"))
+    entries = split.select("bucket", "lang", "prefix", F.explode(F.arrays_zip("suffix", "n")).alias("e"))
+    summed = entries.groupBy("bucket", "lang", "prefix", F.col("e.suffix").alias("suffix")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
     phrase = F.concat_ws(" ", "prefix", "suffix")
     return summed.filter(F.col("n") >= least).select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "n")
 

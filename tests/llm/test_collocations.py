@@ -97,3 +97,39 @@ def test_trie_spills_whole_subtrees():
     assert rows == sorted(rows)
     assert dict(zip(rows, counts.tolist(), strict=True)) == {k: n for k, n in want.items() if k[0] in gone}
     assert len(trie) == sum(f not in gone for f, _ in want) <= len(want) // 2
+
+
+@pytest.mark.parametrize("pairs", [True, False])
+def test_runs_have_a_row_for_a_bucket_not_a_prefix(pairs):
+    """What is shuffled does not grow with the number of prefixes."""
+    limits = collocations.Limits(bits=512, buckets=4)
+    every = bytes([255]) * (limits.bits // 8)
+    miner = collocations.Miner((2,) if pairs else (3, 4), every, None if pairs else every, set(), limits)
+    text = " ".join(f"w{i * i % 211}" for i in range(3000))
+    batches = [*miner.read([text], ["en"]), *miner.spill(0)]
+    assert sum(b.num_rows for b in batches) <= limits.buckets * len(batches)
+    got = Counter()
+    for b in batches:
+        for row in b.to_pylist():
+            for run in row["runs"]:
+                for suffix, n in zip(run["suffixes"].split("\n"), run["counts"].split(","), strict=True):
+                    got[f"{run['prefix']} {suffix}"] += int(n)
+    words = text.split()
+    assert got == Counter(" ".join(words[i : i + k]) for k in ((2,) if pairs else (3, 4)) for i in range(len(words) - k + 1))
+
+
+def test_hybrid_containers_give_back_pairs():
+    rng = np.random.default_rng(2)
+    trie, want = collocations.HatTrie(2, burst=8, span=collocations.SPAN), Counter()
+    for _ in range(3):
+        first, rest = rng.integers(1, 2000, 900), rng.integers(1, 50, 900)
+        trie.add(first, rest)
+        want.update(zip(first.tolist(), rest.tolist(), strict=True))
+    assert len(trie.root) <= (2000 >> collocations.SPAN) + 1
+    first, keys, counts = trie.take(trie.largest(0))
+    rows = list(zip(first.tolist(), keys.tolist(), strict=True))
+    assert rows == sorted(rows) and dict(zip(rows, counts.tolist(), strict=True)) == want and len(trie) == 0
+
+
+def test_words_are_cut_at_ascii_white_space_and_ends_alone():
+    assert collocations.tokens_of("A\u00a0B\x1fc,D\x0bE\u2003\tÉ!") == ["a\u00a0b\x1fc".encode(), b".", b"d", b".", "e\u2003".encode(), "É".encode(), b"."]

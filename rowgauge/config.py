@@ -15,6 +15,10 @@ WS_SET = (
 )
 WS = f"[{WS_SET}]"
 NOT_WS = f"[^{WS_SET}]"
+# Runs of white space, but for lone spaces before an ordinary character. Most
+# characters fail the first, narrow set and never meet the wide one.
+ORDINARY = r"!-~\xa1-\x{167f}"
+WS_RUN = f"(?![!-~])(?! [{ORDINARY}]){WS}+"
 WORD_SET = r"\p{L}\p{N}_"
 WORD = f"[{WORD_SET}]"
 DIGIT = r"\p{Nd}"

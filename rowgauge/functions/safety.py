@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PII_PATTERNS, SEARCH_FORMS, WORD_SET, AuditConfig
-from .text import contains_any
+from .text import bind, contains_any
 
 
 def has_luhn_number(text: Column, pattern: str) -> Column:
@@ -90,9 +90,13 @@ def has_keyword(lowered: Column, words: Sequence[str]) -> Column:
 def keyword_flags(
     text: Column, keywords: Mapping[str, Sequence[str]] | None = None
 ) -> dict[str, Column]:
-    """Per category: does a listed word occur in the lower-cased text?"""
-    lowered = F.lower(text)
+    """Per category: does a listed word occur in the lower-cased text?
+
+    Texts are lower-cased once a category, not once a word.
+    """
     words_of = DEFAULT.keywords if keywords is None else keywords
-    return {
-        category: has_keyword(lowered, words) for category, words in words_of.items()
-    }
+
+    def flag(words: Sequence[str]) -> Column:
+        return bind(F.lower(text), lambda lowered: has_keyword(lowered, words))
+
+    return {category: flag(words) for category, words in words_of.items()}

@@ -8,12 +8,15 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, NOT_WS, SEARCH_FORMS, WS, AuditConfig
+from ..config import DEFAULT, MULTI_WS, NOT_WS, SEARCH_FORMS, WS, WS_RUN, AuditConfig
 
 
 def normalise(text: Column) -> Column:
-    """One space for every run of whitespace, stripped, lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(text, WS + "+", " ")))
+    """One space for every run of whitespace, stripped, lower-cased.
+
+    Runs that are one space already are passed over, not replaced by themselves.
+    """
+    return F.lower(F.trim(F.regexp_replace(text, WS_RUN, " ")))
 
 
 def normal_hash(text: Column) -> Column:
@@ -36,7 +39,11 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
 
 def has_odd_whitespace(text: Column, cfg: AuditConfig = DEFAULT) -> Column:
     first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
-    return text.rlike(SEARCH_FORMS.get(cfg.multi_ws, cfg.multi_ws)) | first.rlike(WS) | last.rlike(WS)
+    runs = text.rlike(SEARCH_FORMS.get(cfg.multi_ws, cfg.multi_ws))
+    if cfg.multi_ws == MULTI_WS:
+        # Such a run holds one of these; looking for them rules out most texts.
+        runs = contains_any(text, ("  ", "\t", "\n\n\n\n")) & runs
+    return runs | first.rlike(WS) | last.rlike(WS)
 
 
 def token_estimate(text: Column, cfg: AuditConfig = DEFAULT) -> Column:

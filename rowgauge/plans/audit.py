@@ -118,10 +118,14 @@ def _slim_table(df, row_id, text_cols, fmt, pair, cfg):
 
 def _leaked(slim, primary, rest, names):
     """Leaked rows per split; the training split's keys are in the slim table, the
-    other splits' are read in one scan however many there are."""
+    other splits' are made in one scan however many there are, and kept meanwhile."""
     keys = slim.select(F.lit(primary).alias("split"), column("near/0").alias("key"))
     other = rest.select("split", F.unhex(text.normal_hash(F.col("text"))).alias("key"))
-    return leaked_keys(keys.unionAll(other), [primary, *names])
+    other = other.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return leaked_keys(keys.unionAll(other), [primary, *names]).collect()
+    finally:
+        other.unpersist()
 
 
 def _lengths(slim: DataFrame, text_cols) -> dict:
@@ -190,7 +194,7 @@ def table_stats(
         dup = {(r["kind"], r["column"]): r for r in repeated}
         if others and text_cols and training_split([primary]):
             names, rest = others(text_cols[0])
-            leaks = _leaked(slim, primary, rest, names).collect() if names else []
+            leaks = _leaked(slim, primary, rest, names) if names else []
     finally:
         slim.unpersist()
 

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rowgauge import config
 from rowgauge.config import AuditConfig
 from rowgauge.functions import safety, text
 from rowgauge.operators import flags as flag_ops
@@ -133,6 +134,19 @@ def test_normalise_tokens_opening(spark):
         assert r.o == " ".join(r.text.split()[:8])
 
 
+def test_lone_spaces_are_not_replaced(spark):
+    """Runs that are one space already cost no replacement; every other run is one match."""
+    texts = ["plain words only", " a", "a ", "a  b", "a \n b\u2003c", "x\x1f \u3000y z", "é à", "\u65e5 \u672c", " ", "", "a\x85 b \xa0"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = F.regexp_extract_all(F.col("text"), F.lit(config.WS_RUN), F.lit(0))
+    for r in df.select("text", found.alias("runs"), text.normalise(F.col("text")).alias("n")).collect():
+        runs = re.findall(r"\s+", r.text)
+        assert set(runs) - {" "} <= set(r.runs) <= set(runs)
+        assert r.n == re.sub(r"\s+", " ", r.text).strip().lower()
+    lone = df.filter("text = 'plain words only'").select(F.size(found)).first()[0]
+    assert lone == 0
+
+
 def test_half_even_tokens(spark):
     df = spark.createDataFrame([("x" * n,) for n in range(0, 30)], "text string")
     got = df.select(F.length("text").alias("n"), text.token_estimate(F.col("text")).alias("k")).collect()

@@ -30,9 +30,9 @@ Results in odd cases
 from __future__ import annotations
 
 import mmap
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,6 @@ from pyspark.sql import types as T
 from rowgauge.llm import common
 from rowgauge.llm.elias_fano import Trie, pack_trie
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Numbers of what is no word; words follow.
 NONE, BEGIN, END, FIRST = 0, 1, 2, 3
 #: Bits of a word's number within a block, tokens of a block, rows of a shard.
@@ -95,6 +93,19 @@ def mixed(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ with A-Z in lower case: methods of bytes know ASCII alone."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+class Numbers(dict):
+    """word, as bytes -> its number in a block, in the order of their coming."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = FIRST + len(self)
+        return number
+
+
 # -- blocks ------------------------------------------------------------------
 
 PAYLOAD = "words array<string>, n int, tokens binary, docs array<bigint>, sizes array<int>, begins array<boolean>, train array<boolean>"
@@ -110,26 +121,25 @@ def _read(room: int) -> Callable:
         kinds = [pa.list_(pa.string()), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
         names = [x.split()[0] for x in PAYLOAD.split(", ")]
         for batch in batches:
-            numbers: dict[str, int] = {}
+            numbers = Numbers()
             tokens: list[int] = []
             parts: list[tuple] = []
             blocks: list[tuple] = []
 
             def close(numbers, tokens, parts):
-                blocks.append((list(numbers), len(tokens), pack_ints([np.array(tokens, np.int64)]), *map(list, zip(*parts, strict=True))))
+                blocks.append((pa.array(list(numbers), pa.binary()).cast(pa.string()).to_pylist(), len(tokens), pack_ints([np.array(tokens, np.int64)]), *map(list, zip(*parts, strict=True))))
 
             for text, train in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                low = text.lower() if text and text.isascii() else (text or "").translate(LOWER)
-                words = WORD.findall(low)
+                words = words_of(text or "")
                 if tokens and len(tokens) + len(words) >= room:
                     close(numbers, tokens, parts)
-                    numbers, tokens, parts = {}, [], []
+                    numbers, tokens, parts = Numbers(), [], []
                 for start in range(0, max(1, len(words)), room):
                     if start:
                         close(numbers, tokens, parts)
-                        numbers, tokens, parts = {}, [], []
+                        numbers, tokens, parts = Numbers(), [], []
                     before = len(tokens)
-                    tokens.extend([numbers.setdefault(w, FIRST + len(numbers)) for w in words[max(0, start - 2) : start + room]])
+                    tokens.extend(map(numbers.__getitem__, words[max(0, start - 2) : start + room]))
                     if start + room >= len(words):
                         tokens.append(END)
                     parts.append((doc, len(tokens) - before, start == 0, train))
@@ -189,8 +199,19 @@ class Events:
         last = (starts + sizes)[(sizes > 1) & (tokens[starts + sizes - 1] != END)] - 1
         self.passed_on = (tokens[last - 1] << WIDTH) | tokens[last]
         self.longer = self.u != NONE
+
+    @cached_property
+    def _threes(self) -> tuple[np.ndarray, np.ndarray]:
         threes = (self.v << (2 * WIDTH)) | (self.u << WIDTH) | self.w
-        self.threes, self.three_at = np.unique(threes[self.longer], return_inverse=True)
+        return np.unique(threes[self.longer], return_inverse=True)
+
+    @property
+    def threes(self) -> np.ndarray:
+        return self._threes[0]
+
+    @property
+    def three_at(self) -> np.ndarray:
+        return self._threes[1]
 
     def pair_rows(self) -> "Rows":
         v, w = self.pairs >> WIDTH, self.pairs & (2**WIDTH - 1)
@@ -304,7 +325,13 @@ MESSAGE = "block bigint, shard bigint, n int, data binary"
 def _by_block(batches: Iterator[pa.RecordBatch], make: Callable[[dict], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            yield from make(batch.slice(r, 1).to_pylist()[0])
+            cells = {name: column[r] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            yield from make({name: cell.values.to_numpy(zero_copy_only=False) if _is_numbers(cell) else cell.as_py() for name, cell in cells.items()})
+
+
+def _is_numbers(cell: pa.Scalar) -> bool:
+    """A list of numbers, which need not become Python's."""
+    return cell.is_valid and pa.types.is_list(cell.type) and pa.types.is_primitive(cell.type.value_type)
 
 
 def score_texts(
@@ -337,12 +364,13 @@ def score_texts(
     known = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(words, "word").groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("seen") > 0, F.col("id")).otherwise(-1).alias("id"), "seen", "every"))).alias("known")
     )
-    known = common.written(known.select("block", F.col("known.id").alias("ids"), F.col("known.seen").alias("seen"), F.col("known.every").alias("every")))
-    state = blocks.select("block", "n", "tokens", "docs", "sizes", "begins", "train").join(known, "block", "left")
+    known = known.select("block", F.col("known.id").alias("ids"), F.col("known.seen").alias("seen"), F.col("known.every").alias("every"))
+    # Written joined: each pass reads it, and only the blocks move to meet their answers.
+    state = common.written(blocks.select("block", "n", "tokens", "docs", "sizes", "begins", "train").join(known, "block", "left"))
 
     def events(r: dict) -> Events:
         for name in ("ids", "seen", "every"):
-            r[name] = r[name] or []
+            r[name] = [] if r[name] is None else r[name]
         return Events(r, ends, shards, hot)
 
     def replies(r: dict, name: str) -> list[tuple[int, int, bytes]]:

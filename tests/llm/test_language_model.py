@@ -128,3 +128,21 @@ def test_no_training_rows_and_empty_table(spark):
     got = language_model.score_texts(df, F.lit(None).cast("boolean")).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
     assert language_model.score_texts(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_rows_of_three_are_not_made_for_pairs():
+    """The pass that sends pairs pays for pairs alone."""
+    tokens = [language_model.FIRST + i % 7 for i in range(50)] + [language_model.END]
+    r = {
+        "tokens": language_model.pack_ints([np.array(tokens, np.int64)]), "n": len(tokens), "docs": np.array([4]), "sizes": np.array([51]),
+        "begins": [True], "train": [True], "ids": np.arange(3, 10), "seen": np.full(7, 9), "every": np.full(7, 9),
+    }
+    on = language_model.Events(r, (1, 1), 1, 100)
+    rows = on.pair_rows()
+    assert "_threes" not in vars(on) and rows.n.sum() == 51
+    assert len(on.threes) == 9 and on.three_at.max() == 8
+
+
+def test_words_are_those_of_the_ascii_rule():
+    text = "Aé\u00a0B\x1fC\x0bÀ\u2003z\tİ\n\r E"
+    assert language_model.words_of(text) == [w.encode() for w in ("aé\u00a0b\x1fc", "À\u2003z", "İ", "e")]

@@ -5,9 +5,9 @@ containers: a container maps the rest of a phrase to its count, and one that gro
 too large bursts into a node of smaller containers, one per next word. Containers
 of pairs are hybrid, each for a range of first words. When a task
 holds too many entries its largest subtrees leave as sorted runs, each under its
-prefix. Runs are shuffled by buckets of prefixes, a row for each bucket whatever the
-number of prefixes, and merged there, so what a task holds is
-bounded, prefixes are stored once a run, and every count is exact.
+prefix. Runs are shuffled by buckets of prefixes, a row for each bucket and language
+whatever the number of prefixes, and merged there phrase by phrase, so what a task
+holds is bounded, prefixes are stored once a run, and every count is exact.
 
 Phrases are counted by length: words, then two words, then three and four. A
 phrase counts at least `least` only if all shorter ones inside it do, so each pass
@@ -191,9 +191,9 @@ class HatTrie:
 class Numbers(dict):
     """word, as bytes -> its number in one language; 0 if it is ruled out or ends a piece."""
 
-    def __init__(self, lang: str, words: list[bytes], langs: list[str], marks: list[int], allowed: np.ndarray, room: int):
+    def __init__(self, lang: str, number: int, words: list[bytes], lang_numbers: list[int], marks: list[int], allowed: np.ndarray, room: int):
         super().__init__(dict.fromkeys(ENDERS, 0))
-        self.lang, self.words, self.langs, self.marks, self.allowed, self.room = lang, words, langs, marks, allowed, room
+        self.number, self.words, self.lang_numbers, self.marks, self.allowed, self.room = number, words, lang_numbers, marks, allowed, room
         self.ruled_out, self.of_lang = 0, marked(lang, "")
 
     def __missing__(self, word: bytes) -> int:
@@ -202,7 +202,7 @@ class Numbers(dict):
         if self.allowed[bit >> 3] >> (bit & 7) & 1:
             number = self[word] = len(self.words)
             self.words.append(word)
-            self.langs.append(self.lang)
+            self.lang_numbers.append(self.number)
             self.marks.append(mark)
             return number
         self.ruled_out += 1
@@ -228,7 +228,8 @@ class Miner:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.langs, self.marks = [b""], [""], [0]
+        #: Of each word number: the word, its language's place in `known`, its mark.
+        self.words, self.lang_numbers, self.marks = [b""], [-1], [0]
         self.known: dict[str, Numbers] = {}
 
     def read(self, texts: list[str | None], langs: list[str | None]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,7 @@ class Miner:
 
     def _numbers(self, lang: str) -> Numbers:
         if lang not in self.known:
-            self.known[lang] = Numbers(lang, self.words, self.langs, self.marks, self.allowed, self.limits.words)
+            self.known[lang] = Numbers(lang, len(self.known), self.words, self.lang_numbers, self.marks, self.allowed, self.limits.words)
         return self.known[lang]
 
     def _count(self, ids: list[int], overlap: int = 0) -> Iterator[pa.RecordBatch]:
@@ -303,7 +304,7 @@ class Miner:
         return np.array(got, np.int64)
 
     def _runs(self, first: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        """One row per bucket, with its prefixes, what follows each in order and how often."""
+        """One row per bucket and language, with its prefixes, what follows each in order and how often."""
         words = pa.array(self.words, pa.binary()).cast(pa.string())
         low = 2**WIDTH - 1
         if self.pairs:
@@ -328,8 +329,9 @@ class Miner:
         part[at] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % self.limits.parts for x in suffix.take(pa.array(at)).to_pylist()]
         marks = np.array(self.marks, np.int64)
         bucket = ((marks[first] if self.pairs else marks[first] * TIMES + marks[second]) + 40_503 * part) % self.limits.buckets
-        order = np.lexsort((part, group, bucket)) if len(at) else np.argsort(bucket, kind="stable")
-        bucket, group, part, first, second, counts = (x[order] for x in (bucket, group, part, first, second, counts))
+        lang = np.array(self.lang_numbers, np.int64)[first]
+        order = np.lexsort((part, group, lang, bucket)) if len(at) else np.lexsort((lang, bucket))
+        bucket, lang, group, part, first, second, counts = (x[order] for x in (bucket, lang, group, part, first, second, counts))
         suffix = suffix.take(pa.array(order))
         changes = lambda *x: np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in x])))
         starts = changes(bucket, group, part)
@@ -338,16 +340,16 @@ class Miner:
         prefix = words.take(pa.array(first[starts]))
         if not self.pairs:
             prefix = pc.binary_join_element_wise(prefix, words.take(pa.array(second[starts])), " ")
-        langs = pa.array([self.langs[x] for x in first[starts].tolist()], pa.string())
         runs = pa.StructArray.from_arrays(
-            [langs, prefix, joined(suffix, "\n"), joined(pc.cast(pa.array(counts), pa.string()), ",")], ["lang", "prefix", "suffixes", "counts"]
+            [prefix, joined(suffix, "\n"), joined(pc.cast(pa.array(counts), pa.string()), ",")], ["prefix", "suffixes", "counts"]
         )
-        firsts = changes(bucket[starts])
+        firsts = changes(bucket[starts], lang[starts])
         rows = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(starts)), pa.int32()), runs)
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts][firsts], pa.int32()), rows], ["bucket", "runs"])
+        langs = pa.array(list(self.known), pa.string()).take(pa.array(lang[starts][firsts]))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts][firsts], pa.int32()), langs, rows], ["bucket", "lang", "runs"])
 
 
-RUNS = "bucket int, runs array<struct<lang string, prefix string, suffixes string, counts string>>"
+RUNS = "bucket int, lang string, runs array<struct<prefix string, suffixes string, counts string>>"
 
 
 def merged_runs(df: DataFrame, sizes: tuple[int, ...], words: bytes, pairs: bytes | None, hot: set, least: int, limits: Limits) -> DataFrame:
@@ -360,12 +362,14 @@ def merged_runs(df: DataFrame, sizes: tuple[int, ...], words: bytes, pairs: byte
             yield from miner.read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         yield from miner.spill(0)
 
-    runs = df.mapInArrow(run, RUNS).repartition("bucket").select("bucket", F.inline("runs"))
-    split = runs.select("bucket", "lang", "prefix", F.split("suffixes", "\n").alias("suffix"), F.split("counts", ",").alias("n"))
-    entries = split.select("bucket", "lang", "prefix", F.explode(F.arrays_zip("suffix", "n")).alias("e"))
-    summed = entries.groupBy("bucket", "lang", "prefix", F.col("e.suffix").alias("suffix")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
-    phrase = F.concat_ws(" ", "prefix", "suffix")
-    return summed.filter(F.col("n") >= least).select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "n")
+    runs = df.mapInArrow(run, RUNS).repartition("bucket")
+    # A bucket's phrases come out of it at once: prefixes, which each run has anew, make no rows.
+    whole = lambda r: F.concat(r.prefix, F.lit(" "), F.replace(r.suffixes, F.lit("\n"), F.concat(F.lit("\n"), r.prefix, F.lit(" "))))
+    phrases = F.split(F.array_join(F.transform("runs", whole), "\n"), "\n")
+    counts = F.split(F.array_join("runs.counts", ","), ",")
+    entries = runs.select("bucket", "lang", F.inline(F.arrays_zip(phrases.alias("phrase"), counts.alias("n"))))
+    summed = entries.groupBy("bucket", "lang", "phrase").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    return summed.filter(F.col("n") >= least).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "n")
 
 
 def count_phrases(

@@ -52,7 +52,7 @@ def written(df: DataFrame, partition_by: str | None = None, slim: bool = False)
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """df as written(), in a table bucketed by key: joins by it do not move the table.
-    Its name is of the session alone, its files are in the shared folder."""
+    Its files are in the shared folder; in the catalog it has a name of its own."""
     spark = df.sparkSession
     name = "rowgauge_" + uuid.uuid4().hex
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,6 +13,8 @@ import numpy as np
 
 ONE = np.uint64(1)
 FULL = np.uint64(2**64 - 1)
+#: Of each byte and k: the place of its k-th one.
+IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).reshape(-1)
 
 
 class BitVector:
@@ -29,14 +31,24 @@ class BitVector:
         at = np.searchsorted(before, k, side="right") - 1
         word = self.words[at] if one else self.words[at] ^ FULL
         left, place = (k - before[at]).astype(np.int64), np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
+        for width in (32, 16, 8):
             low = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
             over = left >= low
             left -= np.where(over, low, 0)
             step = np.where(over, width, 0)
             place += step
             word = word >> step.astype(np.uint64)
-        return 64 * at + place
+        return 64 * at + place + IN_BYTE[(word & np.uint64(255)).astype(np.int64) << 3 | left]
+
+    def following(self, place: np.ndarray, k: np.ndarray, one: bool) -> np.ndarray:
+        """The place of the k-th one or zero, given that of the one before it: mostly in the same word."""
+        after = place + 1
+        word = self.words[np.minimum(after >> 6, len(self.words) - 1)]
+        word = (word if one else word ^ FULL) >> (after & 63).astype(np.uint64)
+        got = after + np.bitwise_count((word & (~word + ONE)) - ONE)
+        far = np.flatnonzero((word == 0) | (after >> 6 >= len(self.words)))
+        got[far] = self.select(k[far], one)
+        return got
 
 
 class Rising:
@@ -75,6 +87,41 @@ class Rising:
         high = (self.upper.select(i, True) - i).astype(np.uint64)
         return ((high << np.uint64(self.low_bits)) | self.lows(i)).astype(np.int64)
 
+    def with_next(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th numbers and those after them."""
+        place = self.upper.select(i, True)
+        after = self.upper.following(place, i + 1, True)
+        whole = lambda x, at: ((x - at).astype(np.uint64) << np.uint64(self.low_bits) | self.lows(at)).astype(np.int64)
+        return whole(place, i), whole(after, i + 1)
+
+    def find(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """A place in start..stop whose number is x, or -1."""
+        x = x.astype(np.uint64)
+        high = (x >> np.uint64(self.low_bits)).astype(np.int64)
+        wanted = x & np.uint64((1 << self.low_bits) - 1)
+        # Numbers with these upper bits lie between two zeros.
+        last = int(self.upper.zeros[-1]) - 1
+        before = np.clip(high - 1, 0, last)
+        zero = self.upper.select(before, False)
+        ends = self.upper.following(zero, np.minimum(before + 1, last), False) - (before + 1)
+        left = np.clip(np.where(high <= 0, 0, zero - before), start, stop)
+        right = np.clip(np.where((high <= 0) | (before >= last), zero - before, ends), start, stop)
+        limit = right
+        while True:
+            open_ = left < right
+            if not open_.any():
+                break
+            middle = (left + right) >> 1
+            less = np.zeros(len(x), bool)
+            less[open_] = self.lows(middle[open_]) < wanted[open_]
+            left = np.where(open_ & less, middle + 1, left)
+            right = np.where(open_ & ~less, middle, right)
+        hit = np.flatnonzero(left < limit)
+        hit = hit[self.lows(left[hit]) == wanted[hit]]
+        place = np.full(len(x), -1)
+        place[hit] = left[hit]
+        return place
+
     def successor(self, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """First place in start..stop whose number is at least x, or stop."""
         x = x.astype(np.uint64)
@@ -149,14 +196,14 @@ class Trie:
             if not len(some):
                 return np.full(n, -1)
             at, x = node[some], column[some]
-            start, stop, base = pointers[at], pointers[at + 1], sums[at]
-            # An id beyond a node's last one would fall among the next node's: stop ends the search.
-            place = ids.successor(x + base, start, stop)
-            hit = place < stop
-            hit[hit] = ids[place[hit]] == (x + base)[hit]
+            # Rows in order that share a node ask once for its range and offset.
+            fresh = np.append(True, at[1:] != at[:-1])
+            own, each = at[fresh], np.cumsum(fresh) - 1
+            start, stop = (y[each] for y in pointers.with_next(own))
+            place = ids.find(x + sums[own][each], start, stop)
             group = np.cumsum(new) - 1
             found = np.full(int(group[-1]) + 1, -1)
-            found[group[some]] = np.where(hit, place, -1)
+            found[group[some]] = place
             node = found[group]
             here = node >= 0
         return node

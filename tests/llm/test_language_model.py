@@ -195,3 +195,21 @@ def test_rows_in_order_with_and_without_room_for_one_key():
         want = sorted(zip(*(c.tolist() for c in rows), strict=True))
         assert list(zip(*(c[order].tolist() for c in rows), strict=True)) == want
         assert len(np.unique(key)) == len(set(want))
+
+
+@pytest.mark.parametrize("top", [0, 5, 300, 10**7, 10**12])
+def test_rising_finds_and_gives_neighbours(top):
+    rng = np.random.default_rng(top % 89)
+    for n in (1, 2, 63, 64, 65, 1000):
+        values = np.unique(rng.integers(0, top + 1, n))
+        n = len(values)
+        held = elias_fano.Rising(elias_fano.Rising.pack(values))
+        x = np.concatenate([rng.integers(0, top + 2, 200), values, [top + 10**6]])
+        start = rng.integers(0, n + 1, len(x))
+        stop = np.minimum(n, start + rng.integers(0, n + 1, len(x)))
+        at = np.searchsorted(values, x)
+        want = np.where((start <= at) & (at < stop) & (np.append(values, -1)[at] == x), at, -1)
+        assert (held.find(x, start, stop) == want).all()
+        i = np.arange(n - 1)
+        one, other = held.with_next(i)
+        assert (one == values[:-1]).all() and (other == values[1:]).all()
